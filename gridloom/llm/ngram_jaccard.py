@@ -79,9 +79,32 @@ def _nodes(e: np.ndarray, first: np.ndarray) -> np.ndarray:
     return s
 
 
+def _cells(e: np.ndarray, first: np.ndarray) -> list[bytes]:
+    """A bitmap of each set: a bit for each of at least as many cells as it has shingles."""
+    out = []
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
+        bits = np.zeros(max(8, 1 << (b - a - 1).bit_length()) if b > a else 8, np.uint8)
+        bits[(e[a:b] & U(len(bits) - 1)).astype(np.int64)] = 1
+        out.append(np.packbits(bits, bitorder="little").tobytes())
+    return out
+
+
+def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (a, b, na, nb, cells of a, cells of b) whose bitmaps allow a link: a cell that only one
+    side fills holds a shingle that differs."""
+    for batch in batches:
+        keep = []
+        for na, nb, x, y in zip(*(batch.column(i).to_pylist() for i in range(2, 6))):
+            x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+            k = min(len(x), len(y))
+            x, y = (np.bitwise_or.reduce(v.reshape(-1, k), axis=0) for v in (x, y))
+            keep.append(9 * int(np.bitwise_count(x ^ y).sum()) <= na + nb)
+        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per row: key, size and node; besides, shingles that several documents share, with counts."""
-    schema = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("n", pa.int64()), ("node", pa.int64())])
+    schema = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("cells", pa.binary())])
     held: list[np.ndarray] = []
     seen: set[int] = set()
 
@@ -93,7 +116,7 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cut = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
             count = np.diff(cut, append=len(v))
             keep = count >= LOCAL
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(keep.sum(), np.int32)), pa.nulls(int(keep.sum()), pa.int64()), pa.array(count[keep].astype(np.int64)), pa.array(v[cut][keep].view(np.int64))], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(keep.sum(), np.int32)), pa.nulls(int(keep.sum()), pa.int64()), pa.array(count[keep].astype(np.int64)), pa.array(v[cut][keep].view(np.int64)), pa.nulls(int(keep.sum()), pa.binary())], schema=schema)
 
     total = 0
     for batch in batches:
@@ -101,7 +124,7 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c in tv.chunks(batch.column(1)):
             e, first = _shingles(c)
             node = _nodes(e, first)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(c.n, np.int32)), ids.slice(c.lo, c.n), pa.array(np.diff(first)), pa.array(node.view(np.int64))], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(c.n, np.int32)), ids.slice(c.lo, c.n), pa.array(np.diff(first)), pa.array(node.view(np.int64)), pa.array(_cells(e, first), pa.binary())], schema=schema)
             held.append(e)
             total += len(e)
             if total >= STRETCH:
@@ -256,7 +279,11 @@ MAY = """
 
 
 def _compared(pairs: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes with what comparing their whole texts tells, and linked."""
+    """Of pairs (a, b) of nodes those that sizes and bitmaps leave possible, with what comparing
+    their whole texts tells, and linked."""
+    side = nodes.select("node", "n", "cells")
+    pairs = pairs.join(side.toDF("a", "na", "ca"), "a").join(side.toDF("b", "nb", "cb"), "b").where("10 * least(na, nb) >= 8 * greatest(na, nb)")
+    pairs = stored(pairs.select("a", "b", "na", "nb", "ca", "cb").mapInArrow(_possible, "a long, b long"), "possible")
     involved = stored(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes, "node").select("node", "key"), "involved")
     wanted = involved.select("key", "node")
     if involved.count() <= SMALL:
@@ -278,14 +305,14 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     spark = docs.sparkSession
     plain = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     rows = plain.select(F.coalesce("id", F.xxhash64("text")).alias("key"), "text")
-    profile = stored(plain.mapInArrow(_profile, "kind int, id long, n long, node long"), "profile")
+    profile = stored(plain.mapInArrow(_profile, "kind int, id long, n long, node long, cells binary"), "profile")
     sets = profile.where("kind = 0 and n > 0")
     # the key of one row that has the set; rows without a doc_id are found by their text
-    nodes = sets.groupBy("node").agg(F.min("id").alias("key"), F.max("n").alias("n"))
+    nodes = sets.groupBy("node").agg(F.min("id").alias("key"), F.max("n").alias("n"), F.max("cells").alias("cells"))
     if sets.where("id is null").limit(1).count():
         named = nodes.where("key is not null")
         bare = plain.where("id is null").select(F.xxhash64("text").alias("key"), "text").mapInArrow(_named, "node long, key long").join(named, "node", "left_anti").groupBy("node").agg(F.min("key").alias("bare"))
-        nodes = nodes.join(bare, "node", "left").select("node", F.coalesce("key", "bare").alias("key"), "n")
+        nodes = nodes.join(bare, "node", "left").select("node", F.coalesce("key", "bare").alias("key"), "n", "cells")
     nodes = stored(nodes, "nodes")
 
     top = profile.where("kind = 1").groupBy("node").agg(F.sum("n").alias("df")).orderBy(F.desc("df"), "node").limit(HOT).toPandas()

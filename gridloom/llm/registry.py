@@ -7,7 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import ngram_jaccard
+from . import line_rules, ngram_jaccard, packing, secret_links, sharding, warc
+
+
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op3_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents"))
+
+
+def op4_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_rules.apply(table(spark, sf_dir, "documents"))
+
+
+def op5_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_links.scan(table(spark, sf_dir, "documents"))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
 
 
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,8 +35,35 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op10_ngram_jaccard,)}
+    return {f.__name__: f for f in (op1_warc, op3_extendible_sharding, op4_line_frequency, op5_secret_links, op6_packing, op10_ngram_jaccard)}
+
 
+OP3_SQL = r"""
+WITH d AS (SELECT doc_id, CAST(coalesce(strlen(text), 0) AS BIGINT) AS n_bytes, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12) AS BIGINT) AS h FROM documents),
+x AS (SELECT d.*, k.depth, h >> (48 - k.depth) AS prefix FROM d, (SELECT CAST(unnest(range(0, 49)) AS BIGINT) AS depth) k),
+s AS (SELECT depth, prefix, CAST(sum(n_bytes) AS BIGINT) AS shard_bytes FROM x GROUP BY 1, 2),
+f AS (SELECT x.doc_id, x.n_bytes, x.depth, x.prefix, s.shard_bytes, row_number() OVER (PARTITION BY x.doc_id ORDER BY x.depth) AS r
+      FROM x JOIN s USING (depth, prefix) WHERE s.shard_bytes <= 1048576)
+SELECT doc_id, n_bytes, CASE WHEN depth = 0 THEN '' ELSE substr(lpad(bin(prefix), 48, '0'), CAST(49 - depth AS BIGINT), depth) END AS shard, depth, shard_bytes,
+       CAST(0 AS BIGINT) AS page, false AS oversized FROM f WHERE r = 1
+"""
+
+OP4_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t,
+  list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+  list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
+g AS (SELECT doc_id, i, array_to_string(w[i:i + 2], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+rep AS (SELECT doc_id, count(DISTINCT i + k.j) AS n FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g), (SELECT unnest(range(0, 3)) AS j) k WHERE c > 1 GROUP BY 1),
+li AS (SELECT doc_id, host, regexp_replace(lower(trim(x, E' \t\n\x0b\f\r')), '[0-9]+', '0', 'g') AS nl, len(list_filter(regexp_split_to_array(x, '[\x20\x09-\x0D]+'), lambda y: y <> '')) AS w
+       FROM (SELECT doc_id, host, unnest(l) AS x FROM d)),
+f AS (SELECT host, nl FROM li GROUP BY 1, 2 HAVING count(DISTINCT doc_id) > 10),
+r AS (SELECT doc_id, sum(w) AS removed FROM li JOIN f USING (host, nl) GROUP BY 1),
+b AS (SELECT d.doc_id, len(w) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+  len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, CAST(coalesce(removed, 0) AS BIGINT) AS removed_words FROM d LEFT JOIN rep USING (doc_id) LEFT JOIN r USING (doc_id))
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
+  CAST(n_repeat_words AS BIGINT) AS n_repeat_words, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT (10 * (n_words - removed_words) < 2 * n_words) AS kept, removed_words FROM b
+"""
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -37,4 +84,4 @@ FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(b) AS component_
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_ngram_jaccard": OP10_SQL}
+    return {"op3_extendible_sharding": OP3_SQL, "op4_line_frequency": OP4_SQL.replace("\\\\", "\\"), "op10_ngram_jaccard": OP10_SQL}
