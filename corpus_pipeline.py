@@ -1,22 +1,71 @@
-"""Five stages from raw documents to packed training sequences."""
+"""Five stages from raw documents to packed training sequences.
+
+Each stage takes (spark, docs, sf_dir), works on all rows of docs, and returns the columns of
+documents; the last one returns pieces of sequences. run() writes every stage's rows as Parquet in
+the shared folder and reads them again, so a lost executor costs a stage at most.
+
+1. quality: positive-unlabelled classifier; documents that it rejects go.
+2. near_duplicates: of each group of documents that link (5-word shingles, Jaccard 0.8 or more) the one
+   with the smallest doc_id stays; of rows that share that doc_id, the first text by order. Documents
+   without words link with nothing and stay; rows without a doc_id stay only where no document with
+   one is in their group, all of them.
+3. decontamination: documents that leak a benchmark item go.
+4. secrets: every reported span is replaced in the text, and n_chars follows.
+5. packing: sequences of 1024 tokens.
+"""
 
 from __future__ import annotations
 
-from gridloom.llm import ngram_jaccard
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gridloom.llm import decontaminate, ngram_jaccard, packing, quality_pu, secret_links
+from gridloom.session import stored, table
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality_pu.keep(docs, quality_pu.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    group = ngram_jaccard.link(docs)
+    others = group.where("doc_id <> component_id or (doc_id is null and component_id is not null)").select("doc_id").distinct()
+    kept = docs.join(others, docs["doc_id"].eqNullSafe(others["doc_id"]), "left_anti")
+    again = group.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if again.limit(1).count() == 0:
+        return kept
+    shared = docs["doc_id"].eqNullSafe(again["doc_id"])
+    return kept.join(again, shared, "left_anti").unionByName(kept.join(again, shared, "left_semi").dropDuplicates(["doc_id", "text"]))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    out = secret_links.redact(docs)
+    return out.withColumn("n_chars", F.length("text").cast("long"))
 
 
-def near_duplicates(spark, docs, sf_dir):
-    c = ngram_jaccard.link(docs)
-    return docs.join(c.where("doc_id = component_id").select("doc_id"), "doc_id", "left_semi")
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs)
 
 
-STAGES = [("near_duplicates", near_duplicates)]
+STAGES = [
+    ("quality", quality),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("secrets", secrets),
+    ("packing", packed),
+]
 
+#: No stage but the last two could be put in SQL; tests hold the stages against brute force.
+ORACLE_SQL = None
 
-def run(spark, sf_dir):
-    from gridloom.session import stored, table
 
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages applied to documents: a row for each piece of a sequence."""
     docs = table(spark, sf_dir, "documents")
-    for name, f in STAGES[:-1]:
-        docs = stored(f(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    for name, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return docs
