@@ -1,8 +1,12 @@
-"""Vectors and sparse matrices as relations: vector (i, ...), matrix (i, j, v)."""
+"""Vectors and sparse matrices as relations: vector (i, ...), matrix (i, j, v).
+
+Vectors with one key are columns of one state table, so element-wise operators are projections and
+several reductions share one aggregate.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -11,7 +15,93 @@ def spmv(a: DataFrame, x: DataFrame, value: str, out: str = "y") -> DataFrame:
     return a.join(x.select(F.col("i").alias("j"), F.col(value).alias("_x")), "j").groupBy("i").agg(F.sum(F.col("v") * F.col("_x")).alias(out))
 
 
+def vmul(d: Column, x: Column) -> Column:
+    return d * x
+
+
+def scal(s: float, x: Column) -> Column:
+    return F.lit(s) * x
+
+
+def axpy(y: Column, s: float, x: Column, sign: int = 1) -> Column:
+    return y + F.lit(sign * s) * x
+
+
+def xpby(x: Column, s: float, y: Column) -> Column:
+    return x + F.lit(s) * y
+
+
+def waxpby(alpha: float, x: Column, beta: float, y: Column) -> Column:
+    return F.lit(alpha) * x + F.lit(beta) * y
+
+
+def cutoff(v: Column, least: float) -> Column:
+    """0 where the magnitude is below least."""
+    return F.when(F.abs(v) < least, 0.0).otherwise(v)
+
+
+def clamp(v: Column, low: float, high: float) -> Column:
+    return F.greatest(F.lit(low), F.least(F.lit(high), v))
+
+
 def dots(state: DataFrame, **pairs: tuple[Column, Column]) -> dict[str, float]:
     """Several inner products over one state table in a single aggregate; 0 for an empty table."""
     row = state.agg(*[F.coalesce(F.sum(a * b), F.lit(0.0)).alias(k) for k, (a, b) in pairs.items()]).first()
     return row.asDict()
+
+
+def residual_norms(state: DataFrame, ax: str, b: str, x: str, exact: str) -> DataFrame:
+    """Relative residual and relative error, four sums in one aggregate."""
+    sq = lambda c: F.sum(c * c)
+    r, e = F.col(b) - F.col(ax), F.col(x) - F.col(exact)
+    s = state.agg(sq(r).alias("r"), sq(F.col(b)).alias("b"), sq(e).alias("e"), sq(F.col(exact)).alias("x"))
+    return s.select(F.sqrt(F.col("r") / F.col("b")).alias("rel_residual"), F.sqrt(F.col("e") / F.col("x")).alias("rel_error"))
+
+
+def max_difference(state: DataFrame, a: str, b: str) -> DataFrame:
+    return state.agg(F.max(F.abs(F.col(a) - F.col(b))).alias("max_diff"))
+
+
+def diagonal(a: DataFrame, rows: DataFrame) -> DataFrame:
+    """(i, d): the diagonal, 0 where absent; rows has every i."""
+    d = a.where("i = j").groupBy("i").agg(F.first("v").alias("d"))
+    return rows.select("i").join(d, "i", "left").select("i", F.coalesce("d", F.lit(0.0)).alias("d"))
+
+
+def shift_diagonal(a: DataFrame, sigma: float) -> DataFrame:
+    return a.withColumn("v", F.when(F.col("i") == F.col("j"), F.col("v") - sigma).otherwise(F.col("v")))
+
+
+def mirrored(a: DataFrame, sign: int = 1) -> DataFrame:
+    """Entries and those off the diagonal once more across it."""
+    return a.unionByName(a.where("i <> j").select(F.col("j").alias("i"), F.col("i").alias("j"), (sign * F.col("v")).alias("v")))
+
+
+def row_pointers(a: DataFrame, rows: DataFrame, blocks: int = 64) -> DataFrame:
+    """(i, start, count) of a compressed-row layout, rows ascending. The running count is taken in
+    blocks of consecutive rows, and block totals are run in turn, so no task gets all rows."""
+    count = rows.select("i").join(a.groupBy("i").agg(F.count(F.lit(1)).alias("count")), "i", "left").select("i", F.coalesce("count", F.lit(0)).alias("count"))
+    top = count.agg(F.max("i")).first()[0]
+    width = max(1, -(-((top or 0) + 1) // blocks))
+    count = count.withColumn("block", F.floor(F.col("i") / width))
+    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    total = count.groupBy("block").agg(F.sum("count").alias("n")).select("block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    inside = Window.partitionBy("block").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    c = count.withColumn("start", F.coalesce(F.sum("count").over(inside), F.lit(0))).join(F.broadcast(total), "block")  # `blocks` rows
+    return c.select("i", (F.col("start") + F.col("base")).alias("start"), "count")
+
+
+def place_in_row(a: DataFrame) -> DataFrame:
+    """(i, j, k): the place of each entry in its row by column."""
+    return a.select("i", "j", (F.row_number().over(Window.partitionBy("i").orderBy("j")) - 1).cast("long").alias("k"))
+
+
+def block_of(i: Column, n: int, parts: int) -> Column:
+    """Tile of index i when n is cut into `parts` of equal ceiling size."""
+    return F.floor(i / -(-n // parts))
+
+
+def contiguous_owner(i: Column, n: int, parts: int) -> Column:
+    """Owner of row i when the first n mod parts owners hold one row more."""
+    q, r = divmod(n, parts)
+    return F.when(i < r * (q + 1), F.floor(i / (q + 1))).otherwise(r + F.floor((i - r * (q + 1)) / max(q, 1)))
