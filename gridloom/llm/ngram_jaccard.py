@@ -55,7 +55,7 @@ BORDERS = (16, 64, 256, 1024, 4096, 16384, 65536, 1 << 18, 1 << 20, 1 << 22)
 #: Sets already signed for that a task remembers, so that it signs for copies once.
 SEEN = 200_000
 #: Members of a hub that are compared in one task.
-STAR = 512
+STAR = 128
 #: Nodes up to which their texts are found by a broadcast of their keys (16 bytes each).
 SMALL = 500_000
 
@@ -89,17 +89,22 @@ def _cells(e: np.ndarray, first: np.ndarray) -> list[bytes]:
     return out
 
 
-def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (a, b, na, nb, cells of a, cells of b) whose bitmaps allow a link: a cell that only one
-    side fills holds a shingle that differs."""
-    for batch in batches:
-        keep = []
-        for na, nb, x, y in zip(*(batch.column(i).to_pylist() for i in range(2, 6))):
-            x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
-            k = min(len(x), len(y))
-            x, y = (np.bitwise_or.reduce(v.reshape(-1, k), axis=0) for v in (x, y))
-            keep.append(9 * int(np.bitwise_count(x ^ y).sum()) <= na + nb)
-        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+def _possible(slack: int):
+    """Of rows (a, b, na, nb, cells of a, cells of b) those whose bitmaps allow H <= slack * (na + nb)
+    / 9: a cell that only one side fills holds a shingle that differs. A link needs slack 1, a
+    similarity of 0.5 slack 3."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for na, nb, x, y in zip(*(batch.column(i).to_pylist() for i in range(2, 6))):
+                x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+                k = min(len(x), len(y))
+                x, y = (np.bitwise_or.reduce(v.reshape(-1, k), axis=0) for v in (x, y))
+                keep.append(9 * int(np.bitwise_count(x ^ y).sum()) <= slack * (na + nb))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
 
 
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,15 +280,16 @@ MAY = """
         + least(l.n - l.inter - bit_count(l.more0 & ~r.more0) - bit_count(l.more1 & ~r.more1),
                 r.n - r.inter - bit_count(r.more0 & ~l.more0) - bit_count(r.more1 & ~l.more1))
     ) >= 4 * (l.n + r.n), true)
+    and not (l.far and coalesce(r.d <= 0.3, false)) and not (r.far and coalesce(l.d <= 0.3, false))
 """
 
 
-def _compared(pairs: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
+def _compared(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, slack: int = 1) -> DataFrame:
     """Of pairs (a, b) of nodes those that sizes and bitmaps leave possible, with what comparing
     their whole texts tells, and linked."""
     side = nodes.select("node", "n", "cells")
     pairs = pairs.join(side.toDF("a", "na", "ca"), "a").join(side.toDF("b", "nb", "cb"), "b").where("10 * least(na, nb) >= 8 * greatest(na, nb)")
-    pairs = stored(pairs.select("a", "b", "na", "nb", "ca", "cb").mapInArrow(_possible, "a long, b long"), "possible")
+    pairs = stored(pairs.select("a", "b", "na", "nb", "ca", "cb").mapInArrow(_possible(slack), "a long, b long"), "possible")
     involved = stored(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes, "node").select("node", "key"), "involved")
     wanted = involved.select("key", "node")
     if involved.count() <= SMALL:
@@ -325,15 +331,16 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     runs = stored(runs.drop("x", "y").distinct(), "runs")
     # a run's hub is its node of most runs: of near copies, the one that the others were made from
     degree = runs.groupBy("node").agg(F.count(F.lit(1)).alias("runs")).join(nodes.select("node", "n"), "node")
-    runs = runs.join(degree, "node").withColumn("top", F.max(F.struct("runs", "node")).over(run))
-    runs = stored(runs.select("sig", "node", "n", F.col("top.node").alias("hub")).where("node <> hub"), "spokes")
-    stars = _compared(runs.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), nodes, rows)
+    runs = runs.join(degree, "node").withColumn("top", F.max(F.struct("runs", "node", F.col("n").alias("nc"))).over(run))
+    runs = stored(runs.select("sig", "node", "n", F.col("top.node").alias("hub"), "top.nc").where("node <> hub"), "spokes")
+    stars = _compared(runs.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), nodes, rows, slack=3)
     comp = components(stars.where("linked"))
     # pairs of a run that no link has brought into one component yet
     known = runs.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
     split = known.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("sig")
-    pivot = stars.select(F.col("a").alias("hub"), F.col("b").alias("node"), F.col("na").alias("nc"), "inter", "less0", "less1", "more0", "more1")
-    left = stored(known.join(split, "sig").join(pivot, ["hub", "node"], "left"), "left")
+    pivot = stars.select(F.col("a").alias("hub"), F.col("b").alias("node"), "inter", "less0", "less1", "more0", "more1")
+    known = known.join(split, "sig").join(pivot, ["hub", "node"], "left").withColumn("d", 1 - F.col("inter") / (F.col("n") + F.col("nc") - F.col("inter")))
+    left = stored(known.withColumn("far", F.expr("inter is null and 10 * least(n, nc) >= 8 * greatest(n, nc)")), "left")
     l, r = left.alias("l"), left.alias("r")
     pairs = l.join(r, F.expr("l.sig = r.sig and l.node < r.node and l.component <> r.component and " + MAY))
     pairs = stored(pairs.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct(), "pairs")
