@@ -18,7 +18,7 @@ class Query:
 
 CATALOG: dict[str, Query] = {}
 #: Modules that register queries when imported.
-MODULES = ("linear",)
+MODULES = ("linear", "runs", "tensors", "training", "meshes")
 
 
 def query(ids: str, sql: str | None = None):
