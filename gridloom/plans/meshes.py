@@ -52,9 +52,9 @@ def hex_volume_length(spark, sf_dir):
     return _elements(spark).select("e", F.round("volume", 9).alias("volume"), F.round(hexmesh.characteristic_length(F.col("volume")), 9).alias("length"))
 
 
-@query("A06 A07", f"SELECT n, round({H} * {H} * {H} / 8 * (CASE WHEN ix IN (0, {S}) THEN 1 ELSE 2 END) * (CASE WHEN iy IN (0, {S}) THEN 1 ELSE 2 END) * (CASE WHEN iz IN (0, {S}) THEN 1 ELSE 2 END), 9) AS mass FROM ({NODES})")
+@query("A06 A07", f"SELECT n, round({H} * {H} * {H} / 8 * (CASE WHEN ix IN (0, {S}) THEN 1 ELSE 2 END) * (CASE WHEN iy IN (0, {S}) THEN 1 ELSE 2 END) * (CASE WHEN iz IN (0, {S}) THEN 1 ELSE 2 END), 7) AS mass FROM ({NODES})")
 def nodal_mass(spark, sf_dir):
-    return hexmesh.nodal_mass(generators.hex_corners(spark, S), _elements(spark)).select("n", F.round("mass", 9).alias("mass"))
+    return hexmesh.nodal_mass(generators.hex_corners(spark, S), _elements(spark)).select("n", F.round("mass", 7).alias("mass"))
 
 
 @query("J14 A14", f"WITH e AS (SELECT ix AS j, iy AS k, (ix * iy + ix + iy) / 4.0::DOUBLE + CASE WHEN ix < iy THEN 0.001::DOUBLE ELSE 0 END AS v FROM ({GRID}) WHERE iz = 0) SELECT round(max(abs(a.v - b.v)), 9) AS max_diff, round(sum(abs(a.v - b.v)), 9) AS total_diff FROM e a JOIN e b ON a.j = b.k AND a.k = b.j AND a.j < a.k")
