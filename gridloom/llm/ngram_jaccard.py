@@ -111,12 +111,11 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per row: key, size and node; besides, shingles that several documents share, with counts."""
     schema = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("cells", pa.binary())])
     held: list[np.ndarray] = []
-    seen: set[int] = set()
 
     def heavy() -> Iterator[pa.RecordBatch]:
-        if held:
-            v = np.concatenate(held)
-            held.clear()
+        v = np.concatenate(held) if held else np.zeros(0, U)
+        held.clear()
+        if len(v):
             v.sort()
             cut = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
             count = np.diff(cut, append=len(v))
