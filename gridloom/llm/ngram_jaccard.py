@@ -284,10 +284,10 @@ MAY = """
 
 
 def _compared(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, slack: int = 1) -> DataFrame:
-    """Of pairs (a, b) of nodes those that sizes and bitmaps leave possible, with what comparing
-    their whole texts tells, and linked."""
+    """Of pairs (a, b) of nodes those that bitmaps leave possible, with what comparing their whole
+    texts tells, and linked."""
     side = nodes.select("node", "n", "cells")
-    pairs = pairs.join(side.toDF("a", "na", "ca"), "a").join(side.toDF("b", "nb", "cb"), "b").where("10 * least(na, nb) >= 8 * greatest(na, nb)")
+    pairs = pairs.join(side.toDF("a", "na", "ca"), "a").join(side.toDF("b", "nb", "cb"), "b")
     pairs = stored(pairs.select("a", "b", "na", "nb", "ca", "cb").mapInArrow(_possible(slack), "a long, b long"), "possible")
     involved = stored(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes, "node").select("node", "key"), "involved")
     wanted = involved.select("key", "node")
@@ -332,7 +332,8 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     degree = runs.groupBy("node").agg(F.count(F.lit(1)).alias("runs")).join(nodes.select("node", "n"), "node")
     runs = runs.join(degree, "node").withColumn("top", F.max(F.struct("runs", "node", F.col("n").alias("nc"))).over(run))
     runs = stored(runs.select("sig", "node", "n", F.col("top.node").alias("hub"), "top.nc").where("node <> hub"), "spokes")
-    stars = _compared(runs.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), nodes, rows, slack=3)
+    sized = runs.where("10 * least(n, nc) >= 8 * greatest(n, nc)")
+    stars = _compared(sized.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), nodes, rows, slack=3)
     comp = components(stars.where("linked"))
     # pairs of a run that no link has brought into one component yet
     known = runs.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
