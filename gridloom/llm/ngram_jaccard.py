@@ -80,19 +80,20 @@ def _nodes(e: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def _cells(e: np.ndarray, first: np.ndarray) -> list[bytes]:
-    """A bitmap of each set: a bit for each of at least as many cells as it has shingles."""
+    """A parity map of each set: a bit for each of at least twice as many cells as it has shingles,
+    1 where an odd number of them falls into the cell."""
     out = []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
-        bits = np.zeros(max(8, 1 << (b - a - 1).bit_length()) if b > a else 8, np.uint8)
-        bits[(e[a:b] & U(len(bits) - 1)).astype(np.int64)] = 1
-        out.append(np.packbits(bits, bitorder="little").tobytes())
+        n = max(8, 2 << (b - a - 1).bit_length()) if b > a else 8
+        odd = np.bincount((e[a:b] & U(n - 1)).astype(np.int64), minlength=n) & 1
+        out.append(np.packbits(odd.astype(np.uint8), bitorder="little").tobytes())
     return out
 
 
 def _possible(slack: int):
-    """Of rows (a, b, na, nb, cells of a, cells of b) those whose bitmaps allow H <= slack * (na + nb)
-    / 9: a cell that only one side fills holds a shingle that differs. A link needs slack 1, a
-    similarity of 0.5 slack 3."""
+    """Of rows (a, b, na, nb, cells of a, cells of b) those whose parity maps allow H <= slack *
+    (na + nb) / 9: a cell of unlike parities holds a shingle that differs, whatever the sides share
+    there. A link needs slack 1, a similarity of 0.5 slack 3."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -100,7 +101,7 @@ def _possible(slack: int):
             for na, nb, x, y in zip(*(batch.column(i).to_pylist() for i in range(2, 6))):
                 x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
                 k = min(len(x), len(y))
-                x, y = (np.bitwise_or.reduce(v.reshape(-1, k), axis=0) for v in (x, y))
+                x, y = (np.bitwise_xor.reduce(v.reshape(-1, k), axis=0) for v in (x, y))
                 keep.append(9 * int(np.bitwise_count(x ^ y).sum()) <= slack * (na + nb))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
