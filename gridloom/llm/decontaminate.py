@@ -1,11 +1,14 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
 Words are runs of letters and digits (ASCII signs part words, A-Z fold). The items' 5-grams are
-counted over all documents; of each item the rare ones are its seeds: those in no more documents
-than four times the item's lower quartile, plus 16. A seed in a document places the item there; places
-that agree within a quarter of the item's length make one window, and the item is aligned with the
-window's words (match 2, other word -1, gap -1). A score of at least `least` of a full match is a leak,
-so copies with words changed, left out or put in are found as well.
+counted over all documents; of each item those are rare that are in no more documents than four times
+the item's lower quartile, plus 16. A 5-gram in a document places the item there; places that agree
+within a quarter of the item's length make one window, and the item is aligned with the window's words
+(match 2, other word -1, gap -1). A score of at least `least` of a full match is a leak, so copies with
+words changed, left out or put in are found as well. A rare 5-gram is a seed by itself; windows that
+only common ones place are aligned unless they hold too few of the item's words to reach `least`, which
+loses no leak. So a document that shares any 5-gram with an item is judged by its score alone, however
+many documents share it.
 
 The benchmark goes to the executors in blocks of about BLOCK words (a bound on what is broadcast),
 each block against all documents. Documents are read whole and never shuffled.
@@ -66,9 +69,7 @@ class Items:
         self.gram, self.item = g[order], np.array(item, np.int64)[order]
         self.place = (np.concatenate(place) if place else np.zeros(0, np.int64))[order]
         self.distinct = np.unique(self.gram)
-        self._look()
-
-    def _look(self) -> None:
+        self.rare = np.ones(len(self.gram), bool)
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[(self.distinct >> U(44)).astype(np.int64)] = True
 
@@ -82,18 +83,21 @@ class Items:
         return at[same], k[same]
 
     def seeded(self, df: np.ndarray) -> "Items":
-        """Only rare grams stay; df: documents of each distinct gram."""
+        """Marks the rare grams of each item; df: documents of each distinct gram."""
         count = df[np.searchsorted(self.distinct, self.gram)]
         by = np.lexsort((count, self.item))
         first = np.searchsorted(self.item[by], np.arange(len(self.ids) + 1))
         limit = 4 * count[by][first[:-1] + (np.diff(first) - 1) // 4] + 16
-        keep = count <= limit[self.item]
-        self.gram, self.item, self.place = self.gram[keep], self.item[keep], self.place[keep]
-        self.distinct = np.unique(self.gram)
-        self._look()
+        self.rare = count <= limit[self.item]
         return self
 
 
+def possible(item: np.ndarray, window: np.ndarray, least: float) -> bool:
+    """Whether the window holds enough of the item's words for a score of least: 2 for each at most."""
+    held = (item[:, None] == window).any(1) if len(window) <= 512 else np.isin(item, window)
+    return int(held.sum()) >= least * len(item)
+
+
 def align(item: np.ndarray, window: np.ndarray) -> tuple[int, int]:
     """Best local alignment: (score, end in the window). Ties go to the first end."""
     step = np.arange(len(window) + 1)
@@ -124,17 +128,20 @@ def leaks(items: Items, least: float, c: tv.Chunk) -> list[tuple[int, int, float
     entry = np.arange(len(hit)) - np.repeat(np.cumsum(n) - n, n) + lo[hit]
     d, item, begin = doc[at][hit], items.item[entry], start[at][hit] - items.place[entry]
     order = np.lexsort((begin, item, d))
-    d, item, begin = d[order], item[order], begin[order]
+    d, item, begin, rare = d[order], item[order], begin[order], items.rare[entry[order]]
     slack = np.array([max(4, len(x) // 4) for x in items.words])[item]
     new = np.concatenate([[True], (d[1:] != d[:-1]) | (item[1:] != item[:-1]) | (begin[1:] - begin[:-1] > slack[1:])])
     cut = np.flatnonzero(new)
     last = np.append(cut[1:], len(d)) - 1
+    seeded = np.logical_or.reduceat(rare, cut)
     found: dict[tuple[int, int], tuple[float, int, int]] = {}
-    for a, b in zip(cut.tolist(), last.tolist()):
+    for a, b, sure in zip(cut.tolist(), last.tolist(), seeded.tolist()):
         x = items.words[item[a]]
         lo, hi = int(w.first[d[a]]), int(w.first[d[a] + 1])
         p, q = max(lo, int(begin[a] - slack[a])), min(hi, int(begin[b] + len(x) + slack[a]))
         window = h[p:q]
+        if not sure and not possible(x, window, least):
+            continue
         best, end = align(x, window)
         score = best / (2 * len(x))
         key = (int(d[a]), int(item[a]))
@@ -162,7 +169,7 @@ def _count(items: Items):
 
 
 def blocks(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> Iterator[Items]:
-    """The benchmark's items in blocks of bounded size, with their seeds chosen over all of docs."""
+    """The benchmark's items in blocks of bounded size, with their rare grams told over all of docs."""
     b = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     words = b.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, -(-int(words) // (6 * BLOCK)))

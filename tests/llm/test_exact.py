@@ -243,6 +243,20 @@ def test_leaks_are_found_and_clean_documents_left(spark, docs):
     assert decontaminate.find(docs(texts), bench.limit(0)).count() == 0 and decontaminate.find(docs([]), bench).count() == 0
 
 
+@pytest.mark.parametrize("exact, copies", [(0, 17), (1, 40), (1, 3000)])
+def test_edited_leaks_are_found_however_many(spark, docs, exact, copies):
+    rng = random.Random(9)
+    item = rng.sample(WORDS, 30)
+    edited = list(item)
+    edited[9] = edited[19] = "changed"
+    half = item[:22]
+    noise = lambda n: " ".join(rng.choice(WORDS) for _ in range(n))
+    texts = [f"{noise(8)} {' '.join(w)} {noise(8)}" for w in [*[item] * exact, *[edited] * copies, half]] + [f"{noise(8)} {' '.join(item[:5])} {noise(40)}" for _ in range(60)]
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    got = {r.doc_id: r.score for r in decontaminate.find(docs(texts), bench).collect()}
+    assert set(got) == set(range(exact + copies + 1)) and min(got.values()) > 0.7
+
+
 def test_alignment_is_smith_waterman():
     rng = np.random.default_rng(8)
     for _ in range(60):
