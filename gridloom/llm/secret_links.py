@@ -6,7 +6,7 @@ of 0-9a-f). The method adds weak candidates: `ident` (user or client identifiers
 hosts with ports, IPv4 addresses) and `blob` (32 or more base64 characters of mixed classes, or the
 value of a key too short for assign). A weak candidate is reported only where complementary parts
 co-occur: within `reach` code points of it, inside one scope, there are parts of two other roles of
-identifier, secret and endpoint, or, for a blob, one identifier that isn't itself weak.
+identifier, secret and endpoint, weak or not, or, for a blob, one identifier that isn't itself weak.
 
 Scopes are paragraphs (stretches without an empty line). Parts of a scope are sorted by place and
 joined by a sweep over their intervals, so the work grows with the parts, not with their pairs.
@@ -59,6 +59,9 @@ def _weak(text: str, base: list[Span]) -> list[Span]:
         v = m[0]
         if any(c.isdigit() for c in v) and any(c.islower() for c in v) and any(c.isupper() for c in v):
             out.append((m.start(), m.end(), "blob"))
+    # short values are reported with an identifier near only
+    if any(k == "ident" for _, _, k in out) or any(k == "access" for _, _, k in base):
+        out += [(m.start(1), m.end(1), "blob") for m in ASSIGN.finditer(text) if len(m[1]) < 6]
     if not out:
         return out
     starts = [s[0] for s in base]
@@ -93,10 +96,10 @@ def linked(text: str, base: list[Span], reach: int = REACH) -> list[Span]:
                 while at < len(v) and v[at][0] < high:
                     if v[at][1] > low:
                         near[r] = near.get(r) or v[at][2] in ("access", "assign", "hex")
-                        if near[r]:
+                        if near[r] or k != "blob":
                             break
                     at += 1
-        if len(near) == 2 and any(near.values()) or k == "blob" and near.get("identifier"):
+        if len(near) == 2 or k == "blob" and near.get("identifier"):
             kept.append((s, e, k))
     return kept
 

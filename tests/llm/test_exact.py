@@ -175,6 +175,17 @@ def test_secret_spans(docs):
     assert k not in red[-5].text and red[0].text is None and red[-1].text == texts[-1]
 
 
+def test_weak_secret_parts_link_each_other():
+    key = "aB3/" * 10
+    kinds = lambda text: [k for _, _, k in secret_links.spans(text)[1]]
+    three = f"client_id: billing-svc\nhttps://db.internal.example.com:5432/x\n{key}"
+    assert kinds(three) == ["ident", "endpoint", "blob"]
+    short = "user=bob password=abc12 host db.example.com:5432"
+    assert secret_links.written(secret_links.spans(short)[1]) == "ident:0:8,blob:18:23,endpoint:29:48"
+    assert kinds("user=bob password=abc12") == kinds("password=abc12 db.example.com:5432") == kinds(f"user=bob {key}") == []
+    assert kinds(three.replace("\n", "\n\n")) == [] and kinds(three.replace("\n", " " * 201)) == []
+
+
 def test_packing_is_a_partition_of_ids(docs):
     import public_tokenizers
     from tokenizers import Tokenizer
