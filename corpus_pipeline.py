@@ -5,10 +5,10 @@ documents; the last one returns pieces of sequences. run() writes every stage's
 the shared folder and reads them again, so a lost executor costs a stage at most.
 
 1. quality: positive-unlabelled classifier; documents that it rejects go.
-2. near_duplicates: of each group of documents that link (5-word shingles, Jaccard 0.8 or more) the one
-   with the smallest doc_id stays; of rows that share that doc_id, the first text by order. Documents
-   without words link with nothing and stay; rows without a doc_id stay only where no document with
-   one is in their group, all of them.
+2. near_duplicates: of each group of rows that link (5-word shingles, Jaccard 0.8 or more) exactly one
+   stays: that with the smallest doc_id, those without one last; of equals the first by a hash of the
+   text, then any. Groups are of rows, so what other rows have the same doc_id, or none, is no matter.
+   Rows without words link with nothing and all stay.
 3. decontamination: documents that leak a benchmark item go.
 4. secrets: every reported span is replaced in the text, and n_chars follows.
 5. packing: sequences of 1024 tokens.
@@ -23,19 +23,22 @@ from gridloom.llm import decontaminate, ngram_jaccard, packing, quality_pu, secr
 from gridloom.session import stored, table
 
 
+#: Column of row keys while near copies are looked for.
+ROW = "near_duplicates_row"
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_pu.keep(docs, quality_pu.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    group = ngram_jaccard.link(docs)
-    others = group.where("doc_id <> component_id or (doc_id is null and component_id is not null)").select("doc_id").distinct()
-    kept = docs.join(others, docs["doc_id"].eqNullSafe(others["doc_id"]), "left_anti")
-    again = group.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if again.limit(1).count() == 0:
-        return kept
-    shared = docs["doc_id"].eqNullSafe(again["doc_id"])
-    return kept.join(again, shared, "left_anti").unionByName(kept.join(again, shared, "left_semi").dropDuplicates(["doc_id", "text"]))
+    # rows are told apart by a key of their own, written so that it stays what it is
+    keyed = stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "keyed")
+    group = ngram_jaccard.link(keyed, key=ROW).select(ROW, "component_id")
+    order = keyed.select(ROW, F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", F.xxhash64("text").alias("text"), ROW).alias("order"))
+    first = group.join(order, ROW).groupBy("component_id").agg(F.min("order").alias("order")).select(F.col(f"order.{ROW}").alias(ROW))
+    others = group.select(ROW).join(first, ROW, "left_anti")
+    return keyed.join(others, ROW, "left_anti").drop(ROW)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

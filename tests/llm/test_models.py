@@ -113,3 +113,16 @@ def test_repeated_rows_leave_one(spark, docs):
     d = docs([base, base, base + " x", "", None], [4, 4, 9, 5, None])
     left = corpus_pipeline.near_duplicates(spark, d, "").collect()
     assert sorted((r.doc_id, r.text) for r in left if r.doc_id is not None) == [(4, base), (5, "")] and len(left) == 3
+
+
+def test_near_copies_are_told_by_row(spark, docs):
+    text = lambda k: " ".join(f"{k}{i}" for i in range(40))
+    left = lambda texts, ids: sorted(((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs(texts, ids), "").collect()), key=repr)
+    a, b, c = map(text, "abc")
+    # one row without a doc_id links: other rows without one are no concern
+    assert left([a, a, b, None, ""], [1, None, None, None, None]) == sorted([(1, a), (None, b), (None, None), (None, "")], key=repr)
+    # two texts under one doc_id, one of them a copy of another's
+    assert left([a, a + " x", b, b + " x"], [3, 7, 7, 9]) == [(3, a), (7, b)]
+    # copies without ids or under one id leave one
+    got = left([a, a + " x", a, b, b + " x", c], [None, None, None, 5, 5, 5])
+    assert len(got) == 3 and {k for k, _ in got} == {None, 5} and (5, c) in got
