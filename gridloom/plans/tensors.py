@@ -41,7 +41,7 @@ def layernorm_backward(spark, sf_dir):
     return _long(_x(spark, sf_dir).withColumn("y", layers.layernorm_backward(d, F.col("x"))), "y", "dx")
 
 
-@query("A12 L15", _rows("list_transform(x, lambda v: v * r)", "out", ", 1 / sqrt(list_avg(list_transform(x, lambda v: v * v)) + 1e-5::DOUBLE) AS r"))
+@query("A12", _rows("list_transform(x, lambda v: v * r)", "out", ", 1 / sqrt(list_avg(list_transform(x, lambda v: v * v)) + 1e-5::DOUBLE) AS r"))
 def rmsnorm_rows(spark, sf_dir):
     return _long(_x(spark, sf_dir).withColumn("y", layers.rmsnorm(F.col("x"))), "y", "out")
 
@@ -130,7 +130,7 @@ def linear_backward_input(spark, sf_dir):
 _QKV = f"(SELECT vec_id // 8 AS b, h, vec_id % 8 AS t, x[h * 16 + 1:h * 16 + 4] AS q, x[h * 16 + 5:h * 16 + 8] AS k, x[h * 16 + 9:h * 16 + 12] AS v FROM {X}, (SELECT CAST(unnest([0, 1]) AS BIGINT) AS h))"
 
 
-@query("J08 W03 L04 E19", f"WITH q AS {_QKV}, s AS (SELECT a.b, a.h, a.t, c.t AS t2, list_dot_product(a.q, c.k) * 0.5::DOUBLE AS s, c.v FROM q a JOIN q c ON a.b = c.b AND a.h = c.h AND c.t <= a.t), p AS (SELECT *, exp(s - max(s) OVER w) / sum(exp(s)) OVER w * exp(max(s) OVER w) AS p FROM s WINDOW w AS (PARTITION BY b, h, t)) SELECT b, h, t, CAST(c AS BIGINT) AS c, round(sum(p * v), 6) AS out FROM (SELECT b, h, t, p, unnest(v) AS v, unnest(range(0, 4)) AS c FROM p) GROUP BY 1, 2, 3, 4")
+@query("W03 E19", f"WITH q AS {_QKV}, s AS (SELECT a.b, a.h, a.t, c.t AS t2, list_dot_product(a.q, c.k) * 0.5::DOUBLE AS s, c.v FROM q a JOIN q c ON a.b = c.b AND a.h = c.h AND c.t <= a.t), p AS (SELECT *, exp(s - max(s) OVER w) / sum(exp(s)) OVER w * exp(max(s) OVER w) AS p FROM s WINDOW w AS (PARTITION BY b, h, t)) SELECT b, h, t, CAST(c AS BIGINT) AS c, round(sum(p * v), 6) AS out FROM (SELECT b, h, t, p, unnest(v) AS v, unnest(range(0, 4)) AS c FROM p) GROUP BY 1, 2, 3, 4")
 def causal_attention(spark, sf_dir):
     x = _x(spark, sf_dir).withColumn("h", F.explode(F.array(F.lit(0), F.lit(1))))
     part = lambda k: F.slice("x", F.col("h") * 16 + k, F.lit(4))

@@ -44,7 +44,7 @@ def token_lead_targets(spark, sf_dir):
     return tk.next_token(_tokens(spark, sf_dir).where("shard < 3"))
 
 
-@query("P04 P05 X03", f"WITH t AS (SELECT *, lead(tok) OVER (PARTITION BY shard ORDER BY pos) AS target, count(*) OVER (PARTITION BY shard) AS n FROM ({SHARD})) SELECT shard, (pos - 512) // 1024 AS step, ((pos - 512) % 1024) // 128 AS row, (pos - 512) % 128 AS t, tok AS input, target FROM t WHERE pos >= 512 AND (pos - 512) % 1024 < 512 AND pos // 1024 < (n - 1) // 1024 AND shard < 3")
+@query("P04 X03", f"WITH t AS (SELECT *, lead(tok) OVER (PARTITION BY shard ORDER BY pos) AS target, count(*) OVER (PARTITION BY shard) AS n FROM ({SHARD})) SELECT shard, (pos - 512) // 1024 AS step, ((pos - 512) % 1024) // 128 AS row, (pos - 512) % 128 AS t, tok AS input, target FROM t WHERE pos >= 512 AND (pos - 512) % 1024 < 512 AND pos // 1024 < (n - 1) // 1024 AND shard < 3")
 def batch_slices(spark, sf_dir):
     t = _tokens(spark, sf_dir).where("shard < 3")
     return tk.batches(t, t.groupBy("shard").agg(F.count(F.lit(1)).alias("n")), 4, 128, ranks=2, rank=1)
