@@ -219,6 +219,13 @@ def gradient_accumulation(spark, sf_dir):
     return micro.groupBy("i").agg(F.round(F.sum("g") / 4, 6).alias("g"))
 
 
+# As above, but over all vectors: the mean over as many micro-steps as there are.
+@query("O06", f"SELECT i, round(sum(v) / count(DISTINCT vec_id // 100), 6) AS g FROM {_L} GROUP BY i")
+def gradient_accumulation_whole(spark, sf_dir):
+    micro = _logits(spark, sf_dir).groupBy(F.floor(F.col("vec_id") / 100).alias("micro"), "i").agg(F.sum("v").alias("g"))
+    return micro.groupBy("i").agg(F.round(F.sum("g") / F.count(F.lit(1)), 6).alias("g"))
+
+
 @query("X05", f"SELECT i // 16 AS shard, count(*) AS n FROM {_L} GROUP BY 1")
 def optimizer_shards(spark, sf_dir):
     return _logits(spark, sf_dir).groupBy(F.floor(F.col("i") / 16).alias("shard")).agg(F.count(F.lit(1)).alias("n"))

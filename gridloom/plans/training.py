@@ -50,6 +50,20 @@ def batch_slices(spark, sf_dir):
     return tk.batches(t, t.groupBy("shard").agg(F.count(F.lit(1)).alias("n")), 4, 128, ranks=2, rank=1)
 
 
+# The two queries above and their SQL are held to the first three shards; these two do all of them.
+
+
+@query("W07", f"SELECT shard, pos, tok, lead(tok) OVER (PARTITION BY shard ORDER BY pos) AS target FROM ({SHARD})")
+def token_lead_targets_whole(spark, sf_dir):
+    return tk.next_token(_tokens(spark, sf_dir))
+
+
+@query("P04 X03", f"WITH t AS (SELECT *, lead(tok) OVER (PARTITION BY shard ORDER BY pos) AS target, count(*) OVER (PARTITION BY shard) AS n FROM ({SHARD})) SELECT shard, (pos - 512) // 1024 AS step, ((pos - 512) % 1024) // 128 AS row, (pos - 512) % 128 AS t, tok AS input, target FROM t WHERE pos >= 512 AND (pos - 512) % 1024 < 512 AND pos // 1024 < (n - 1) // 1024")
+def batch_slices_whole(spark, sf_dir):
+    t = _tokens(spark, sf_dir)
+    return tk.batches(t, t.groupBy("shard").agg(F.count(F.lit(1)).alias("n")), 4, 128, ranks=2, rank=1)
+
+
 @query("K08 T06", f"SELECT split, count(*) AS n, CAST(sum(tok) AS BIGINT) AS sum FROM (SELECT tok, CASE WHEN p < 32768 THEN 'val' ELSE 'train' END AS split FROM ({STREAM})) GROUP BY split")
 def val_head_split(spark, sf_dir):
     t = _tokens(spark, sf_dir, 1 << 60)
