@@ -1,13 +1,16 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Four transducers read a text's tokens, each composed with the one before it:
+A lexicon with clause patterns, read in one pass over a text's tokens (no transducer is built as an
+object of its own):
 
-* lexicon: words (as a whole, or by a stem arc of their first letters) to the classes INSULT and
-  THREAT with weights, both learned from labels, and to TARGET, NEGATION and REPORT (fixed lists);
+* lexicon: words (as a whole, or by a stem arc of their first letters) with weights learned from
+  labels, the insults; and the fixed lists THREAT, TARGET, NEGATION and REPORT;
 * clause: splits the tokens at sentence marks and line ends, so that weights never meet across them;
-* polarity: an insult or threat within `SPAN` tokens after a negation, or in a clause with a verb of
-  reported speech before it, passes on a share of its weight only;
-* target: an insult or threat with a target word in its clause passes on more than its weight.
+* patterns: a threat word and a target in one clause match by themselves, each threat word with a
+  weight of its own, whether the lexicon has it or not; so does an insult with a target. The weights
+  are learned from labels, drawn to `PRIOR` or `PULL` where few documents have the pattern;
+* polarity: an insult or pattern within `SPAN` tokens after a negation, or in a clause with a verb of
+  reported speech before it, passes on a share of its weight only.
 
 What a text yields is its matched clauses with weights. The score is a logistic function, fitted on
 the training fold, of the heaviest clause, the number of matched clauses, their total and their
@@ -26,7 +29,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +44,11 @@ LEXICON = 5_000
 STEMS = (4, 5, 6)
 #: Tokens after a negation that it reaches.
 SPAN = 3
+#: Log odds of a threat word with a target, and of an insult with one besides the insult's own, before
+#: any document is seen, and the documents that they count for.
+PRIOR, PULL, WORTH = 2.0, 0.3, 5
+#: Tokens that a clause is read on either side of a hit.
+NEAR = 40
 STRIP = ".,;:!?\"'()[]{}#*$%&|<>-_~`"
 
 #: Closed word classes of the grammar (fixed values), in the languages of the corpus.
@@ -58,9 +66,13 @@ class Grammar:
     stems: dict[str, float]
     model: np.ndarray
     cut: float
+    #: Weight of each threat word with a target in its clause.
+    threats: dict[str, float] = field(default_factory=lambda: dict.fromkeys(THREAT, PRIOR))
+    #: Weight of a target in an insult's clause.
+    pull: float = PULL
 
     def __post_init__(self):
-        self.triggers = np.sort(_hashed([*self.words]))
+        self.triggers = np.sort(_hashed([*self.words, *(t for t, w in self.threats.items() if w)]))
         self.stem_triggers = {k: np.sort(_hashed([s for s in self.stems if len(s.encode()) == k])) for k in {len(s.encode()) for s in self.stems}}
 
     def weight(self, token: str) -> float:
@@ -75,25 +87,30 @@ class Grammar:
             if i <= last:
                 continue
             lo = i
-            while lo and i - lo < 40 and not _MARK.search(tokens[lo - 1]):
+            while lo and i - lo < NEAR and not _MARK.search(tokens[lo - 1]):
                 lo -= 1
             hi = i
-            while hi < len(tokens) - 1 and hi - i < 40 and not _MARK.search(tokens[hi]):
+            while hi < len(tokens) - 1 and hi - i < NEAR and not _MARK.search(tokens[hi]):
                 hi += 1
             last = hi
             total, negated, reported, targeted = 0.0, -SPAN - 1, False, False
             clause = [t.lower().strip(STRIP) for t in tokens[lo : hi + 1]]
             targeted = any(t in _TARGET for t in clause)
+            insulted = 0.0
             for j, t in enumerate(clause):
                 if t in _NEGATION:
                     negated = j
                 elif t in _REPORT:
                     reported = True
+                share = (0.5 if j - negated <= SPAN else 1.0) * (0.7 if reported else 1.0)
                 w = self.weight(t)
-                if w:
-                    w *= 0.5 if j - negated <= SPAN else 1.0
-                    w *= 0.7 if reported else 1.0
-                    total += w * (1.1 if targeted or t in _THREAT else 1.0)
+                if targeted and t in _THREAT:
+                    w = max(w, self.threats.get(t, 0.0))
+                elif w:
+                    insulted = max(insulted, share)
+                total += w * share
+            if targeted:
+                total += self.pull * insulted
             if total:
                 out.append(total)
         return out
@@ -139,6 +156,21 @@ def _hits(g: Grammar, w: tv.Words, h: np.ndarray) -> np.ndarray:
     return np.flatnonzero(hit)
 
 
+def _clause(piece: bytes, at: int, more: bool) -> tuple[list[str], int]:
+    """The tokens from a hit to the end of its clause, NEAR after it at most, and the place in the text
+    where they end; at: the hit's place. With more, a token that piece cuts off is left for later."""
+    text = piece.decode(errors="ignore")
+    tokens, end = [], 0
+    for x in re.finditer(r"\n|[^\s]+", text):
+        if more and tokens and x.end() == len(text):
+            break
+        tokens.append("." if x[0] == "\n" else x[0])
+        end = x.end()
+        if len(tokens) > NEAR or _MARK.search(tokens[-1]):
+            break
+    return tokens, at + max(1, len(text[:end].encode()))
+
+
 def features(g: Grammar, texts: pa.Array) -> np.ndarray:
     """Heaviest clause, log of matched clauses, log of total weight, density; a row for each text."""
     out = np.zeros((len(texts), 4))
@@ -151,22 +183,17 @@ def features(g: Grammar, texts: pa.Array) -> np.ndarray:
         for d in np.unique(docs).tolist():
             raw = c.bytes[c.off[d] : c.off[d + 1]]
             marks = w.start[hits[docs == d]] - c.off[d]
-            weights, n = [], 0
+            weights = []
             # clauses around the hits, from the raw text near them
             done = 0
             for m in marks.tolist():
                 if m < done:
                     continue
                 lo, hi = max(done, m - 400), min(len(raw), m + 400)
-                piece = raw[lo:hi].tobytes()
-                head = piece[: m - lo].decode(errors="ignore").replace("\n", " . ").split()
-                tail = piece[m - lo :].decode(errors="ignore").replace("\n", " . ").split()
-                if not tail:
-                    continue
-                weights += g.clauses(head + tail, [len(head)])
-                stop = re.search(rb"[.!?;](\s|$)|\n", piece[m - lo :])
-                done = m + (stop.end() if stop else len(piece) - (m - lo))
-                n += 1
+                head = raw[lo:m].tobytes().decode(errors="ignore").replace("\n", " . ").split()
+                tail, done = _clause(raw[m:hi].tobytes(), m, hi < len(raw))
+                if tail:
+                    weights += g.clauses(head + tail, [len(head)])
             if weights:
                 words = max(1, int(w.first[d + 1] - w.first[d]))
                 out[c.lo + d] = (min(12, max(weights)), np.log1p(len(weights)), np.log1p(sum(weights)), np.log1p(100 * len(weights) / words))
@@ -186,6 +213,47 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(forms, pa.string()), pa.array(toxic, pa.int64())], names=["form", "toxic"])
 
 
+def _patterns(g: Grammar):
+    """(pattern, toxic) once for each document: threat words that meet a target in a clause, and
+    whether its insults meet one ("insult+", else "insult")."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, toxic = [], []
+            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                own = set()
+                for clause in re.split(r"[.!?;](?:\s|$)|\n", text or ""):
+                    words = {x.strip(STRIP) for x in clause.lower().split()}
+                    targeted = not words.isdisjoint(_TARGET)
+                    if targeted:
+                        own |= words & _THREAT
+                    if "insult+" not in own and any(w not in _THREAT and g.weight(w) for w in words):
+                        own.add("insult+" if targeted else "insult")
+                if "insult+" in own:
+                    own.discard("insult")
+                found += own
+                toxic += [y] * len(own)
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(toxic, pa.int64())], names=["form", "toxic"])
+
+    return run
+
+
+def _learned(g: Grammar, rows: DataFrame, base: float) -> tuple[dict[str, float], float]:
+    """Weights of the threat words with a target, and of a target besides an insult; none below 0."""
+    seen = rows.mapInArrow(_patterns(g), "form string, toxic long").groupBy("form").agg(F.sum("toxic"), F.count(F.lit(1))).collect()
+    count = {form: (t, n) for form, t, n in seen}
+
+    def odds(form: str) -> tuple[float, int]:
+        t, n = count.get(form, (0, 0))
+        p = (t + base) / (n + 1)
+        return float(np.log(p / (1 - p)) - np.log(base / (1 - base))), n
+
+    drawn = lambda w, n, prior: max(0.0, (n * w + WORTH * prior) / (n + WORTH))
+    threats = {t: drawn(*odds(t), PRIOR) for t in THREAT}
+    (a, n), (b, m) = odds("insult+"), odds("insult")
+    return threats, drawn(a - b, min(n, m), PULL)
+
+
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", most: int = SAMPLE) -> Grammar | None:
     known = labels.where(F.col("toxic").isNotNull() & F.col(key).isNotNull() & ~held_out(key)).groupBy(F.col(key).alias("doc_id")).agg(F.max("toxic").cast("long").alias("toxic"))
     picked = sample(known, most)
@@ -204,7 +272,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         entries = dict(zip(top["form"], top["w"]))
         stems = {k[:-1]: v for k, v in entries.items() if k.endswith("*")}
         words = {k: v for k, v in entries.items() if not k.endswith("*")}
-        g = Grammar(words, stems, np.zeros(5), 0.0)
+        threats, pull = _learned(Grammar(words, stems, np.zeros(5), 0.0), rows, bad / n)
+        g = Grammar(words, stems, np.zeros(5), 0.0, threats, pull)
         # features of the same rows, on the executors
         spec = "f0 double, f1 double, f2 double, f3 double, toxic long"
         t = rows.mapInArrow(_featured(g), spec).toPandas()

@@ -4,6 +4,7 @@ import zlib
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -68,6 +69,18 @@ def test_grammar_composes():
     assert g.weight("bleping") == 3.0 and g.weight("ble") == 0 and one("clean. idiot. clean") == plain
 
 
+def test_threats_match_by_themselves_and_run_ons_are_read_whole():
+    g = toxicity.Grammar({"idiot": 4.0}, {}, np.zeros(5), 0.0)
+    f = lambda *texts: toxicity.features(g, pa.array(texts))
+    threat, lone, apart, insult = f("well I will kill you today.", "they say", "to kill time. you know", "an idiot here.")
+    assert threat[0] > 0 and not lone.any() and not apart.any() and insult[0] == 4
+    assert f("you will not kill them")[0, 0] < threat[0]
+    # 41 tokens of two letters end long before 400 bytes do: the next hit has a clause of its own
+    far = f("idiot " + "ab " * 60 + "idiot " + "ab " * 60 + "idiot")[0]
+    assert far[1] == np.log1p(3) and far[2] == np.log1p(12)
+    assert f("idiot idiot ab")[0, 0] == 8 and f("idiot\nidiot\nab")[0, 1] == np.log1p(2)
+
+
 def test_classifiers_without_anything_to_learn(spark, docs):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     d = docs([None, "", "a b"])
