@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..session import stored
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for each node of an edge: component is the smallest node reachable.
 
     Alternates large-star and small-star steps: every node hands its larger neighbours to the
@@ -18,7 +18,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     """
     e = stored(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct(), "edges")
     last = None
-    for _ in range(rounds):
+    while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         # large star: larger neighbours of u link to the smallest node near u
@@ -31,8 +31,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         if tuple(now) == last:
             break
         last = tuple(now)
-    else:
-        raise RuntimeError("components did not settle")
     star = e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
     roots = e.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
     return stored(star.unionByName(roots).groupBy("node").agg(F.min("component").alias("component")), "components")

@@ -8,8 +8,10 @@ Signatures: the shingle domain (64-bit hashes) is cut into n partitions, n fixed
 sizes. What a set holds in one partition is that partition's projection. Two linked sets differ in
 at most H projections, so under any common order of the projections they share
 
-* one among the first k + 1 projections of each (bands of 16 shingles and more), and
-* a pair among the first k + 2 projections of each, all pairs being enumerated (below 16).
+* a subset of two among the first k + 2 projections of each, all of them being enumerated, where
+  sets have less than 64 shingles, and
+* a subset of one among the first k + 1 projections of each, where they have more: enumerating larger
+  subsets would cost (k + 2)(k + 1) / 2 signatures a set there.
 
 A set with fewer projections than that gives the band's one "sparse" signature as well, so no link
 is lost. Sets within a quarter below a band's border also sign for the band above. The order puts
@@ -17,11 +19,13 @@ projections last that hold shingles which many documents share (bounded table of
 HOT entries, found by counting in every split), so that shared passages don't gather candidates.
 The order is for cost only: whatever the table holds, the result is exact.
 
-Documents with equal sets are one node. Candidates in a signature's run are first compared with
-the run's hub only; verified links become components, and of a run's other pairs just those are
-compared that lie in different components and that what is known of both and the hub leaves
-possible. So a group of near copies never gives all its pairs, and yet every pair that could join
-two components is either verified on its whole texts or ruled out by an exact bound.
+Documents with equal sets are one node. A signature's run is compared with its hub only; verified
+links become components, and nodes of a run are looked at again just where they lie in different
+components and what is known of both and the hub leaves a link possible: they share a shingle that the
+hub lacks (which makes a finer run), or their sizes and overlaps with the hub allow it (see `_beside`),
+or the hub is far from them (then the run goes on without it, see `_settle`). So the work on a group of
+near copies grows with the group, and yet every pair that could join two components is either verified
+on its whole texts or ruled out by an exact bound.
 
 Hash identity: shingles and sets are told apart by 64-bit hashes.
 
@@ -33,6 +37,7 @@ Other columns are ignored. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,7 +56,7 @@ HOT = 1 << 17
 LOCAL = 3
 #: Shingles counted together.
 STRETCH = 1 << 21
-BORDERS = (16, 64, 256, 1024, 4096, 16384, 65536, 1 << 18, 1 << 20, 1 << 22)
+BORDERS = (64, 256, 1024, 4096, 16384, 65536, 1 << 18, 1 << 20, 1 << 22)
 #: Sets already signed for that a task remembers, so that it signs for copies once.
 SEEN = 200_000
 #: Members of a hub that are compared in one task.
@@ -59,8 +64,11 @@ STAR = 128
 #: Nodes up to which their texts are found by a broadcast of their keys (16 bytes each).
 SMALL = 500_000
 
-#: What comparing a with b tells: sizes, intersection, and 128-bit maps of a - b and of b - a.
-COMPARED = "a long, b long, na long, nb long, inter long, less0 long, less1 long, more0 long, more1 long"
+#: Hub rounds on runs before what is left of them is paired.
+ROUNDS = 4
+
+#: What comparing a with b tells: sizes, intersection, and the shingles of b that a lacks.
+COMPARED = "a long, b long, na long, nb long, inter long, added array<long>"
 
 U = np.uint64
 
@@ -176,7 +184,7 @@ class Signer:
 
     def _band(self, e, weight, first, docs, band):
         size = np.diff(first)[docs]
-        low = np.concatenate([[16], BORDERS])[band]
+        low = np.concatenate([BORDERS[:1], BORDERS])[band]
         bits = np.minimum(62, np.log2(low).astype(np.int64) + 3)  # 8 partitions for each shingle of the band's least set
         each = np.repeat(np.arange(len(docs)), size)
         at = np.arange(len(each)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(first[:-1][docs], size)
@@ -239,13 +247,6 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield part.filter(pa.array(node == part.column(0).to_numpy(zero_copy_only=False)))
 
 
-def _map(e: np.ndarray) -> tuple[int, int]:
-    """A bit for each of 128 cells that some of the shingles fall into, as two signed longs."""
-    cells = np.zeros(128, np.uint8)
-    cells[(e & U(127)).astype(np.int64)] = 1
-    return tuple(np.packbits(cells, bitorder="little").view(np.int64).tolist())
-
-
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (a, part, b, text), each hub's own first (b null): what COMPARED lists."""
     hub, e0 = None, None
@@ -265,23 +266,10 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     ordered = both[by]
                     same = np.zeros(len(both) + 1, bool)
                     same[1:-1] = ordered[1:] == ordered[:-1]
-                    alone, mine = ~(same[1:] | same[:-1]), by < len(e0)
-                    inter = int(same.sum())
-                    got.append((a[row], b[row], len(e0), len(s), inter, *_map(ordered[alone & mine]), *_map(ordered[alone & ~mine])))
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*got) if got else [[]] * 9)], names=[f.split()[0] for f in COMPARED.split(", ")])
-
-
-#: Whether a pair (l, r) of a run can link. Sizes first; then, for two nodes that were compared
-#: with the run's hub c, an upper bound of their intersection: what of c neither lacks, and what
-#: both have besides c. A cell of a map that only one side fills holds a shingle that differs.
-MAY = """
-    10 * least(l.n, r.n) >= 8 * greatest(l.n, r.n) and coalesce(9 * (
-        l.nc - bit_count(l.less0 | r.less0) - bit_count(l.less1 | r.less1)
-        + least(l.n - l.inter - bit_count(l.more0 & ~r.more0) - bit_count(l.more1 & ~r.more1),
-                r.n - r.inter - bit_count(r.more0 & ~l.more0) - bit_count(r.more1 & ~l.more1))
-    ) >= 4 * (l.n + r.n), true)
-    and not (l.far and coalesce(r.d <= 0.3, false)) and not (r.far and coalesce(l.d <= 0.3, false))
-"""
+                    more = ~(same[1:] | same[:-1]) & (by >= len(e0))
+                    got.append((a[row], b[row], len(e0), len(s), int(same.sum()), ordered[more].view(np.int64)))
+        *numbers, added = zip(*got) if got else [[]] * 6
+        yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in numbers), pa.array(added, pa.list_(pa.int64()))], names=[f.split()[0] for f in COMPARED.split(", ")])
 
 
 def _compared(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, slack: int = 1) -> DataFrame:
@@ -306,6 +294,95 @@ def _compared(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, slack: int =
     return stored(found.withColumn("linked", F.expr("100 * inter >= 80 * (na + nb - inter)")), "compared")
 
 
+def _apart(runs: DataFrame, comp: DataFrame | None) -> DataFrame:
+    """Of runs (sig, node and more) those with nodes of several components; of runs of the same nodes
+    one. Adds component."""
+    if comp is None:
+        runs = runs.withColumn("component", F.col("node"))
+    else:
+        runs = runs.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    per = runs.groupBy("sig").agg(
+        F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("c"),
+        F.bit_xor(F.xxhash64("node")).alias("h"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("i"),
+    )
+    once = per.where("x <> y").groupBy("c", "h", "i").agg(F.min("sig").alias("sig")).select("sig")
+    return stored(runs.join(once, "sig"), "apart")
+
+
+def _spokes(runs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(sig, node, n, component, hub, nc) for each node of a run but its hub, which is the node of most
+    runs: of near copies, the one that the others were made from. nc: the hub's size."""
+    size = nodes.select("node", "n")
+    degree = runs.groupBy("node").agg(F.count(F.lit(1)).alias("runs")).join(size, "node")
+    runs = stored(runs.select("sig", "node", "component").join(degree, "node"), "degrees")
+    hubs = runs.groupBy("sig").agg(F.max(F.struct("runs", "node", "n")).alias("top"))
+    out = runs.join(hubs, "sig").select("sig", "node", "n", "component", F.col("top.node").alias("hub"), F.col("top.n").alias("nc"))
+    return stored(out.where("node <> hub"), "spokes")
+
+
+def _beside(near: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Where two nodes u and v that were compared with one hub, and lie in different components, can
+    link: (runs of those that share a shingle which the hub lacks, pairs of others).
+
+    near: hub, nc, node, n, component, inter, added. With A what a node has besides the hub and L what
+    it lacks of it, a link means 9 H <= n(u) + n(v). Where A(u) and A(v) have nothing in common,
+    H >= |A(u)| + |A(v)| + ||L(u)| - |L(v)||, hence 9 (|A(u)| + |L(u)|) - n(u) <= 9 n(hub) - 8 n(v)."""
+    group = near.groupBy("hub").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("hub")
+    near = stored(near.join(group, "hub"), "near")
+    shared = near.select(F.explode("added").alias("e"), "hub", "node").select(F.xxhash64("hub", "e").alias("sig"), "node").distinct()
+    m = near.select("hub", "node", "n", "component", (F.col("n") - F.col("inter")).alias("a"), (F.col("nc") - F.col("inter")).alias("l"), F.expr("100 * inter >= 80 * (n + nc - inter)").alias("linked"), F.expr("9 * (n + nc - 2 * inter) - n").alias("g"), F.expr("9 * nc - 8 * n").alias("f"))
+    bound = m.groupBy("hub").agg(F.min(F.when(~F.col("linked"), F.col("g"))).alias("least"), F.max("f").alias("most"))
+    m = stored(m.join(bound, "hub"), "bounds")
+    u, v = m.where("not linked and g <= most").alias("u"), m.where("f >= least").alias("v")
+    # of two nodes in different components one at least isn't linked with the hub
+    meet = u.join(v, F.expr("u.hub = v.hub and u.component <> v.component and u.node <> v.node and u.g <= v.f and v.g <= u.f and 9 * (u.a + v.a + abs(u.l - v.l)) <= u.n + v.n and (v.linked or u.node < v.node)"))
+    return shared, meet.select(F.least("u.node", "v.node").alias("a"), F.greatest("u.node", "v.node").alias("b"))
+
+
+def _settle(runs: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
+    """(node, component) of the nodes that link with others; runs: (sig, node), each of two nodes or more.
+
+    A round compares each run's nodes with its hub alone. Nodes that the hub can't tell apart from
+    others, since it shares less than half with them, are a run of their own in the next round, with
+    those others that the triangle inequality leaves them; of nodes compared with one hub `_beside`
+    tells which can link. After ROUNDS what is left of the runs is paired."""
+    empty = nodes.sparkSession.createDataFrame([], "a long, b long")
+    links, comp, pairs = empty, None, empty
+    for turn in range(ROUNDS):
+        runs = runs if turn > 1 else _apart(runs, comp)
+        if not runs.limit(1).count():
+            break
+        spokes = _spokes(runs, nodes)
+        # less than half in common by size alone needs no look
+        sized = spokes.where("2 * least(n, nc) >= greatest(n, nc)")
+        stars = _compared(sized.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), nodes, rows, slack=3)
+        links = stored(links.unionByName(stars.where("linked").select("a", "b")), "links")
+        comp = components(links)
+        left = _apart(spokes.drop("component"), comp)
+        seen = stars.select(F.col("a").alias("hub"), F.col("b").alias("node"), "inter")
+        left = stored(left.join(seen, ["hub", "node"], "left"), "left")
+        if turn:
+            runs = left.select("sig", "node", "component")
+            continue
+        far = left.where("inter is null").select("sig").distinct()
+        # a band of sizes and the next: nodes that link are of the same or of neighbouring bands
+        band = F.floor(F.log("n") / math.log(1.26))
+        far = left.join(far, "sig").where("inter is null or 10 * inter < 7 * (n + nc - inter)").withColumn("band", F.explode(F.array(band, band + 1)))
+        runs = far.select(F.xxhash64("sig", "band").alias("sig"), "node")
+        near = left.where("inter is not null").select("hub", "node", "nc", "n", "component", "inter").distinct()
+        shared, meet = _beside(near.join(stars.select(F.col("a").alias("hub"), F.col("b").alias("node"), "added"), ["hub", "node"]))
+        runs = stored(runs.unionByName(shared), "second")
+        pairs = stored(meet.distinct(), "beside")
+    else:
+        l = runs.join(nodes.select("node", "n"), "node")
+        meet = l.alias("l").join(l.alias("r"), F.expr("l.sig = r.sig and l.node < r.node and l.component <> r.component and 10 * least(l.n, r.n) >= 8 * greatest(l.n, r.n)"))
+        pairs = stored(pairs.unionByName(meet.select(F.col("l.node").alias("a"), F.col("r.node").alias("b"))).distinct(), "pairs")
+    if pairs.limit(1).count():
+        links = stored(links.unionByName(_compared(pairs, nodes, rows).where("linked").select("a", "b")), "links")
+        comp = components(links)
+    return comp if comp is not None else empty.toDF("node", "component")
+
+
 def link(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id), a row for each row of docs; see the module."""
     spark = docs.sparkSession
@@ -328,25 +405,7 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     signed = rows.select("text").mapInArrow(_signatures(hot[order], weight), "sig long, node long")
     run = Window.partitionBy("sig")
     runs = signed.withColumn("x", F.min("node").over(run)).withColumn("y", F.max("node").over(run)).where("x <> y")
-    runs = stored(runs.drop("x", "y").distinct(), "runs")
-    # a run's hub is its node of most runs: of near copies, the one that the others were made from
-    degree = runs.groupBy("node").agg(F.count(F.lit(1)).alias("runs")).join(nodes.select("node", "n"), "node")
-    runs = runs.join(degree, "node").withColumn("top", F.max(F.struct("runs", "node", F.col("n").alias("nc"))).over(run))
-    runs = stored(runs.select("sig", "node", "n", F.col("top.node").alias("hub"), "top.nc").where("node <> hub"), "spokes")
-    sized = runs.where("10 * least(n, nc) >= 8 * greatest(n, nc)")
-    stars = _compared(sized.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), nodes, rows, slack=3)
-    comp = components(stars.where("linked"))
-    # pairs of a run that no link has brought into one component yet
-    known = runs.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    split = known.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("sig")
-    pivot = stars.select(F.col("a").alias("hub"), F.col("b").alias("node"), "inter", "less0", "less1", "more0", "more1")
-    known = known.join(split, "sig").join(pivot, ["hub", "node"], "left").withColumn("d", 1 - F.col("inter") / (F.col("n") + F.col("nc") - F.col("inter")))
-    left = stored(known.withColumn("far", F.expr("inter is null and 10 * least(n, nc) >= 8 * greatest(n, nc)")), "left")
-    l, r = left.alias("l"), left.alias("r")
-    pairs = l.join(r, F.expr("l.sig = r.sig and l.node < r.node and l.component <> r.component and " + MAY))
-    pairs = stored(pairs.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct(), "pairs")
-    if pairs.limit(1).count():
-        comp = components(stars.unionByName(_compared(pairs, nodes, rows)).where("linked"))
+    comp = _settle(stored(runs.drop("x", "y").distinct(), "runs"), nodes, rows)
     whole = sets.groupBy("node").agg(F.min("id").alias("least")).join(comp, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
     names = whole.groupBy("component").agg(F.min("least").alias("component_id"))
     member = whole.join(names, "component").select("node", "component_id")
