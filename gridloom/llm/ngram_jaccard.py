@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 
 from ..session import stored
 from . import textvec as tv
-from .graph import components
+from .graph import components, light, sized
 
 WORDS = 5
 #: Heavy hitters that the order knows of, at most.
@@ -61,8 +61,6 @@ BORDERS = (64, 256, 1024, 4096, 16384, 65536, 1 << 18, 1 << 20, 1 << 22)
 SEEN = 200_000
 #: Members of a hub that are compared in one task.
 STAR = 128
-#: Nodes up to which their texts are found by a broadcast of their keys (16 bytes each).
-SMALL = 500_000
 
 #: Hub rounds on runs before what is left of them is paired.
 ROUNDS = 4
@@ -99,7 +97,7 @@ def _cells(e: np.ndarray, first: np.ndarray) -> list[bytes]:
 
 
 def _possible(slack: int):
-    """Of rows (a, b, na, nb, cells of a, cells of b) those whose parity maps allow H <= slack *
+    """Of rows (a, b, na, nb, cells of a, cells of b, keys ka and kb) those whose parity maps allow H <= slack *
     (na + nb) / 9: a cell of unlike parities holds a shingle that differs, whatever the sides share
     there. A link needs slack 1, a similarity of 0.5 slack 3."""
 
@@ -111,7 +109,7 @@ def _possible(slack: int):
                 k = min(len(x), len(y))
                 x, y = (np.bitwise_xor.reduce(v.reshape(-1, k), axis=0) for v in (x, y))
                 keep.append(9 * int(np.bitwise_count(x ^ y).sum()) <= slack * (na + nb))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            yield batch.select(["a", "b", "ka", "kb"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
@@ -272,115 +270,114 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in numbers), pa.array(added, pa.list_(pa.int64()))], names=[f.split()[0] for f in COMPARED.split(", ")])
 
 
-def _compared(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, slack: int = 1) -> DataFrame:
-    """Of pairs (a, b) of nodes those that bitmaps leave possible, with what comparing their whole
-    texts tells, and linked."""
-    side = nodes.select("node", "n", "cells")
-    pairs = pairs.join(side.toDF("a", "na", "ca"), "a").join(side.toDF("b", "nb", "cb"), "b")
-    pairs = stored(pairs.select("a", "b", "na", "nb", "ca", "cb").mapInArrow(_possible(slack), "a long, b long"), "possible")
-    involved = stored(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes, "node").select("node", "key"), "involved")
-    wanted = involved.select("key", "node")
-    if involved.count() <= SMALL:
-        wanted = F.broadcast(wanted)
+def _compared(pairs: DataFrame, count: int, nodes: DataFrame, rows: DataFrame, slack: int = 1) -> tuple[DataFrame, int]:
+    """Of distinct pairs (a, b) of nodes, `count` of them, those that parity maps leave possible, with what
+    comparing their whole texts tells, and linked; and how many these are."""
+    side = nodes.select("node", "key", "n", "cells")
+    few = light(pairs, count)
+    one, two = side.toDF("a", "ka", "na", "ca").join(few, "a"), side.toDF("b", "kb", "nb", "cb").join(few, "b")
+    maps = one.join(two, ["a", "b"]).select("a", "b", "na", "nb", "ca", "cb", "ka", "kb")
+    pairs, count, _ = sized(maps.mapInArrow(_possible(slack), "a long, b long, ka long, kb long"), "possible")
+    both = F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("ka").alias("key")), F.struct(F.col("b").alias("node"), F.col("kb").alias("key"))))
+    wanted = light(pairs.select(both.alias("x")).select("x.key", "x.node").distinct(), 2 * count)
     texts = rows.join(wanted, "key").select("node", "text").mapInArrow(_texts, "node long, text string")
     texts = stored(texts.dropDuplicates(["node"]), "texts")
-    degree = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / STAR).cast("int").alias("parts"))
-    members = pairs.join(degree, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "b")
-    members = members.join(texts.withColumnRenamed("node", "b"), "b").select("a", "part", "b", "text")
-    hubs = degree.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    hubs = hubs.join(texts.withColumnRenamed("node", "a"), "a").select("a", "part", F.lit(None).cast("long").alias("b"), "text")
-    rows = members.unionByName(hubs).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
-    found = rows.mapInArrow(_compare, COMPARED)
-    return stored(found.withColumn("linked", F.expr("100 * inter >= 80 * (na + nb - inter)")), "compared")
-
-
-def _apart(runs: DataFrame, comp: DataFrame | None) -> DataFrame:
-    """Of runs (sig, node and more) those with nodes of several components; of runs of the same nodes
-    one. Adds component."""
-    if comp is None:
-        runs = runs.withColumn("component", F.col("node"))
-    else:
-        runs = runs.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    pairs = pairs.select("a", "b")
+    degree, hubs, _ = sized(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / STAR).cast("int").alias("parts")), "degrees")
+    members = pairs.join(light(degree, hubs), "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "b")
+    members = texts.withColumnRenamed("node", "b").join(light(members, count), "b").select("a", "part", "b", "text")
+    starts = degree.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    starts = texts.withColumnRenamed("node", "a").join(light(starts, count), "a").select("a", "part", F.lit(None).cast("long").alias("b"), "text")
+    laid = members.unionByName(starts).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+    found = laid.mapInArrow(_compare, COMPARED)
+    return sized(found.withColumn("linked", F.expr("100 * inter >= 80 * (na + nb - inter)")), "compared")[:2]
+
+
+#: What is known of a node in a run: its size, in how many of the first runs it is, its component so far.
+MEMBER = ("sig", "node", "n", "runs", "component")
+
+
+def _spokes(runs: DataFrame) -> tuple[DataFrame, int]:
+    """Of runs (MEMBER) those with nodes of several components, and of runs of the same nodes one: each node
+    but the run's hub, with hub, nc and hc (the hub's size and component); and how many rows these are.
+    The hub is the node of most runs: of near copies, the one that the others were made from."""
     per = runs.groupBy("sig").agg(
         F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("c"),
-        F.bit_xor(F.xxhash64("node")).alias("h"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("i"),
+        F.bit_xor(F.xxhash64("node")).alias("h"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("i"), F.max(F.struct("runs", "node", "n", "component")).alias("top"),
     )
-    once = per.where("x <> y").groupBy("c", "h", "i").agg(F.min("sig").alias("sig")).select("sig")
-    return stored(runs.join(once, "sig"), "apart")
-
-
-def _spokes(runs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(sig, node, n, component, hub, nc) for each node of a run but its hub, which is the node of most
-    runs: of near copies, the one that the others were made from. nc: the hub's size."""
-    size = nodes.select("node", "n")
-    degree = runs.groupBy("node").agg(F.count(F.lit(1)).alias("runs")).join(size, "node")
-    runs = stored(runs.select("sig", "node", "component").join(degree, "node"), "degrees")
-    hubs = runs.groupBy("sig").agg(F.max(F.struct("runs", "node", "n")).alias("top"))
-    out = runs.join(hubs, "sig").select("sig", "node", "n", "component", F.col("top.node").alias("hub"), F.col("top.n").alias("nc"))
-    return stored(out.where("node <> hub"), "spokes")
+    once = per.where("x <> y").groupBy("c", "h", "i").agg(F.min(F.struct("sig", "top")).alias("s"))
+    hubs, count, _ = sized(once.select("s.sig", F.col("s.top.node").alias("hub"), F.col("s.top.n").alias("nc"), F.col("s.top.component").alias("hc")), "hubs")
+    return sized(runs.join(light(hubs, count), "sig").where("node <> hub"), "spokes")[:2]
 
 
-def _beside(near: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _beside(near: DataFrame, stars: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Where two nodes u and v that were compared with one hub, and lie in different components, can
     link: (runs of those that share a shingle which the hub lacks, pairs of others).
 
-    near: hub, nc, node, n, component, inter, added. With A what a node has besides the hub and L what
+    near: hub, nc, node, n, runs, component, inter. With A what a node has besides the hub and L what
     it lacks of it, a link means 9 H <= n(u) + n(v). Where A(u) and A(v) have nothing in common,
     H >= |A(u)| + |A(v)| + ||L(u)| - |L(v)||, hence 9 (|A(u)| + |L(u)|) - n(u) <= 9 n(hub) - 8 n(v)."""
-    group = near.groupBy("hub").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("hub")
-    near = stored(near.join(group, "hub"), "near")
-    shared = near.select(F.explode("added").alias("e"), "hub", "node").select(F.xxhash64("hub", "e").alias("sig"), "node").distinct()
-    m = near.select("hub", "node", "n", "component", (F.col("n") - F.col("inter")).alias("a"), (F.col("nc") - F.col("inter")).alias("l"), F.expr("100 * inter >= 80 * (n + nc - inter)").alias("linked"), F.expr("9 * (n + nc - 2 * inter) - n").alias("g"), F.expr("9 * nc - 8 * n").alias("f"))
-    bound = m.groupBy("hub").agg(F.min(F.when(~F.col("linked"), F.col("g"))).alias("least"), F.max("f").alias("most"))
-    m = stored(m.join(bound, "hub"), "bounds")
+    linked, g, f = F.expr("100 * inter >= 80 * (n + nc - inter)"), F.expr("9 * (n + nc - 2 * inter) - n"), F.expr("9 * nc - 8 * n")
+    near = near.withColumns({"linked": linked, "g": g, "f": f})
+    bound = near.groupBy("hub").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min(F.when(~F.col("linked"), F.col("g"))).alias("least"), F.max("f").alias("most"))
+    bound, hubs, _ = sized(bound.where("x <> y").select("hub", "least", "most"), "groups")
+    near, count, _ = sized(near.join(light(bound, hubs), "hub"), "near")
+    added = stars.select(F.col("a").alias("hub"), F.col("b").alias("node"), "added").join(light(near.select("hub", "node", "n", "runs", "component"), count), ["hub", "node"])
+    shared = added.select(F.explode("added").alias("e"), "hub", "node", "n", "runs", "component").withColumn("sig", F.xxhash64("hub", "e")).select(*MEMBER)
+    m = near.select("hub", "node", "n", "component", "linked", "g", "f", "least", "most", (F.col("n") - F.col("inter")).alias("a"), (F.col("nc") - F.col("inter")).alias("l"))
     u, v = m.where("not linked and g <= most").alias("u"), m.where("f >= least").alias("v")
     # of two nodes in different components one at least isn't linked with the hub
     meet = u.join(v, F.expr("u.hub = v.hub and u.component <> v.component and u.node <> v.node and u.g <= v.f and v.g <= u.f and 9 * (u.a + v.a + abs(u.l - v.l)) <= u.n + v.n and (v.linked or u.node < v.node)"))
     return shared, meet.select(F.least("u.node", "v.node").alias("a"), F.greatest("u.node", "v.node").alias("b"))
 
 
-def _settle(runs: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
-    """(node, component) of the nodes that link with others; runs: (sig, node), each of two nodes or more.
+def _settle(runs: DataFrame, nodes: DataFrame, rows: DataFrame) -> tuple[DataFrame, int]:
+    """(node, component) of the nodes that link with others, and how many; runs: (sig, node), of two
+    nodes or more each.
 
-    A round compares each run's nodes with its hub alone. Nodes that the hub can't tell apart from
-    others, since it shares less than half with them, are a run of their own in the next round, with
-    those others that the triangle inequality leaves them; of nodes compared with one hub `_beside`
-    tells which can link. After ROUNDS what is left of the runs is paired."""
+    A round compares each run's nodes with its hub alone. Nodes that share less than half with it are a
+    run of their own in the next round, with those others that the triangle inequality leaves them, split
+    by bands of sizes; of nodes compared with one hub `_beside` tells which can link. Later rounds go on
+    with what a run has besides its hub. After ROUNDS what is left of the runs is paired."""
+    degree = runs.groupBy("node").agg(F.count(F.lit(1)).alias("runs")).join(nodes.select("node", "n"), "node")
+    runs = runs.join(degree, "node").withColumn("component", F.col("node")).select(*MEMBER)
     empty = nodes.sparkSession.createDataFrame([], "a long, b long")
-    links, comp, pairs = empty, None, empty
+    links, pairs = empty, empty
     for turn in range(ROUNDS):
-        runs = runs if turn > 1 else _apart(runs, comp)
-        if not runs.limit(1).count():
+        spokes, count = _spokes(stored(runs, "members") if turn < 2 else runs)
+        if not count:
+            runs = runs.limit(0)
             break
-        spokes = _spokes(runs, nodes)
         # less than half in common by size alone needs no look
-        sized = spokes.where("2 * least(n, nc) >= greatest(n, nc)")
-        stars = _compared(sized.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), nodes, rows, slack=3)
-        links = stored(links.unionByName(stars.where("linked").select("a", "b")), "links")
-        comp = components(links)
-        left = _apart(spokes.drop("component"), comp)
-        seen = stars.select(F.col("a").alias("hub"), F.col("b").alias("node"), "inter")
-        left = stored(left.join(seen, ["hub", "node"], "left"), "left")
+        near, size, _ = sized(spokes.where("2 * least(n, nc) >= greatest(n, nc)").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "stars")
+        stars, size = _compared(near, size, nodes, rows, slack=3)
+        links = links.unionByName(stars.where("linked").select("a", "b"))
+        seen = stars.select(F.col("a").alias("hub"), F.col("b").alias("node"), "inter", "linked")
+        left = spokes.join(light(seen, size), ["hub", "node"], "left")
         if turn:
-            runs = left.select("sig", "node", "component")
+            # linked nodes are of their hub's component
+            runs = stored(left.withColumn("component", F.when(F.col("linked"), F.col("hc")).otherwise(F.col("component"))).select(*MEMBER), "left")
             continue
-        far = left.where("inter is null").select("sig").distinct()
+        comp, size = components(links)
+        left = left.drop("component").join(light(comp, size), "node", "left").withColumn("component", F.coalesce("component", "node"))
+        left = stored(left, "left")
+        unsettled = left.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.max(F.col("inter").isNull()).alias("far"))
+        unsettled, size, _ = sized(unsettled.where("x <> y").select("sig", "far"), "unsettled")
+        left = left.join(light(unsettled, size), "sig")
         # a band of sizes and the next: nodes that link are of the same or of neighbouring bands
         band = F.floor(F.log("n") / math.log(1.26))
-        far = left.join(far, "sig").where("inter is null or 10 * inter < 7 * (n + nc - inter)").withColumn("band", F.explode(F.array(band, band + 1)))
-        runs = far.select(F.xxhash64("sig", "band").alias("sig"), "node")
-        near = left.where("inter is not null").select("hub", "node", "nc", "n", "component", "inter").distinct()
-        shared, meet = _beside(near.join(stars.select(F.col("a").alias("hub"), F.col("b").alias("node"), "added"), ["hub", "node"]))
-        runs = stored(runs.unionByName(shared), "second")
-        pairs = stored(meet.distinct(), "beside")
-    else:
-        l = runs.join(nodes.select("node", "n"), "node")
-        meet = l.alias("l").join(l.alias("r"), F.expr("l.sig = r.sig and l.node < r.node and l.component <> r.component and 10 * least(l.n, r.n) >= 8 * greatest(l.n, r.n)"))
-        pairs = stored(pairs.unionByName(meet.select(F.col("l.node").alias("a"), F.col("r.node").alias("b"))).distinct(), "pairs")
-    if pairs.limit(1).count():
-        links = stored(links.unionByName(_compared(pairs, nodes, rows).where("linked").select("a", "b")), "links")
-        comp = components(links)
-    return comp if comp is not None else empty.toDF("node", "component")
+        far = left.where("far and (inter is null or 10 * inter < 7 * (n + nc - inter))").withColumn("band", F.explode(F.array(band, band + 1)))
+        near = left.where("inter is not null").select("hub", "node", "nc", "n", "runs", "component", "inter").distinct()
+        shared, meet = _beside(near, stars)
+        runs = far.withColumn("sig", F.xxhash64("sig", "band")).select(*MEMBER).unionByName(shared)
+        pairs = meet
+    open_runs = runs.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("sig")
+    last = stored(runs.join(open_runs, "sig"), "last")
+    meet = last.alias("l").join(last.alias("r"), F.expr("l.sig = r.sig and l.node < r.node and l.component <> r.component and 10 * least(l.n, r.n) >= 8 * greatest(l.n, r.n)"))
+    pairs, count, _ = sized(pairs.unionByName(meet.select(F.col("l.node").alias("a"), F.col("r.node").alias("b"))).distinct(), "pairs")
+    if count:
+        links = links.unionByName(_compared(pairs, count, nodes, rows)[0].where("linked").select("a", "b"))
+    return components(links)
 
 
 def link(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -405,10 +402,12 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     signed = rows.select("text").mapInArrow(_signatures(hot[order], weight), "sig long, node long")
     run = Window.partitionBy("sig")
     runs = signed.withColumn("x", F.min("node").over(run)).withColumn("y", F.max("node").over(run)).where("x <> y")
-    comp = _settle(stored(runs.drop("x", "y").distinct(), "runs"), nodes, rows)
-    whole = sets.groupBy("node").agg(F.min("id").alias("least")).join(comp, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
-    names = whole.groupBy("component").agg(F.min("least").alias("component_id"))
-    member = whole.join(names, "component").select("node", "component_id")
+    comp, count = _settle(stored(runs.drop("x", "y").distinct(), "runs"), nodes, rows)
+    # least ids of equal sets, then of components; nodes alone are named by their own
+    least = sets.groupBy("node").agg(F.min("id").alias("least"))
+    comp = light(comp, count)
+    names = least.join(comp, "node").groupBy("component").agg(F.min("least").alias("component_id"))
+    member = least.join(comp, "node", "left").join(light(names, count), "component", "left").select("node", F.when(F.col("component").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
     out = profile.where("kind = 0").join(member, "node", "left")
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
 

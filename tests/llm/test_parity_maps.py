@@ -8,8 +8,8 @@ from gridloom.llm import ngram_jaccard as j
 
 def _kept(a, b, slack):
     cells = j._cells(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]))
-    names = ["a", "b", "na", "nb", "ca", "cb"]
-    row = [pa.array([v]) for v in (1, 2, len(a), len(b))] + [pa.array([c], pa.binary()) for c in cells]
+    names = ["a", "b", "na", "nb", "ca", "cb", "ka", "kb"]
+    row = [pa.array([v]) for v in (1, 2, len(a), len(b))] + [pa.array([c], pa.binary()) for c in cells] + [pa.array([v]) for v in (1, 2)]
     return next(j._possible(slack)([pa.RecordBatch.from_arrays(row, names=names)])).num_rows == 1
 
 
