@@ -1,21 +1,25 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-Words are runs of letters and digits (ASCII signs part words, A-Z fold). The items' 5-grams are
-counted over all documents; of each item those are rare that are in no more documents than four times
-the item's lower quartile, plus 16. A 5-gram in a document places the item there; places that agree
-within a quarter of the item's length make one window, and the item is aligned with the window's words
-(match 2, other word -1, gap -1). A score of at least `least` of a full match is a leak, so copies with
-words changed, left out or put in are found as well. A rare 5-gram is a seed by itself; windows that
-only common ones place are aligned unless they hold too few of the item's words to reach `least`, which
-loses no leak. So a document that shares any 5-gram with an item is judged by its score alone, however
-many documents share it.
+Words are runs of letters and digits (ASCII signs part words, A-Z fold). Seeds are four words, in a row
+or with any one word between the second and the third: so a word changed, put in or left out between two
+pairs that stayed leaves a seed. The items' seeds are counted over all documents; of each item those are
+rare that are in no more documents than four times the item's lower quartile, plus 16. A seed in a
+document places the item there; places that agree within a quarter of the item's length make one window,
+and the item is aligned with the window's words (match 2, other word -1, gap -1). A score of at least
+`least` of a full match is a leak. A rare seed is enough by itself; windows that only common ones place
+are aligned unless they hold too few of the item's words to reach `least`, which loses no leak. So a
+document that shares any seed with an item is judged by its score alone, however many documents share it.
+Items of SEED to SHORTEST - 1 words are leaks only where they stand whole.
+
+Places of a seed that an item repeats are thinned to steps of an eighth of the item, which moves no
+window's border: the work on a pair grows with their lengths, not with the product of repeats.
 
 The benchmark goes to the executors in blocks of about BLOCK words (a bound on what is broadcast),
 each block against all documents. Documents are read whole and never shuffled.
 
-Defined cases: null or empty texts and items match nothing; items of fewer than `SHORTEST` words
-can't be told from chance and are not searched; equal items are reported each; repeated rows are
-reported each; other columns are ignored; either table may be empty.
+Defined cases: null or empty texts and items match nothing; items of fewer than SEED words are ordinary
+phrases and not searched; equal items are reported each; repeated rows are reported each; of equal scores
+in one document the first is reported; other columns are ignored; either table may be empty.
 """
 
 from __future__ import annotations
@@ -29,7 +33,9 @@ from pyspark.sql import functions as F
 
 from . import textvec as tv
 
-SEED = 5
+#: Words of a seed, and where they stand in its two forms.
+SEED, FORMS = 4, ((0, 1, 2, 3), (0, 1, 3, 4))
+#: Words of an item from which on edited copies are looked for.
 SHORTEST = 8
 BLOCK = 1_000_000
 LEAST = 0.5
@@ -48,8 +54,22 @@ def _words(c: tv.Chunk) -> tuple[tv.Words, np.ndarray]:
     return w, w.hashes()
 
 
+def seeds(word: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, document, place of the first word) of each seed; first: bounds of each document's words."""
+    found = []
+    for form in FORMS:
+        count = np.maximum(np.diff(first) - form[-1], 0)
+        doc = np.repeat(np.arange(len(count)), count)
+        start = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count) + first[:-1][doc]
+        h = np.zeros(len(doc), U)
+        for j, k in enumerate(form):
+            h += word[start + k] * tv._PLACE[j]
+        found.append((tv.mix(h, 23), doc, start))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
 class Items:
-    """Benchmark items as word hashes, with an index of their 5-grams."""
+    """Benchmark items as word hashes, with an index of their seeds."""
 
     def __init__(self, ids: list[int], texts: list[str]):
         self.ids, self.words, grams, item, place = [], [], [], [], []
@@ -57,8 +77,11 @@ class Items:
             w, h = _words(c)
             for d in range(c.n):
                 own = h[w.first[d] : w.first[d + 1]]
-                if len(own) >= SHORTEST:
-                    g, _, at = tv.grams(own, np.array([0, len(own)]), SEED, short=False)
+                if len(own) >= SEED:
+                    g, _, at = seeds(own, np.array([0, len(own)]))
+                    thin = at // max(1, len(own) // 8)
+                    _, keep = np.unique(np.column_stack([g, thin.astype(U)]), axis=0, return_index=True)
+                    g, at = g[keep], at[keep]
                     item += [len(self.ids)] * len(g)
                     grams.append(g)
                     place.append(at)
@@ -74,7 +97,7 @@ class Items:
         self.maybe[(self.distinct >> U(44)).astype(np.int64)] = True
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place in h, index of distinct) of each of h that is one of the distinct grams."""
+        """(place in h, index of distinct) of each of h that is one of the distinct seeds."""
         at = np.flatnonzero(self.maybe[(h >> U(44)).astype(np.int64)])
         if not len(self.distinct) or not at.size:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -118,7 +141,7 @@ def align(item: np.ndarray, window: np.ndarray) -> tuple[int, int]:
 def leaks(items: Items, least: float, c: tv.Chunk) -> list[tuple[int, int, float, int, int]]:
     """(document, item, score, first word, last word) of the chunk's leaks; the best of each pair."""
     w, h = _words(c)
-    g, doc, start = tv.grams(h, w.first, SEED, short=False)
+    g, doc, start = seeds(h, w.first)
     at, k = items.find(g)
     if not at.size:
         return []
@@ -140,12 +163,13 @@ def leaks(items: Items, least: float, c: tv.Chunk) -> list[tuple[int, int, float
         lo, hi = int(w.first[d[a]]), int(w.first[d[a] + 1])
         p, q = max(lo, int(begin[a] - slack[a])), min(hi, int(begin[b] + len(x) + slack[a]))
         window = h[p:q]
-        if not sure and not possible(x, window, least):
+        enough = least if len(x) >= SHORTEST else 1.0
+        if not sure and not possible(x, window, enough):
             continue
         best, end = align(x, window)
         score = best / (2 * len(x))
         key = (int(d[a]), int(item[a]))
-        if score >= least and score > found.get(key, (0,))[0]:
+        if score >= enough and score > found.get(key, (0,))[0]:
             _, back = align(x[::-1], window[:end][::-1])
             found[key] = (score, p - lo + end - back, p - lo + end - 1)
     return [(dd, i, *v) for (dd, i), v in sorted(found.items())]
@@ -157,7 +181,7 @@ def _count(items: Items):
         for batch in batches:
             for c in tv.chunks(batch.column(0)):
                 w, h = _words(c)
-                g, doc, _ = tv.grams(h, w.first, SEED, short=False)
+                g, doc, _ = seeds(h, w.first)
                 at, k = items.find(g)
                 if at.size:
                     pair = np.unique(doc[at] * len(total) + k)
