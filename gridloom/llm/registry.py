@@ -68,17 +68,17 @@ SELECT doc_id, n_bytes, CASE WHEN depth = 0 THEN '' ELSE substr(lpad(bin(prefix)
 """
 
 OP4_SQL = r"""
-WITH d AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t,
+WITH d AS (SELECT row_number() OVER () AS rn, doc_id, coalesce(CAST(doc_id AS VARCHAR), 't' || coalesce(text, '')) AS doc, coalesce('=' || source, '') AS host, coalesce(text, '') AS t,
   list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
   list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
-g AS (SELECT doc_id, i, array_to_string(w[i:i + 2], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
-rep AS (SELECT doc_id, count(DISTINCT i + k.j) AS n FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g), (SELECT unnest(range(0, 3)) AS j) k WHERE c > 1 GROUP BY 1),
-li AS (SELECT doc_id, host, regexp_replace(lower(trim(x, E' \t\n\x0b\f\r')), '[0-9]+', '0', 'g') AS nl, len(list_filter(regexp_split_to_array(x, '[\x20\x09-\x0D]+'), lambda y: y <> '')) AS w
-       FROM (SELECT doc_id, host, unnest(l) AS x FROM d)),
-f AS (SELECT host, nl FROM li GROUP BY 1, 2 HAVING count(DISTINCT doc_id) > 10),
-r AS (SELECT doc_id, sum(w) AS removed FROM li JOIN f USING (host, nl) GROUP BY 1),
+g AS (SELECT rn, i, array_to_string(w[i:i + 2], ' ') AS g FROM (SELECT rn, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+rep AS (SELECT rn, count(DISTINCT i + k.j) AS n FROM (SELECT *, count(*) OVER (PARTITION BY rn, g) AS c FROM g), (SELECT unnest(range(0, 3)) AS j) k WHERE c > 1 GROUP BY 1),
+li AS (SELECT rn, doc, host, regexp_replace(lower(trim(x, E' \t\n\x0b\f\r')), '[0-9]+', '0', 'g') AS nl, len(list_filter(regexp_split_to_array(x, '[\x20\x09-\x0D]+'), lambda y: y <> '')) AS w
+       FROM (SELECT rn, doc, host, unnest(l) AS x FROM d)),
+f AS (SELECT host, nl FROM li GROUP BY 1, 2 HAVING count(DISTINCT doc) > 10),
+r AS (SELECT rn, sum(w) AS removed FROM li JOIN f USING (host, nl) GROUP BY 1),
 b AS (SELECT d.doc_id, len(w) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
-  len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, CAST(coalesce(removed, 0) AS BIGINT) AS removed_words FROM d LEFT JOIN rep USING (doc_id) LEFT JOIN r USING (doc_id))
+  len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, CAST(coalesce(removed, 0) AS BIGINT) AS removed_words FROM d LEFT JOIN rep USING (rn) LEFT JOIN r USING (rn))
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
   CAST(n_repeat_words AS BIGINT) AS n_repeat_words, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT (10 * (n_words - removed_words) < 2 * n_words) AS kept, removed_words FROM b
