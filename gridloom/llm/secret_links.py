@@ -8,8 +8,8 @@ value of a key too short for assign). A weak candidate is reported only where co
 co-occur: within `reach` code points of it, inside one scope, there are parts of two other roles of
 identifier, secret and endpoint, weak or not, or, for a blob, one identifier that isn't itself weak.
 
-Scopes are paragraphs (stretches without an empty line). Parts of a scope are sorted by place and
-joined by a sweep over their intervals, so the work grows with the parts, not with their pairs.
+Scopes are paragraphs (stretches without an empty line). The interval join goes by sorted starts and the
+furthest end so far of each role, so the work grows with the parts, not with their pairs or lengths.
 
 Defined cases: a null text is empty; empty texts have no spans; repeated rows are scanned each;
 other columns are ignored; an empty table gives an empty result. A text has no length limit.
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 ASSIGN = re.compile(r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-IDENT = re.compile(r"\b(?i:user(?:name)?|login|client_?id|account(?:_?id)?|access_?key(?:_?id)?)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9_.@-]{3,128})", re.ASCII)
+IDENT = re.compile(r"\b(?i:user(?:name)?|login|client_?id|account(?:_?id)?|access_?key(?:_?id)?)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9_.@-]{3,})", re.ASCII)
 ENDPOINT = re.compile(r"\b(?:[a-z][a-z0-9+]{1,15}://[A-Za-z0-9_.@:/?&=%~+-]+|(?:[A-Za-z0-9-]+\.)+[a-z]{2,10}:[0-9]{2,5}|(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?::[0-9]{2,5})?)", re.ASCII)
 BLOB = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{32,}={0,2}", re.ASCII)
 SCOPE = re.compile(r"\n[ \t]*\n")
@@ -43,8 +43,14 @@ REACH = 200
 Span = tuple[int, int, str]
 
 
+def _keyed(text: str) -> bool:
+    """Whether the text has a keyword of ASSIGN at all; cheaper than the pattern."""
+    low = text.lower()
+    return any(k in low for k in ("password", "passwd", "secret", "token", "apikey", "api_key"))
+
+
 def base_spans(text: str) -> list[Span]:
-    out = [(m.start(), m.end(), "assign") for m in ASSIGN.finditer(text) if len(m[1]) >= 6]
+    out = [(m.start(), m.end(), "assign") for m in ASSIGN.finditer(text) if len(m[1]) >= 6] if _keyed(text) else []
     out += [(m.start(), m.end(), "access") for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
     out += [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
     return sorted(out, key=lambda s: (s[0], ORDER[s[2]]))
@@ -80,26 +86,23 @@ def linked(text: str, base: list[Span], reach: int = REACH) -> list[Span]:
     if not weak:
         return []
     cuts = [m.start() for m in SCOPE.finditer(text)]
-    parts = sorted(base + weak)
+    # of a role's parts, by start: the furthest end up to each, so that one look tells of any overlap
+    begins, furthest = {}, {}
+    for r in ("identifier", "secret", "endpoint", "access"):
+        own = sorted((s, e) for s, e, k in base + weak if r in (k, ROLE[k]))
+        begins[r] = [s for s, _ in own]
+        furthest[r] = list(accumulate((e for _, e in own), max))
     kept = []
-    places = {r: sorted((s, e, k) for s, e, k in parts if ROLE[k] == r) for r in ("identifier", "secret", "endpoint")}
-    begins = {r: [p[0] for p in v] for r, v in places.items()}
-    longest = {r: max((p[1] - p[0] for p in v), default=0) for r, v in places.items()}
     for s, e, k in weak:
         i = bisect_right(cuts, s)
         low = max(cuts[i - 1] if i else 0, s - reach)
         high = min(cuts[i] if i < len(cuts) else len(text), e + reach)
-        near = {}
-        for r, v in places.items():
-            if r != ROLE[k]:
-                at = bisect_left(begins[r], low - longest[r])
-                while at < len(v) and v[at][0] < high:
-                    if v[at][1] > low:
-                        near[r] = near.get(r) or v[at][2] in ("access", "assign", "hex")
-                        if near[r] or k != "blob":
-                            break
-                    at += 1
-        if len(near) == 2 or k == "blob" and near.get("identifier"):
+
+        def meets(r: str) -> bool:
+            j = bisect_left(begins[r], high)  # parts that begin before the window ends
+            return j > 0 and furthest[r][j - 1] > low
+
+        if all(meets(r) for r in ("identifier", "secret", "endpoint") if r != ROLE[k]) or k == "blob" and meets("access"):
             kept.append((s, e, k))
     return kept
 
