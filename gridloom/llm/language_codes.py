@@ -10,7 +10,8 @@ times the logistic loss of its margin under the language's bit. The least cost w
 softmax of the negative costs, and where the runner-up comes within `near` of it the text is marked
 ambiguous.
 
-Learns from about `most` documents of known language outside the held-out fold (bounded, uniform).
+Learns from about `most` documents of known language outside the held-out fold (bounded, uniform over
+rows, those without an id included).
 
 Defined cases: a null text, or one without a letter: `und`, score 0. Rows that repeat are returned
 each; other columns are ignored. With no row to learn from every text is `und`. An empty table gives
@@ -26,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stored
 from . import textvec as tv
 from .models import held_out, sample
 
@@ -66,16 +68,13 @@ def code(k: int, seed: int = 5) -> np.ndarray:
 
 
 class Model:
-    def __init__(self, langs: list[str], texts: pa.Array, y: np.ndarray, near: float):
+    """langs, their codewords, the weight of each cell for each bit; margins are centred at mid and
+    scaled by scale, and bits weigh by trust (see `calibrated`)."""
+
+    def __init__(self, langs: list[str], counts: np.ndarray, near: float):
+        """counts: how often each language of the sample has each cell."""
         self.langs, self.code, self.near = langs, code(len(langs)), near
         k = len(langs)
-        counts = np.zeros((k, CELLS))
-        rows = []
-        for c in tv.chunks(texts):
-            g, first = cells(c)
-            lang = np.repeat(y[c.lo : c.hi], np.diff(first))
-            counts += np.bincount(lang * CELLS + g, minlength=k * CELLS).reshape(k, CELLS)
-            rows.append((g, first))
         # languages weigh alike however many texts they have
         rate = (counts + 0.5) / (counts.sum(1, keepdims=True) + 0.5 * CELLS)
         self.table = np.zeros((CELLS, self.code.shape[1]), np.float32)
@@ -83,17 +82,20 @@ class Model:
             if k > 1:
                 self.table[:, j] = np.log(rate[bit > 0].mean(0)) - np.log(rate[bit < 0].mean(0))
         self.table = np.clip(self.table, -4, 4)
-        raw = np.concatenate([self._mean(g, f) for g, f in rows]) if rows else np.zeros((0, self.code.shape[1]))
+        bits = self.code.shape[1]
+        self.mid, self.scale, self.trust = np.zeros(bits), np.ones(bits), np.ones(bits)
+
+    def calibrated(self, raw: np.ndarray, y: np.ndarray) -> "Model":
+        """Centres margins between a bit's two sides, scales them by their spread, and tells how far to
+        trust each bit; raw: mean weights of the sample's texts, y: their languages."""
         truth = self.code[y]
-        # margins are centred between the two sides and scaled by their spread
-        self.mid, self.scale = np.zeros(len(self.code.T)), np.ones(len(self.code.T))
-        self.trust = np.ones(len(self.code.T))
-        if k > 1:
+        if len(self.langs) > 1:
             for j in range(raw.shape[1]):
                 up, down = raw[truth[:, j] > 0, j], raw[truth[:, j] < 0, j]
                 self.mid[j] = (np.median(up) + np.median(down)) / 2
                 self.scale[j] = max(1e-3, (np.median(up) - np.median(down)) / 8)
                 self.trust[j] = max(0.0, 2 * ((raw[:, j] > self.mid[j]) == (truth[:, j] > 0)).mean() - 1)
+        return self
 
     def _mean(self, g: np.ndarray, first: np.ndarray) -> np.ndarray:
         out = np.empty((len(first) - 1, self.table.shape[1]))
@@ -133,15 +135,48 @@ def _apply(model: Model | None):
     return run
 
 
+def _counted(langs: list[str]):
+    """(y, cell, n) of the texts of a split: how often language y has the cell."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(langs) * CELLS, np.int64)
+        for batch in batches:
+            y = np.array([langs.index(x) for x in batch.column(1).to_pylist()], np.int64)
+            for c in tv.chunks(batch.column(0)):
+                g, first = cells(c)
+                total += np.bincount(np.repeat(y[c.lo : c.hi], np.diff(first)) * CELLS + g, minlength=len(total))
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["cell", "n"])
+
+    return run
+
+
+def _margins(model: Model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            y = np.array([model.langs.index(x) for x in batch.column(1).to_pylist()], np.int64)
+            for c in tv.chunks(batch.column(0)):
+                yield pa.RecordBatch.from_arrays([pa.array(y[c.lo : c.hi]), pa.array(model._mean(*cells(c)).tolist(), pa.list_(pa.float64()))], names=["y", "raw"])
+
+    return run
+
+
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", most: int = SAMPLE, near: float = 0.15) -> Model | None:
-    """A model of the languages of docs; its size depends on their number alone."""
+    """A model of the languages of docs; its size depends on their number alone. Texts stay on the
+    executors: the driver gets counts of cells (CELLS a language) and a margin a bit of each sampled text."""
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(key))
-    rows = sample(known.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")), most).select("text", "lang").toArrow()
-    if rows.num_rows == 0:
+    rows = stored(sample(known.select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")), most), "language-sample")
+    langs = sorted(r.lang for r in rows.select("lang").distinct().collect())
+    if not langs:
         return None
-    langs = sorted(set(rows["lang"].to_pylist()))
-    y = np.array([langs.index(x) for x in rows["lang"].to_pylist()])
-    return Model(langs, rows["text"].combine_chunks() if rows["text"].num_chunks != 1 else rows["text"].chunk(0), y, near)
+    got = rows.mapInArrow(_counted(langs), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    counts = np.zeros(len(langs) * CELLS)
+    counts[got["cell"].to_numpy(np.int64)] = got["n"].to_numpy(np.float64)
+    model = Model(langs, counts.reshape(len(langs), CELLS), near)
+    if len(langs) == 1:
+        return model
+    seen = rows.mapInArrow(_margins(model), "y long, raw array<double>").toPandas()
+    return model.calibrated(np.array(seen["raw"].tolist()), seen["y"].to_numpy(np.int64))
 
 
 def identify(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows that a model is fitted on, about: a uniform share of the rows there are, by hashed ids.
+#: Rows that a model is fitted on, about: a uniform share of the rows there are.
 SAMPLE = 20_000
 
 
@@ -15,13 +15,14 @@ def held_out(key: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def sample(rows: DataFrame, most: int = SAMPLE, key: str = "doc_id") -> DataFrame:
-    """About `most` rows, or all where there are fewer: those whose hashed ids fall below a share.
-    Uniform, the same each time, and without a sort."""
+def sample(rows: DataFrame, most: int = SAMPLE) -> DataFrame:
+    """About `most` rows, or all where there are fewer: those whose hashed row numbers fall below a
+    share. Uniform over rows whatever their ids (none, or one for all), the same again where the
+    rows lie as before, and without a sort."""
     n = rows.count()
     if n <= most:
         return rows
-    return rows.where(F.pmod(F.xxhash64(key), 1 << 30) < int((1 << 30) * most / n))
+    return rows.where(F.pmod(F.xxhash64(F.monotonically_increasing_id()), 1 << 30) < int((1 << 30) * most / n))
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:

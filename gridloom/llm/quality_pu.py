@@ -8,17 +8,18 @@ whatever it is. The classifier minimises the non-negative unbiased risk
 with logistic loss over statistics of the whole text, where pi, the share of positives among the
 unlabelled, is estimated: half of the positives train a first classifier against the unlabelled, the
 other half tells how high positives score, and pi is the unlabelled share above that level, corrected
-for it (bounded to 0.5 to 0.98).
+for it (kept within 0.01 to 0.99, so that neither side of the risk vanishes).
 
 Statistics are computed for whole chunks of bytes at once: shares of capitals, letters, digits,
 signs, symbols, bars, exclamation marks, spaces and non-ASCII bytes, word length, repeated words and
 repeated word pairs, lines a word, and the logarithm of the length.
 
-Learns from about `most` positives and as many unlabelled documents, none of the held-out fold.
+Learns from about `most` positives and as many unlabelled documents, none of the held-out fold; what
+reaches the driver are their statistics (112 bytes each), however long the texts and whatever the ids.
 
 Defined cases: a null or empty text has statistics 0 and gets the score of that. Rows that repeat
-are returned each; labels without a document, null labels and null ids teach nothing; with no
-positive to learn from every score is 1 (nothing is rejected without grounds). Other columns are
+are returned each; labels without a document or an id and null labels teach nothing; documents without
+an id are unlabelled text like others; with no positive to learn from every score is 1 (nothing is rejected without grounds). Other columns are
 ignored; an empty table gives an empty result.
 """
 
@@ -104,6 +105,19 @@ def _wide(z: np.ndarray) -> np.ndarray:
     return np.column_stack([z, np.maximum(z - 1, 0), np.maximum(-z - 1, 0), np.ones(len(z))])
 
 
+def risk(w: np.ndarray, zp: np.ndarray, zu: np.ndarray, prior: float) -> tuple[float, np.ndarray]:
+    """The non-negative unbiased risk with logistic loss, and the direction that a step descends: its
+    gradient, or, where the risk of unlabelled text as negatives is below 0 and so overfits, minus the
+    gradient of that part alone."""
+    ap, au = zp @ w, zu @ w
+    sp, su = sigmoid(ap), sigmoid(au)
+    positive = prior * np.logaddexp(0, -ap).mean()
+    negative = (np.logaddexp(0, au).mean() if len(zu) else 0.0) - prior * np.logaddexp(0, ap).mean()
+    up = -prior * (zp.T @ (1 - sp)) / len(zp)
+    down = (zu.T @ su) / max(1, len(zu)) - prior * (zp.T @ sp) / len(zp)
+    return positive + max(0.0, negative), up + down if negative >= 0 else -down
+
+
 def fit_arrays(p: np.ndarray, u: np.ndarray, steps: int = 600, ridge: float = 1e-3) -> Model:
     """The model of positives p and unlabelled u (statistics)."""
     mean = p.mean(0)
@@ -115,17 +129,9 @@ def fit_arrays(p: np.ndarray, u: np.ndarray, steps: int = 600, ridge: float = 1e
     rest = zp[~half] if (~half).any() else zp
     level = np.quantile(np.column_stack([rest[:, :-1], np.ones(len(rest))]) @ w, 0.1)
     above = ((np.column_stack([zu[:, :-1], np.ones(len(zu))]) @ w) >= level).mean() if len(zu) else 0.9
-    prior = float(np.clip(above / 0.9, 0.5, 0.98))
+    prior = float(np.clip(above / 0.9, 0.01, 0.99))
     keep = np.append(np.full(zp.shape[1] - 1, ridge), 0)
-
-    def grad(w: np.ndarray) -> np.ndarray:
-        sp, su = sigmoid(zp @ w), sigmoid(zu @ w)
-        positive = -prior * (zp.T @ (1 - sp)) / len(zp)
-        negative = (zu.T @ su) / max(1, len(zu)) - prior * (zp.T @ sp) / len(zp)
-        risk = np.logaddexp(0, zu @ w).mean() - prior * np.logaddexp(0, zp @ w).mean() if len(zu) else 0.0
-        # below 0 the risk of unlabelled text as negatives overfits: step back on it alone
-        return (positive + negative if risk >= 0 else -negative) + keep * w
-
+    grad = lambda w: risk(w, zp, zu, prior)[1] + keep * w
     return Model(mean, scale, adam(grad, np.zeros(zp.shape[1]), steps), prior)
 
 
@@ -139,7 +145,8 @@ def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", most: int = SAMPLE) -> Model | None:
     trusted = labels.where((F.col("quality") == 1) & F.col(key).isNotNull() & ~held_out(key)).select(F.col(key).alias("doc_id")).distinct()
     d = docs.where(~held_out(key)).select(F.col(key).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    p = d.join(F.broadcast(sample(trusted, most)), "doc_id").select("text", F.lit(True).alias("trusted"))
+    # at most about `most` ids, and of the rows that have them as many: one id can be that of many rows
+    p = sample(d.join(F.broadcast(sample(trusted, most)), "doc_id"), most).select("text", F.lit(True).alias("trusted"))
     u = sample(d, most).select("text", F.lit(False).alias("trusted"))
     got = p.unionByName(u).mapInArrow(_stats, "f array<double>, trusted boolean").toPandas()
     mine = got["trusted"].to_numpy(bool)
