@@ -5,12 +5,13 @@ import random
 import re
 import zlib
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from gridloom.llm import decontaminate, line_rules, ngram_jaccard, packing, secret_links, sharding, textvec, warc
+from gridloom.llm import decontaminate, graph, line_rules, ngram_jaccard, packing, secret_links, sharding, textvec, warc
 
 WORDS = [f"w{i}" for i in range(400)]
 #: Line rules read any number as 0, so their lines are told apart by letters.
@@ -75,6 +76,45 @@ def test_jaccard_join_loses_no_link(docs):
     assert sorted(got) == sorted(brute_components(texts, ids))
 
 
+def test_jaccard_join_shuffles_where_it_may_not_broadcast(docs, monkeypatch):
+    monkeypatch.setattr(graph, "SMALL", 0)
+    texts = near_copies(7, 8, 6)
+    ids = list(range(len(texts)))
+    assert sorted(tuple(r) for r in ngram_jaccard.link(docs(texts, ids)).collect()) == sorted(brute_components(texts, ids))
+
+
+@pytest.mark.parametrize("rounds", [1, 2, 4])
+def test_groups_around_a_hub_lose_no_link(docs, monkeypatch, rounds):
+    """Copies edited so far that many miss the hub by little, with edits in common, cuts and other sizes."""
+    monkeypatch.setattr(ngram_jaccard, "ROUNDS", rounds)
+    rng = random.Random(21)
+    base, passage = [rng.choice(WORDS) for _ in range(160)], [rng.choice(WORDS) for _ in range(30)]
+    texts = [" ".join(base)] * 2
+    for i in range(60):
+        w = list(base)
+        for _ in range(rng.randrange(0, 12)):
+            w[rng.randrange(len(w))] = rng.choice(WORDS[:5] if i % 3 else WORDS)
+        if i % 4 == 1:
+            w = w[: rng.randrange(90, 160)]
+        if i % 4 == 2:
+            w += passage[: rng.randrange(5, 30)]
+        if i % 10 == 3:
+            w = w[:70] + [rng.choice(WORDS) for _ in range(90)]
+        texts.append(" ".join(w))
+    ids = list(range(len(texts)))
+    assert sorted(tuple(r) for r in ngram_jaccard.link(docs(texts, ids)).collect()) == sorted(brute_components(texts, ids))
+
+
+def test_components_of_chains_and_stars(spark, monkeypatch):
+    edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 60)] + [(7, 7), (200, 150), (150, 200)] + [(300 + i, 300 + i // 2) for i in range(1, 50)]
+    want = {n: 0 for n in range(41)} | {n: 100 for n in range(100, 160)} | {150: 100, 200: 100} | {n: 300 for n in range(300, 350)}
+    for small in (0, 500_000):
+        monkeypatch.setattr(graph, "SMALL", small)
+        got, count = graph.components(spark.createDataFrame(edges, "a long, b long"))
+        assert {r.node: r.component for r in got.collect()} == want and count == len(want)
+    assert graph.components(spark.createDataFrame([], "a long, b long"))[1] == 0
+
+
 def test_jaccard_join_without_ids_and_repeated(docs):
     base = " ".join(WORDS[:30])
     got = sorted((tuple(r) for r in ngram_jaccard.link(docs([base, base, base + " z", None, base], [None, 7, 3, None, 7])).collect()), key=repr)
@@ -127,6 +167,57 @@ def test_line_rules(docs):
     assert line_rules.apply(docs([])).count() == 0
 
 
+def line_rules_against_sql(spark, rows, tmp_path):
+    import duckdb
+
+    from gridloom.llm import registry
+
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, row long, t string, h string, words string, host string")
+    got = line_rules.apply(d).toPandas()
+    con = duckdb.connect()
+    con.register("documents", d.toPandas().astype({"doc_id": "Int64"}))
+    want = con.execute(registry.oracle_sql()["op4_line_frequency"]).df()
+    return got, want
+
+
+def test_line_rules_equal_their_sql(spark, tmp_path):
+    """Null and empty hosts apart, repeated rows one document, texts under many ids, clashing names."""
+    line = "a line that some share " * 12
+    own = lambda i: " ".join(LETTERS[i : i + 60])
+    extra = (1, "t", "h", "w", "host")
+    rows = [(i, f"{line}\n{own(i)}", None if i % 2 else "", *extra) for i in range(12)]  # six of each
+    rows += [(100, f"only one document\n{own(30)}", "s", *extra)] * 12
+    rows += [(200 + i, f"shared by twelve\n{own(40 + i)}", "s", *extra) for i in range(12)]
+    rows += [(300 + i, f"twelve of no host\n{own(60 + i)}", None, *extra) for i in range(12)] + [(400, None, None, *extra), (401, "", "", *extra)]
+    got, want = line_rules_against_sql(spark, rows, tmp_path)
+    key = ["doc_id", "n_words"]
+    a = got.drop_duplicates().sort_values(key).reset_index(drop=True)
+    b = want.drop_duplicates().sort_values(key).reset_index(drop=True)[list(a.columns)]
+    assert a.astype(str).to_csv() == b.astype(str).to_csv()
+    removed = got.set_index("doc_id")["removed_words"].sort_index()
+    assert (removed.loc[:11] == 0).all() and (removed.loc[100] == 0).all() and (removed.loc[200:211] == 3).all() and (removed.loc[300:311] == 4).all()
+
+
+def test_windows_that_share_a_hash(docs, monkeypatch):
+    rng = random.Random(12)
+    texts = [" ".join(rng.choice("abcdefg") for _ in range(n)) for n in (3, 4, 9, 30, 200, 900)] + ["a b c d a b c", "x y z", ""]
+    for bits in (64, 6, 1):
+        monkeypatch.setattr(line_rules, "HASH", bits)
+        for r, t in zip(line_rules.apply(docs(texts)).orderBy("doc_id").collect(), texts):
+            assert tuple(r)[1:6] == brute_rules(t), (bits, t[:40])
+
+
+def test_frequent_lines_leave_the_texts(docs):
+    own = lambda i: " ".join(LETTERS[i : i + 60])
+    texts = [f"Shared Footer 7\n{own(i)}\n\nshared footer 88 " for i in range(12)] + [own(80), None, " ".join(LETTERS[:80]) + "\nmore"] + [" ".join(LETTERS[:80])] * 11
+    d = docs(texts)
+    got = {r.doc_id: r for r in line_rules.clean(d).collect()}
+    kept = {r.doc_id for r in line_rules.apply(d).collect() if r.kept}
+    assert set(got) == kept == set(range(13)) and line_rules.clean(d).columns == d.columns
+    assert all(got[i].text == f"{own(i)}\n" for i in range(12)) and got[12].text == texts[12]
+    assert line_rules.clean(docs([])).count() == 0
+
+
 def test_depleted_documents_are_rejected(docs):
     shared = " ".join(LETTERS[:80])
     got = line_rules.apply(docs([shared] * 11 + [" ".join(LETTERS[100:180])])).orderBy("doc_id").collect()
@@ -186,13 +277,49 @@ def test_weak_secret_parts_link_each_other():
     assert kinds(three.replace("\n", "\n\n")) == [] and kinds(three.replace("\n", " " * 201)) == []
 
 
+def brute_links(text, reach=secret_links.REACH):
+    """The weak spans that stay, by looking at every pair of parts."""
+    base = secret_links.base_spans(text)
+    weak = secret_links._weak(text, base)
+    cuts = [m.start() for m in secret_links.SCOPE.finditer(text)]
+    out = []
+    for s, e, k in weak:
+        before, after = [c for c in cuts if c <= s], [c for c in cuts if c > s]
+        low, high = max(before[-1] if before else 0, s - reach), min(after[0] if after else len(text), e + reach)
+        near = [(secret_links.ROLE[x], x) for a, b, x in base + weak if secret_links.ROLE[x] != secret_links.ROLE[k] and a < high and b > low]
+        if len({r for r, _ in near}) == 2 or k == "blob" and any(x == "access" for _, x in near):
+            out.append((s, e, k))
+    return out
+
+
+def test_linked_spans_are_those_of_all_pairs():
+    rng = random.Random(13)
+    parts = ["user=bob", "client_id: " + "x" * 300, "https://h.example.com/" + "p" * 250, "db.example.com:5432", "aB3/" * 10, "password=abc", "token=longenough1", "AKIA" + "Q7" * 9, "ff" * 14, "\n\n", "plain words", "é" * 30, "z" * 180, "10.0.0.1"]
+    for _ in range(400):
+        text = " ".join(rng.choice(parts) for _ in range(rng.randrange(1, 14)))
+        base = secret_links.base_spans(text)
+        assert secret_links.linked(text, base) == brute_links(text), text
+
+
+def test_secrets_of_long_texts_and_repeated_rows(docs):
+    import time
+
+    long = "user=" + "n" * 300 + " token=secretsecret db.example.com:5432"
+    assert secret_links.spans(long)[1][0] == (0, 305, "ident")
+    assert "n" not in secret_links.redact(docs([long])).first().text.replace("token", "")
+    many = "https://h.example.com/" + "p" * 200_000 + " " + "user=bob password=abc12 x.example.com:80 " * 40_000
+    began = time.perf_counter()
+    assert len(secret_links.spans(many)[1]) > 100_000 and time.perf_counter() - began < 30
+    got = secret_links.scan(docs([long, long, None], [1, 1, None])).collect()
+    assert len(got) == 3 and got[0] == got[1] and got[2].spans == ""
+
+
 def test_packing_is_a_partition_of_ids(docs):
     import public_tokenizers
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    texts = [*ODD, "a  b \n c", " lead", "trail ", "  x  y", "<|endoftext|> z", *near_copies(2, 8, 3)]
+    texts = [*ODD, "a  b \n c", " lead", "trail ", "  x  y", "<|endoftext|> z", "a <|endoftext|> b", "x<|endoftext|><|endoftext|>", *near_copies(2, 8, 3)]
     ids = [np.array([*t.encode(x or "", add_special_tokens=False).ids, 0], "<u4") for x in texts]
     rows = packing.pack(docs(texts)).collect()
     pieces, sequences = defaultdict(list), defaultdict(list)
@@ -211,6 +338,33 @@ def test_packing_is_a_partition_of_ids(docs):
     assert packing.pack(docs([])).count() == 0
 
 
+def test_ids_are_those_of_the_other_library():
+    """All documents of a table, and random Unicode with white space of every kind."""
+    import public_tokenizers
+    import pyarrow.parquet as pq
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    own = packing.Ids(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json"))
+    rng = random.Random(11)
+    some = " \n\t\r\x0b\x0c\x1c\x85\xa0\u2003\u3000\u200b\ufeff'.,-_0123456789abcABCéßжλ中文字🙂👍🏽é\x00\x7f"
+    texts = ["".join(rng.choice(some) if rng.random() < 0.8 else chr(rng.choice([rng.randrange(1, 0xD800), rng.randrange(0xE000, 0x110000)])) for _ in range(rng.randrange(0, 60))) for _ in range(3000)]
+    texts += [f"{a}{'<|endoftext|>' * rng.randrange(1, 3)}{b}" for a, b in zip(texts[:100], texts[100:200])] + ["<|endoftext", "|endoftext|>", "< |endoftext|>"]
+    folder = Path("/root/testdata/sf0.1/documents.parquet")
+    if folder.exists():
+        texts += [x for x in pq.read_table(folder, columns=["text"])["text"].to_pylist() if x]
+    for i in range(0, len(texts), 500):
+        part = texts[i : i + 500]
+        for text, e in zip(part, t.encode_batch(part, add_special_tokens=False)):
+            assert np.frombuffer(own.encode(text), "<u4").tolist() == e.ids, text[:80]
+
+
+def test_packing_of_rows_without_ids_and_repeated(docs):
+    rows = packing.pack(docs(["a b c", "a b c", None], [None, None, 4])).collect()
+    assert sum(r.length for r in rows if r.doc_id is None) == 8 and all(r.doc_tokens == 4 for r in rows if r.doc_id is None)
+    assert [r.length for r in rows if r.doc_id == 4] == [1]
+
+
 def test_packing_chooses_the_least_sum_of_squares():
     rng = random.Random(4)
     p = packing.Packer(16)
@@ -268,6 +422,71 @@ def test_edited_leaks_are_found_however_many(spark, docs, exact, copies):
     assert set(got) == set(range(exact + copies + 1)) and min(got.values()) > 0.7
 
 
+def alignments(texts, items, least=0.5):
+    """(document, item) of score least or more, by aligning all pairs of whole texts."""
+    import pyarrow as pa
+
+    hashed = []
+    for group in (texts, items):
+        (c,) = textvec.chunks(pa.array(group), 1 << 30)
+        w, h = decontaminate._words(c)
+        hashed.append([h[a:b] for a, b in zip(w.first[:-1], w.first[1:])])
+    return {(d, i) for d, t in enumerate(hashed[0]) for i, x in enumerate(hashed[1]) if decontaminate.align(x, t)[0] >= least * 2 * len(x)}
+
+
+@pytest.mark.parametrize("every", [3, 4, 5, 6])
+def test_copies_with_words_replaced_evenly_are_found(spark, docs, every):
+    rng = random.Random(14)
+    item = rng.sample(WORDS, 30)
+    edited = ["changed" if i % every == every - 1 else w for i, w in enumerate(item)]
+    left = [w for i, w in enumerate(item) if i % every != every - 1]
+    added = [x for i, w in enumerate(item) for x in ([w, "added"] if i % every == every - 1 else [w])]
+    noise = lambda n: " ".join(rng.choice(WORDS) for _ in range(n))
+    texts = [f"{noise(20)} {' '.join(w)} {noise(20)}" for w in (edited, left, added)]
+    bench = spark.createDataFrame([(0, " ".join(item))], "item_id long, text string")
+    want = alignments(texts, [" ".join(item)])
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find(docs(texts), bench).collect()}
+    assert got == want and len(want) == 3
+
+
+def test_recall_against_alignment_of_all_pairs(spark, docs):
+    """Random replacement, loss and insertion of 10 to 35 % of the words; README has the figure."""
+    rng = random.Random(15)
+    items = [" ".join(rng.sample(WORDS, 30)) for _ in range(6)]
+    texts = []
+    for n in range(600):
+        w, rate = items[n % 6].split(), rng.uniform(0.1, 0.35)
+        out = []
+        for x in w:
+            r = rng.random()
+            if r > rate:
+                out.append(x)
+            elif r < rate * 0.7:
+                out.append(rng.choice(WORDS))
+            elif r < rate * 0.85:
+                out += [x, rng.choice(WORDS)]
+        noise = [rng.choice(WORDS) for _ in range(40)]
+        texts.append(" ".join(noise[:20] + out + noise[20:]))
+    bench = spark.createDataFrame([*enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find(docs(texts), bench).collect()}
+    want = alignments(texts, items)
+    print(f"recall {len(got & want) / len(want):.4f} of {len(want)}")
+    assert got <= want and len(got & want) >= 0.98 * len(want) and len(want) > 300
+
+
+def test_short_items_repeats_and_odd_rows(spark, docs):
+    import time
+
+    bench = spark.createDataFrame([(1, "four words right here"), (2, "four words right here"), (3, "one two"), (4, "a " * 500), (5, "seven words that stand in this order")], "item_id long, text string")
+    clean = "four words are right here, and seven words that stand in some order"
+    texts = ["so, Four words: right here!", "so, Four words: right here!", clean, "a " * 20_000, None, "one two"]
+    began = time.perf_counter()
+    got = decontaminate.find(docs(texts, [7, 7, 8, None, 9, 10]), bench).collect()
+    assert sorted(((r.doc_id, r.item_id) for r in got), key=repr) == sorted([(7, 1), (7, 2), (7, 1), (7, 2), (None, 4)], key=repr)
+    assert time.perf_counter() - began < 60
+    assert {r.score for r in got} == {1.0}
+
+
 def test_alignment_is_smith_waterman():
     rng = np.random.default_rng(8)
     for _ in range(60):

@@ -8,7 +8,10 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from gridloom.llm import language_codes, ngram_jaccard, quality_pu, registry, toxicity
+from pyspark.sql import functions as F
+
+from gridloom.llm import language_codes, models, ngram_jaccard, quality_pu, registry, toxicity
+from gridloom.llm import textvec as tv
 from gridloom.session import table
 
 SF = "/root/testdata/sf0.01"
@@ -61,26 +64,157 @@ def test_codewords_differ_in_many_bits():
         assert gap >= (c.shape[1] // 4 if k > 2 else 1)
 
 
+def grammar(**more):
+    return toxicity.Grammar({"idiot": 4.0, "kill": 2.5, "fool": 3.0}, {"blep": 3.0}, np.zeros(toxicity.FEATURES + 1), **more)
+
+
+def one_after_the_other(g, text):
+    """(weights, reported) of each clause with an insult or a threat, every transducer run by itself."""
+    out = []
+    for clause in toxicity._END.split(text.translate(toxicity._FOLD)):
+        tokens = [g.symbol(x) for x in toxicity._SPLIT.split(clause) if x]
+        if any(x[1] or x[2] for x in tokens):
+            total, ends = np.zeros(4), []
+            for part in g.parts:
+                tokens, w, end = part.read(tokens)
+                total += w
+                ends.append(part.states[end])
+            out.append((tuple(np.round(total, 9)), ends[1]))
+    return out
+
+
+def test_the_composed_machine_is_its_parts_one_after_the_other():
+    rng = np.random.default_rng(3)
+    g = grammar()
+    words = ["idiot", "Idiot,", "kill", "HURT", "you", "they.", "not", "said", "ok", "ok", "ok", "fool!", "bleping", "blep", "TÖTEN", "\n", "3.5", "\u201cidiot\u201d", "end.", ";", "é", "nie", "sagte"]
+    texts = [" ".join(rng.choice(words, rng.integers(0, 40))) for _ in range(300)] + ["", " ", None, "idiot", "x" * 9 + " not " + "ok " * 9000 + "idiot " * 300 + "you"]
+    got = [[] for _ in texts]
+    for size in (1 << 20, 64):
+        for own in got:
+            own.clear()
+        for c in tv.chunks(pa.array(texts, pa.string()), size):
+            doc, total, reported, _ = toxicity.clauses(g, c)
+            for d, w, r in zip(doc.tolist(), total, reported.tolist()):
+                got[c.lo + d].append((tuple(np.round(w, 9)), r))
+        for text, own in zip(texts, got):
+            assert own == one_after_the_other(g, text or ""), text
+
+
 def test_grammar_composes():
-    g = toxicity.Grammar({"idiot": 4.0}, {"blep": 3.0}, np.zeros(5), 0.0)
-    one = lambda text: g.clauses(text.split(), [next(i for i, t in enumerate(text.split()) if g.weight(t.strip(".,")))])
-    plain, targeted, negated, reported = map(one, ("an idiot here.", "you idiot.", "not an idiot.", "he said idiot."))
-    assert targeted[0] > plain[0] > negated[0] and reported[0] < targeted[0]
-    assert g.weight("bleping") == 3.0 and g.weight("ble") == 0 and one("clean. idiot. clean") == plain
+    g = grammar()
+    f = lambda text: toxicity.features(g, pa.array([text]))[0]
+    plain, targeted, negated, reported, after = map(f, ("an idiot here.", "you idiot.", "not an idiot.", "he said idiot.", "idiot, said he."))
+    assert targeted[0] > plain[0] > negated[0] > 0 and reported[0] < targeted[0] and after[0] == reported[0]
+    assert negated[6] > 0 and reported[7] > 0 and targeted[5] > 0 and not plain[4:].any()
+    assert g.symbol("bleping")[1] and not g.symbol("ble")[1] and (f("clean. idiot. clean")[:3] == plain[:3]).all()
 
 
-def test_threats_match_by_themselves_and_run_ons_are_read_whole():
-    g = toxicity.Grammar({"idiot": 4.0}, {}, np.zeros(5), 0.0)
+def test_threats_match_by_themselves_and_clauses_are_read_whole():
+    g = toxicity.Grammar({"idiot": 4.0}, {}, np.zeros(toxicity.FEATURES + 1))
     f = lambda *texts: toxicity.features(g, pa.array(texts))
-    threat, lone, apart, insult = f("well I will kill you today.", "they say", "to kill time. you know", "an idiot here.")
-    assert threat[0] > 0 and not lone.any() and not apart.any() and insult[0] == 4
+    threat, after, lone, apart, insult = f("well I will kill you today.", "you I will kill", "they say", "to kill time. you know", "an idiot here.")
+    assert threat[0] == after[0] > 0 and threat[4] > 0 and not lone.any() and not apart.any() and insult[0] == 4
     assert f("you will not kill them")[0, 0] < threat[0]
-    # 41 tokens of two letters end long before 400 bytes do: the next hit has a clause of its own
-    far = f("idiot " + "ab " * 60 + "idiot " + "ab " * 60 + "idiot")[0]
-    assert far[1] == np.log1p(3) and far[2] == np.log1p(12)
+    # however long a clause is, what stands at its ends counts
+    long = f("you " + "ab " * 5000 + "idiot " + "ab " * 5000 + "idiot", "idiot " + "ab " * 5000 + "he said")
+    assert long[0, 1] == np.log1p(1) and long[0, 0] == 8 + toxicity.PULL and long[1, 0] == (4 + toxicity.PULL) * toxicity.REPORTED
     assert f("idiot idiot ab")[0, 0] == 8 and f("idiot\nidiot\nab")[0, 1] == np.log1p(2)
 
 
+def test_the_lexicon_is_read_as_the_forms_are_learned():
+    g = grammar()
+    texts = ["Idiot! (kill) you\tsaid it's", "TÖTEN é|fool|", "¿idiot? «fool» …kill—you"]
+    for c in tv.chunks(pa.array(texts)):
+        w, _ = toxicity._split(c)
+        got = [[g.symbols[i] for i in toxicity._symbols(g, w)[a:b]] for a, b in zip(w.first[:-1], w.first[1:])]
+    assert got == [[g.symbol(x) for x in toxicity._SPLIT.split(t.translate(toxicity._FOLD)) if x] for t in texts]
+
+
+@pytest.mark.parametrize("ids", [[None] * 400, [1] * 400])
+def test_rows_without_ids_or_of_one_id_are_sampled_like_others(spark, docs, ids):
+    d = docs([f"text {i} of some words" for i in range(400)], ids).repartition(4)
+    got = models.sample(d, 100).count()
+    assert 50 <= got <= 150 and models.sample(d, 400).count() == 400
+    train = docs([("the and of " if i % 2 else "der und die ") + str(i) for i in range(400)], ids).withColumn("lang", F.when(F.col("text").startswith("the"), "en").otherwise("de"))
+    model = language_codes.fit(train, most=50)
+    assert [r.lang_pred for r in language_codes.identify(docs(["the and", "die und"], [None, 3]), model).collect()] == ["en", "de"]
+    labels = spark.createDataFrame([(1, 1, 1), (1, 1, 1), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    many = quality_pu.fit(d, labels, most=60)
+    assert many is None or 0 < many.prior < 1
+    assert toxicity.fit(d, labels, most=60) is None  # nothing but toxic rows, or none
+
+
+def test_languages_are_those_of_a_dense_decoder(docs):
+    texts = ["the cat and the dog", "der hund und die katze", "le chat et le chien", "x" * 4000, "la la land", None, "", "12", "the le der", "É"]
+    langs = ["en", "de", "fr"]
+    train = docs([f"{t} {i}" for i in range(12) for t in texts[:3]]).withColumn("lang", F.element_at(F.array(*map(F.lit, langs)), (F.col("doc_id") % 3 + 1).cast("int")))
+    model = language_codes.fit(train)
+    assert model.langs == sorted(langs)
+    got = language_codes.identify(docs(texts + texts), model).orderBy("doc_id").collect()
+    for r, text in zip(got, texts + texts):
+        b = [language_codes._FOLD[x] for x in (text or "").encode()]
+        cells = []
+        for i in range(len(b) - 2):
+            x, y, z = (int(v) for v in b[i : i + 3])
+            if y != 32 and (x != 32 or z != 32):
+                h = sum(int(language_codes._SPREAD[j][v]) for j, v in enumerate((x, y, z))) & 0xFFFFFFFF
+                cells.append(((h * 0x9E3779B1) & 0xFFFFFFFF) >> 17)
+        mean = model.table[cells].astype(float).mean(0) if cells else np.zeros(model.code.shape[1])
+        margin = (mean - model.mid) / model.scale
+        cost = [sum(t * np.log1p(np.exp(-m * c)) for t, m, c in zip(model.trust, margin, word)) / model.trust.sum() for word in model.code]
+        if not any(ch.isalpha() for ch in text or ""):
+            assert (r.lang_pred, r.score) == ("und", 0)
+        else:
+            p = np.exp(-4 * np.array(cost))
+            assert r.lang_pred == model.langs[int(np.argmin(cost))] and abs(r.score - p.max() / p.sum()) < 1e-6
+            assert r.ambiguous == (sorted(cost)[1] - sorted(cost)[0] < model.near)
+
+
+def test_risk_descends_by_its_gradient():
+    rng = np.random.default_rng(2)
+    zp, zu = np.column_stack([rng.normal(0.5, 1, (40, 3)), np.ones(40)]), np.column_stack([rng.normal(0, 1, (60, 3)), np.ones(60)])
+    for prior, scale in ((0.3, 0.5), (0.7, 1.0), (0.95, 3.0)):
+        for _ in range(10):
+            w = rng.normal(0, scale, 4)
+            value, direction = quality_pu.risk(w, zp, zu, prior)
+            sig = lambda z: 1 / (1 + np.exp(-z))
+            loss = lambda z: -np.log(sig(z))
+            negative = lambda v: loss(-(zu @ v)).mean() - prior * loss(-(zp @ v)).mean()  # noqa: E731, B023
+            whole = lambda v: prior * loss(zp @ v).mean() + negative(v)  # noqa: E731, B023
+            assert abs(value - (prior * loss(zp @ w).mean() + max(0, negative(w)))) < 1e-9
+            f = whole if negative(w) >= 0 else lambda v: -negative(v)  # noqa: B023
+            numeric = [(f(w + 1e-6 * e) - f(w - 1e-6 * e)) / 2e-6 for e in np.eye(4)]
+            assert np.allclose(numeric, direction, atol=1e-6)
+
+
+def test_a_corpus_of_few_good_documents(spark):
+    rng = np.random.default_rng(1)
+    p = rng.normal(0, 1, (300, 3))
+    u = np.vstack([rng.normal(0, 1, (60, 3)), rng.normal(5, 0.5, (240, 3))])
+    m = quality_pu.fit_arrays(p, u)
+    assert 0.1 <= m.prior <= 0.35
+    assert (m.score(rng.normal(5, 0.5, (200, 3))) > 0.5).mean() < 0.05
+
+
+def test_scores_of_long_repeated_and_odd_rows(spark, docs):
+    """Long texts, repeated rows, null ids and texts, other columns (`node`): one row for each row."""
+    rng = np.random.default_rng(5)
+    texts = ["you idiot " + " ".join(rng.choice(["a", "b", "cat"], 20)) if i % 3 == 0 else " ".join(rng.choice(["fine", "day", "sun"], 25)) for i in range(60)]
+    train = docs(texts)
+    labels = spark.createDataFrame([(i, int(i % 3 != 0), int(i % 3 == 0)) for i in range(60)], "doc_id long, quality int, toxic int")
+    odd = docs([*texts[:2], texts[0], None, "", "word " * 200_000, texts[0]], [0, 1, 0, 5, None, 6, None])
+    for op in (toxicity, quality_pu):
+        model = op.fit(train, labels)
+        got = op.score(odd, model).collect()
+        assert len(got) == 7 and all(0 <= r.score <= 1 for r in got)
+        same = [r.score for r in got if r.doc_id == 0] + [got[6].score]
+        assert len(set(same)) == 1
+        assert op.score(docs([]), model).count() == 0
+    model = language_codes.fit(train)
+    got = language_codes.identify(odd, model).collect()
+    assert len(got) == 7 and [r.lang_pred for r in got] == ["en", "en", "en", "und", "und", "en", "en"]
+
+
 def test_classifiers_without_anything_to_learn(spark, docs):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     d = docs([None, "", "a b"])
