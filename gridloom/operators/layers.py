@@ -134,3 +134,78 @@ def repeat_heads(kv: DataFrame, heads: int, kv_heads: int) -> DataFrame:
     """Grouped-query attention: query head h reads key/value head h div (heads / kv_heads)."""
     h = kv.sparkSession.range(heads).select(F.col("id").alias("h"), F.floor(F.col("id") / (heads // kv_heads)).alias("kv"))
     return F.broadcast(h).join(kv, "kv").drop("kv")  # heads
+
+
+def lerp(a: Column, b: Column, weight: Column) -> Column:
+    return a * (1 - weight) + b * weight
+
+
+def permute(x: DataFrame, heads: int, size: int) -> DataFrame:
+    """(part, b, h, n, d, v) of rows (b, n, x): x holds the three parts' heads end to end."""
+    flat = x.select("b", "n", F.posexplode("x").alias("i", "v"))
+    i, span = F.col("i"), heads * size
+    return flat.select(F.floor(i / span).alias("part"), "b", (F.floor(i / size) % heads).alias("h"), "n", (i % size).cast("long").alias("d"), "v")
+
+
+def unpermute(y: DataFrame, heads: int, size: int) -> DataFrame:
+    """Rows (b, n, x) of what `permute` gave."""
+    i = (F.col("part") * heads + F.col("h")) * size + F.col("d")
+    g = y.groupBy("b", "n").agg(F.sort_array(F.collect_list(F.struct(i.alias("i"), "v"))).alias("k"))  # a vector each
+    return g.select("b", "n", F.transform("k", lambda z: z["v"]).alias("x"))
+
+
+def padded_softmax(x: Column, real: int) -> Column:
+    """Softmax over the first `real` values; 0 in the padded tail."""
+    p = softmax(F.slice(x, 1, real))
+    return F.concat(p, F.transform(F.slice(x, real + 1, F.size(x) - real), lambda v: F.lit(0.0)))
+
+
+def residual_layernorm(a: Column, b: Column, eps: float = EPS) -> Column:
+    """struct(residual, out): the sum and its normalisation."""
+    return let(F.zip_with(a, b, lambda p, q: p + q), lambda r: F.struct(r.alias("residual"), layernorm(r, eps)["out"].alias("out")))
+
+
+def stretched(f: Column, factor: float = 8.0, low: float = 1.0, high: float = 4.0, context: float = 8192.0) -> Column:
+    """Rotary frequencies for longer contexts: short waves stay, long ones are slowed by factor, those between are
+    mixed. The defaults are fixed values of the published model."""
+    wave = 2 * 3.141592653589793 / f
+    mix = (context / wave - low) / (high - low)
+    return F.when(wave < context / high, f).when(wave > context / low, f / factor).otherwise((1 - mix) * f / factor + mix * f)
+
+
+def scatter_add(rows: DataFrame, at: str, value: str) -> DataFrame:
+    """Sums by place: gradients of a table that rows were looked up in, or of a bias."""
+    return rows.groupBy(at).agg(F.sum(value).alias(value))
+
+
+def _dot(a: str, b: str) -> Column:
+    return total(F.zip_with(a, b, lambda p, q: p * q))
+
+
+def triangular(a: DataFrame) -> DataFrame:
+    """(b, t, t2, s): products of a row's vector with those of the rows of its block up to itself."""
+    left, right = a.select("b", "t", "x"), a.select("b", F.col("t").alias("t2"), F.col("x").alias("y"))
+    return left.join(right, "b").where("t2 <= t").select("b", "t", "t2", _dot("x", "y").alias("s"))
+
+
+def attention_backward(qkv: DataFrame, scale: float) -> tuple[DataFrame, DataFrame]:
+    """(b, h, t, c, dq) and (b, h, t, c, dk, dv) of qkv (b, h, t, q, k, v, dout arrays): the weights are made again
+    by the range join of the forward step rather than kept."""
+    left = qkv.select("b", "h", "t", "q", "dout")
+    right = qkv.select("b", "h", F.col("t").alias("t2"), "k", "v")
+    s = left.join(right, ["b", "h"]).where("t2 <= t").withColumns({"s": _dot("q", "k") * scale, "dp": _dot("dout", "v")})
+    row = Window.partitionBy("b", "h", "t")
+    p = s.withColumn("e", F.exp(F.col("s") - F.max("s").over(row))).withColumn("p", F.col("e") / F.sum("e").over(row))
+    d = p.withColumn("ds", F.col("p") * (F.col("dp") - F.sum(F.col("p") * F.col("dp")).over(row)) * scale)
+    by_q = d.select("b", "h", "t", "ds", F.posexplode("k").alias("c", "k")).groupBy("b", "h", "t", "c").agg(F.sum(F.col("ds") * F.col("k")).alias("dq"))
+    both = d.select("b", "h", F.col("t2").alias("t"), "ds", "p", F.posexplode(F.arrays_zip("q", "dout")).alias("c", "z"))
+    by_kv = both.groupBy("b", "h", "t", "c").agg(F.sum(F.col("ds") * F.col("z.q")).alias("dk"), F.sum(F.col("p") * F.col("z.dout")).alias("dv"))
+    return by_q, by_kv
+
+
+def cached_attention(q: DataFrame, cache: DataFrame, scale: float) -> DataFrame:
+    """(b, h, c, out): one new position's q (b, h, q) over the cache (b, h, t, k, v) of all before and itself."""
+    s = q.join(cache, ["b", "h"]).withColumn("s", _dot("q", "k") * scale)
+    e = s.withColumn("e", F.exp(F.col("s") - F.max("s").over(Window.partitionBy("b", "h"))))
+    flat = e.select("b", "h", "e", F.posexplode("v").alias("c", "v"))
+    return flat.groupBy("b", "h", "c").agg((F.sum(F.col("e") * F.col("v")) / F.sum("e")).alias("out"))

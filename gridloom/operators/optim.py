@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Tensors whose weights decay: the two-dimensional ones (fixed values).
@@ -51,3 +51,87 @@ SCHEDULES = {"cosine": cosine, "linear": linear, "constant": constant, "wsd": wa
 
 def flops_per_token(parameters: Column, layers: Column, channels: Column, context: Column) -> Column:
     return 6 * parameters + 6 * layers * channels * context
+
+
+def skip(z: Column, most: float) -> Column:
+    """Whether an update is left out: its loss or gradient lies too far from the last ones; never where z is null."""
+    return F.coalesce(F.abs(z) > most, F.lit(False))
+
+
+def accumulated(gradients: DataFrame, rows: int, micro_steps: int) -> DataFrame:
+    """(step, i, g) of (step, micro, i, g): each micro-batch's mean over its rows, scaled by the number of micro-steps
+    and summed; a step begins at zero."""
+    micro = gradients.groupBy("step", "micro", "i").agg((F.sum("g") / (rows * micro_steps)).alias("g"))
+    return micro.groupBy("step", "i").agg(F.sum("g").alias("g"))
+
+
+#: Published peaks of the largest model of each series in 10^12 operations a second by precision, its clock in MHz and
+#: its matrix units (fixed values); a device's own units and clock scale them.
+SERIES = {
+    "volta": {"fp16": 125.0, "mhz": 1530.0, "units": 640.0},
+    "ampere": {"fp32": 156.0, "bf16": 312.0, "fp16": 312.0, "mhz": 1410.0, "units": 432.0},
+    "hopper": {"fp32": 378.0, "bf16": 756.0, "fp16": 756.0, "mhz": 1620.0, "units": 456.0},
+    "ada": {"fp32": 82.6, "bf16": 165.2, "fp16": 165.2, "mhz": 2520.0, "units": 512.0},
+}
+DEVICES = {
+    "Tesla V100-SXM2-16GB": ("volta", 640, 1530),
+    "NVIDIA A100-SXM4-40GB": ("ampere", 432, 1410),
+    "NVIDIA A100-SXM4-80GB": ("ampere", 432, 1410),
+    "NVIDIA GeForce RTX 4090": ("ada", 512, 2520),
+    "NVIDIA GeForce RTX 4080": ("ada", 304, 2505),
+    "NVIDIA H100 PCIe": ("hopper", 456, 1620),
+    "NVIDIA H100 80GB HBM3": ("hopper", 528, 1830),
+}
+
+
+def promised(device: str, precision: str) -> float | None:
+    """10^12 operations a second that a device promises; None where it isn't known."""
+    if device not in DEVICES or precision not in SERIES[DEVICES[device][0]]:
+        return None
+    series, units, mhz = DEVICES[device]
+    s = SERIES[series]
+    return s[precision] * (units / s["units"]) * (mhz / s["mhz"])
+
+
+def promised_table(spark: SparkSession, precision: str) -> DataFrame:
+    """(device, tflops), null where the precision isn't known of it: what a utilisation is told against."""
+    return spark.createDataFrame([(d, promised(d, precision)) for d in DEVICES], "device string, tflops double")
+
+
+def retained(files: DataFrame, marker: str, last: int, every: int) -> DataFrame:
+    """(step, done, resume, keep) of a folder's files (step, kind): a step is done when its marker is there, the last
+    done one is resumed from; the `last` newest and each multiple of `every` stay."""
+    s = files.groupBy("step").agg(F.max(F.col("kind") == marker).alias("done"))
+    r = F.row_number().over(Window.partitionBy("done").orderBy(F.desc("step")))  # steps that were saved: some thousands
+    s = s.withColumn("r", F.when(F.col("done"), r))
+    first = F.coalesce(F.col("r") == 1, F.lit(False))
+    return s.select("step", "done", first.alias("resume"), (F.col("done") & ((F.col("r") <= last) | (F.col("step") % every == 0))).alias("keep"))
+
+
+def initial(spark: SparkSession, depths: list[int]) -> DataFrame:
+    """(layers, tensor, mean, spread): normal weights of spread 0.02, those that end a residual branch less by the root
+    of their number; normalisation weights 1, biases 0 (fixed values of the published model)."""
+    from ..sources.binary_files import TENSORS
+
+    rows = []
+    for n in depths:
+        for t in TENSORS:
+            weight = t in ("wte", "wpe", "qkvw", "fcw")
+            ends = t in ("attprojw", "fcprojw")
+            rows.append((n, t, 1.0 if t in ("ln1w", "ln2w", "lnfw") else 0.0, 0.02 if weight else 0.02 / math.sqrt(2 * n) if ends else 0.0))
+    return spark.createDataFrame(rows, "layers long, tensor string, mean double, spread double")
+
+
+def transposed(matrix: DataFrame) -> DataFrame:
+    """(row, col, v) with rows and columns exchanged."""
+    return matrix.select(F.col("col").alias("row"), F.col("row").alias("col"), "v")
+
+
+def reduce_blocks(gradients: DataFrame, size: int) -> DataFrame:
+    """(block, mean, ranks) of (rank, i, g): the mean over ranks of blocks of `size` neighbouring values."""
+    return gradients.groupBy(F.floor(F.col("i") / size).alias("block")).agg(F.avg("g").alias("mean"), F.countDistinct("rank").alias("ranks"))
+
+
+def lower_difference(a: DataFrame, b: DataFrame) -> DataFrame:
+    """diff: the largest difference of two matrices (i, j, v) on and below the diagonal."""
+    return a.where("j <= i").join(b.withColumnRenamed("v", "w"), ["i", "j"]).agg(F.max(F.abs(F.col("v") - F.col("w"))).alias("diff"))

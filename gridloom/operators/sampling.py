@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -45,3 +45,85 @@ class XorShift:
 
     def f32(self) -> float:
         return (self.u32() >> 8) / 16777216.0
+
+
+def tempered(x: Column, temperature: float) -> Column:
+    """Softmax of logits by temperature: an array."""
+    from .layers import softmax
+
+    return softmax(F.transform(x, lambda v: v / temperature))
+
+
+def until_stop(tokens: Column, prompt: int, most: int, stops: tuple[int, ...]) -> Column:
+    """The prompt and at most `most` tokens after it, up to the first stop token, which is left out."""
+    whole = F.slice(tokens, 1, prompt + most)
+    stop = F.array_min(F.transform(F.filter(F.transform(whole, lambda v, i: F.when((i >= prompt) & v.isin(*stops), i)), lambda i: i.isNotNull()), lambda i: i))
+    return F.when(stop.isNull(), whole).otherwise(F.slice(whole, F.lit(1), F.coalesce(stop, F.lit(0))))
+
+
+#: Fixed values of a published noise function.
+NOISE = (0xD2A80A3F, 0xA884F197, 0x6C736F4B, 0xB79F3ABB, 0x1B56C4F5)
+_LOW = 0xFFFFFFFF
+
+
+def _times(x: Column, k: int) -> Column:
+    """x * k modulo 2^32 in longs: the high half of k by the low one of x overflows nothing."""
+    low, high = k & 0xFFFF, k >> 16
+    return (x * low + F.shiftleft((x * high).bitwiseAND(F.lit(0xFFFF)), 16)).bitwiseAND(F.lit(_LOW))
+
+
+def noise(position: Column, seed: Column) -> Column:
+    """32 random bits of a position and a seed, the same wherever they are asked for."""
+    a, b, c, d, e = NOISE
+    mixed = lambda m, n: m.bitwiseXOR(F.shiftright(m, n))
+    m = (_times(position.bitwiseAND(F.lit(_LOW)), a) + seed).bitwiseAND(F.lit(_LOW))
+    m = (mixed(m, 9) + b).bitwiseAND(F.lit(_LOW))
+    m = _times(mixed(m, 11), c)
+    m = (mixed(m, 13) + d).bitwiseAND(F.lit(_LOW))
+    return mixed(_times(mixed(m, 15), e), 17)
+
+
+def stochastic_bf16(values, random):
+    """NumPy: float32 values to half width, up where the bits that go exceed 16 random ones, so that the mean stays."""
+    import numpy as np
+
+    bits = np.asarray(values, "<f4").view("<u4")
+    up = (bits & np.uint32(0xFFFF)) > (np.asarray(random).astype(np.uint32) & np.uint32(0xFFFF))
+    # all the bits that go are set or cleared; what is left is rounded to the nearest
+    full = np.where(up, bits | np.uint32(0xFFFF), bits & np.uint32(0xFFFF0000))
+    from ..sources.binary_files import to_bf16
+
+    return to_bf16(full.view("<f4"))
+
+
+def normals(spark: SparkSession, seeds, n: int) -> DataFrame:
+    """(seed, i, uniform, normal): n numbers of each seed's generator. Normal ones come by pairs of lanes eight apart
+    in blocks of sixteen; the last sixteen are drawn again where n isn't a multiple."""
+
+    def run(batches):
+        import math
+
+        import pyarrow as pa
+
+        from .tokens import MersenneTwister
+
+        for batch in batches:
+            for seed in batch.column(0).to_pylist():
+                g = MersenneTwister(seed)
+                draw = lambda: (g.u32() & 0xFFFFFF) / float(1 << 24)  # noqa: B023, E731
+                u = [draw() for _ in range(n)]
+                z = list(u)
+
+                def pair(at: int) -> None:
+                    for k in range(at, at + 8):
+                        r, turn = math.sqrt(-2 * math.log(1 - z[k])), 2 * math.pi * z[k + 8]  # noqa: B023
+                        z[k], z[k + 8] = r * math.cos(turn), r * math.sin(turn)  # noqa: B023
+
+                for at in range(0, n - 15, 16):
+                    pair(at)
+                if n % 16 and n >= 16:
+                    z[n - 16 :] = [draw() for _ in range(16)]
+                    pair(n - 16)
+                yield pa.RecordBatch.from_arrays([pa.array([seed] * n, pa.int64()), pa.array(range(n), pa.int64()), pa.array(u), pa.array(z)], names=["seed", "i", "uniform", "normal"])
+
+    return spark.createDataFrame([(s,) for s in seeds], "seed long").mapInArrow(run, "seed long, i long, uniform double, normal double")

@@ -6,14 +6,47 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def sliding_zscore(df: DataFrame, value: str, order: list[str], partition: list[str], window: int = 128) -> DataFrame:
+#: Rows of a series that one task runs over, about.
+BLOCK = 100_000
+
+
+def numbered(df: DataFrame, order: list[str], partition: list[str], block: int = BLOCK) -> DataFrame:
+    """df with _k, the row's number in its series from 0, and _n, the series' rows. Numbers are run in blocks of
+    the first order column (a number), and block totals in turn: no task gets a whole series."""
+    low, high, rows = df.agg(F.min(order[0]), F.max(order[0]), F.count(F.lit(1))).first()
+    width = max(1, ((high or 0) - (low or 0) + 1) / max(1, rows // block))
+    d = df.withColumn("_b", F.floor((F.col(order[0]) - (low or 0)) / width))
+    total = d.groupBy(*partition, "_b").agg(F.count(F.lit(1)).alias("_c"))
+    series = Window.partitionBy(*partition)
+    run = series.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    total = total.select(*[F.col(c).alias(f"_{c}") for c in partition], F.col("_b").alias("_b2"), F.coalesce(F.sum("_c").over(run), F.lit(0)).alias("_base"), F.sum("_c").over(series).alias("_n"))
+    same = F.col("_b") == F.col("_b2")
+    for c in partition:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    k = F.row_number().over(Window.partitionBy(*partition, "_b").orderBy(*order)) - 1
+    out = d.withColumn("_r", k).join(total, same)
+    return out.withColumn("_k", (F.col("_r") + F.col("_base")).cast("long")).drop("_b", "_r", "_b2", "_base", *[f"_{c}" for c in partition])
+
+
+def with_margins(df: DataFrame, partition: list[str], before: int, after: int, block: int = BLOCK) -> tuple[DataFrame, list[str]]:
+    """(rows, window columns) of `numbered` rows: blocks of a series, each with `before` rows of the block before and
+    `after` of the one behind, marked by _own = false. A frame of that many rows needs no other block."""
+    block = max(block, before, after)
+    home, at = F.floor(F.col("_k") / block), F.col("_k") % block
+    copies = F.array(F.struct(home.alias("_p"), F.lit(True).alias("_own")), F.when(at >= block - before, F.struct((home + 1).alias("_p"), F.lit(False).alias("_own"))), F.when(at < after, F.struct((home - 1).alias("_p"), F.lit(False).alias("_own"))))
+    out = df.withColumn("_x", F.explode(F.filter(copies, lambda x: x.isNotNull()))).select("*", "_x._p", "_x._own").drop("_x")
+    return out, [*partition, "_p"]
+
+
+def sliding_zscore(df: DataFrame, value: str, order: list[str], partition: list[str], window: int = 128, block: int = BLOCK) -> DataFrame:
     """z: distance from the mean of the last `window` values, the current one included, in population
-    deviations; null for the first `window` rows of a series, 0 where the deviation is 0."""
-    w = Window.partitionBy(*partition).orderBy(*order)
-    frame = w.rowsBetween(1 - window, 0)
+    deviations; null for the first `window` rows of a series, 0 where the deviation is 0. A long series is
+    run in blocks that carry the rows before them along."""
+    rows, by = with_margins(numbered(df, order, partition, block), partition, window - 1, 0, block)
+    frame = Window.partitionBy(*by).orderBy("_k").rowsBetween(1 - window, 0)
     mean, dev = F.avg(value).over(frame), F.stddev_pop(value).over(frame)
     z = F.when(dev == 0, 0.0).otherwise((F.col(value) - mean) / dev)
-    return df.withColumn("z", F.when(F.row_number().over(w) > window, z))
+    return rows.withColumn("z", F.when(F.col("_k") >= window, z)).where("_own").drop("_k", "_n", "_p", "_own")
 
 
 def bias_corrected_ema(df: DataFrame, value: str, order: list[str], partition: list[str], keep: float = 0.95) -> DataFrame:
@@ -26,14 +59,20 @@ def bias_corrected_ema(df: DataFrame, value: str, order: list[str], partition: l
     return s.select(*partition, "steps", (F.col("_s") / (1 - F.pow(F.lit(keep), F.col("steps")))).alias("ema"))
 
 
-def moving_average(df: DataFrame, value: str, order: list[str], partition: list[str], half: int) -> DataFrame:
-    """avg: centred mean over 2 half + 1 rows; beyond the ends the end values count again."""
-    w = Window.partitionBy(*partition).orderBy(*order)
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    frame = w.rowsBetween(-half, half)
-    k, n = F.row_number().over(w), F.count(F.lit(1)).over(whole)
-    total = F.sum(value).over(frame) + F.greatest(F.lit(0), half + 1 - k) * F.first(value).over(whole) + F.greatest(F.lit(0), k + half - n) * F.last(value).over(whole)
-    return df.withColumn("avg", total / (2 * half + 1))
+def moving_average(df: DataFrame, value: str, order: list[str], partition: list[str], half: int, block: int = BLOCK) -> DataFrame:
+    """avg: centred mean over 2 half + 1 rows; beyond the ends the end values count again. A long series is run in
+    blocks that carry the rows on either side along."""
+    n = numbered(df, order, partition, block)
+    ends = n.where((F.col("_k") == 0) | (F.col("_k") == F.col("_n") - 1)).groupBy(*[F.col(c).alias(f"_{c}") for c in partition])
+    ends = ends.agg(F.min_by(value, "_k").alias("_first"), F.max_by(value, "_k").alias("_last"))  # one row a series
+    same = F.lit(True)
+    for c in partition:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    rows, by = with_margins(n.join(ends, same).drop(*[f"_{c}" for c in partition]), partition, half, half, block)
+    frame = Window.partitionBy(*by).orderBy("_k").rowsBetween(-half, half)
+    k = F.col("_k") + 1
+    total = F.sum(value).over(frame) + F.greatest(F.lit(0), half + 1 - k) * F.col("_first") + F.greatest(F.lit(0), k + half - F.col("_n")) * F.col("_last")
+    return rows.withColumn("avg", total / (2 * half + 1)).where("_own").drop("_k", "_n", "_p", "_own", "_first", "_last")
 
 
 def steady_state(df: DataFrame, by: list[str], it: str, ms: str) -> DataFrame:
@@ -89,3 +128,31 @@ def tolerance_mismatches(expected: DataFrame, actual: DataFrame, key: str, value
     e = expected.select(key, F.col(value).alias("expected"))
     a = actual.select(key, F.col(value).alias("actual"))
     return e.join(a, key, "full").where("expected is null or actual is null or abs(expected - actual) > " + repr(eps))
+
+
+def metric_key(text: Column) -> Column:
+    """The key of a line `@key : ...@`, whether or not a number follows."""
+    return F.nullif(F.regexp_extract(text, r"^@([^:@]+?)\s*:", 1), F.lit(""))
+
+
+def kernel_pass(name: Column) -> Column:
+    """The part of a training step that a kernel belongs to."""
+    return F.when(name.contains("encoder"), "enc").when(name.contains("classifier"), "cls").when(name.contains("adamw") | name.contains("global_norm") | name.contains("copy_and_cast"), "opt").otherwise("layer")
+
+
+def kernel_function(name: Column) -> Column:
+    """A kernel's name without arguments, return type and template; those of one matrix product together."""
+    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(name, r"\(.*", ""), r"^[a-z]+ ", ""), "<.*", "")
+    return F.when(bare.startswith("ampere_bf16"), "ampere_bf16").otherwise(bare)
+
+
+def report_lines(figures: DataFrame, title: str) -> DataFrame:
+    """(line, text): figures (i, path of two names, value) as nested lines under a title; a group's name
+    stands before its first figure. Reports are short."""
+    parts = F.split("path", r"\.")
+    f = figures.select("i", parts[0].alias("group"), parts[1].alias("name"), "value")
+    heads = f.groupBy("group").agg(F.min("i").alias("i")).select("i", F.lit(0).alias("k"), F.concat(F.lit("  "), "group", F.lit(":")).alias("text"))
+    leaves = f.select("i", F.lit(1).alias("k"), F.concat(F.lit("    "), "name", F.lit(": "), "value").alias("text"))
+    top = figures.sparkSession.createDataFrame([(-1, 0, f"{title}:")], "i long, k int, text string")
+    every = top.unionByName(heads).unionByName(leaves)
+    return every.select((F.row_number().over(Window.orderBy("i", "k")) - 1).cast("long").alias("line"), "text")

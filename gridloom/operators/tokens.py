@@ -6,16 +6,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Rows that are run in one block, about.
+BLOCK = 100_000
+
+
 def stream(docs: DataFrame, key: str, size: str) -> DataFrame:
     """docs with base: tokens of all documents before, in order of key. Document totals are run in
-    blocks of keys, and block totals in turn, so no task gets all documents."""
-    top = docs.agg(F.max(key)).first()[0] or 0
-    width = max(1, -(-(int(top) + 1) // 256))
+    blocks of keys, whose number grows with the documents, and block totals in turn, so no task gets
+    all documents."""
+    top, rows = docs.agg(F.max(key), F.count(F.lit(1))).first()
+    width = max(1, -(-(int(top or 0) + 1) // max(256, rows // BLOCK)))
     d = docs.withColumn("_b", F.floor(F.col(key) / width))
     total = d.groupBy("_b").agg(F.sum(size).alias("_n"))
     total = total.select("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
     inside = Window.partitionBy("_b").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    out = d.withColumn("_in", F.coalesce(F.sum(size).over(inside), F.lit(0))).join(F.broadcast(total), "_b")  # 256 blocks
+    out = d.withColumn("_in", F.coalesce(F.sum(size).over(inside), F.lit(0))).join(F.broadcast(total), "_b")  # one row for BLOCK documents
     return out.withColumn("base", (F.col("_in") + F.col("_base")).cast("long")).drop("_b", "_in", "_base")
 
 
@@ -74,6 +79,11 @@ def example_losses(losses: DataFrame) -> DataFrame:
     return c.groupBy("idx", "label").agg(pick("norm").alias("pick_norm"), pick("sum").alias("pick_sum"))
 
 
+def enough(sizes: DataFrame, b: int, t: int, ranks: int) -> DataFrame:
+    """sizes (shard, n) with enough: whether a shard has one batch of all ranks and a target for its last token."""
+    return sizes.withColumn("enough", F.col("n") >= b * t * ranks + 1)
+
+
 class MersenneTwister:
     """MT19937 with a modulo-biased Fisher-Yates shuffle, as the loaders' permutations need."""
 

@@ -22,7 +22,7 @@ def mesh_corners(spark, sf_dir):
     return generators.hex_corners(spark, S).select("e", F.col("c").cast("long").alias("c"), "n")
 
 
-@query("S08 J03", f"SELECT e, CASE WHEN e >= 1 THEN e - 1 ELSE e END AS lxim, CASE WHEN e + 1 < {S**3} THEN e + 1 ELSE e END AS lxip, CASE WHEN e >= {S} THEN e - {S} ELSE e END AS letam, CASE WHEN e + {S} < {S**3} THEN e + {S} ELSE e END AS letap, CASE WHEN e >= {S * S} THEN e - {S * S} ELSE e END AS lzetam, CASE WHEN e + {S * S} < {S**3} THEN e + {S * S} ELSE e END AS lzetap FROM ({GRID})")
+@query("S08", f"SELECT e, CASE WHEN e >= 1 THEN e - 1 ELSE e END AS lxim, CASE WHEN e + 1 < {S**3} THEN e + 1 ELSE e END AS lxip, CASE WHEN e >= {S} THEN e - {S} ELSE e END AS letam, CASE WHEN e + {S} < {S**3} THEN e + {S} ELSE e END AS letap, CASE WHEN e >= {S * S} THEN e - {S * S} ELSE e END AS lzetam, CASE WHEN e + {S * S} < {S**3} THEN e + {S * S} ELSE e END AS lzetap FROM ({GRID})")
 def mesh_neighbours(spark, sf_dir):
     return generators.hex_neighbours(spark, S)
 
@@ -52,7 +52,7 @@ def hex_volume_length(spark, sf_dir):
     return _elements(spark).select("e", F.round("volume", 9).alias("volume"), F.round(hexmesh.characteristic_length(F.col("volume")), 9).alias("length"))
 
 
-@query("A06 A07", f"SELECT n, round({H} * {H} * {H} / 8 * (CASE WHEN ix IN (0, {S}) THEN 1 ELSE 2 END) * (CASE WHEN iy IN (0, {S}) THEN 1 ELSE 2 END) * (CASE WHEN iz IN (0, {S}) THEN 1 ELSE 2 END), 7) AS mass FROM ({NODES})")
+@query("A07", f"SELECT n, round({H} * {H} * {H} / 8 * (CASE WHEN ix IN (0, {S}) THEN 1 ELSE 2 END) * (CASE WHEN iy IN (0, {S}) THEN 1 ELSE 2 END) * (CASE WHEN iz IN (0, {S}) THEN 1 ELSE 2 END), 7) AS mass FROM ({NODES})")
 def nodal_mass(spark, sf_dir):
     return hexmesh.nodal_mass(generators.hex_corners(spark, S), _elements(spark)).select("n", F.round("mass", 7).alias("mass"))
 

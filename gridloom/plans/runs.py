@@ -13,7 +13,7 @@ def _events(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.col("ts"), "user_id", "event_type", "value", "props")
 
 
-@query("W06 ST1 O05", "SELECT event_id, event_type, round(CASE WHEN k > 128 THEN CASE WHEN d = 0 THEN 0 ELSE (value - m) / d END END, 6) AS z FROM (SELECT event_id, event_type, value, avg(value) OVER f AS m, stddev_pop(value) OVER f AS d, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS k FROM events WINDOW f AS (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN 127 PRECEDING AND CURRENT ROW))")
+@query("W06 ST1", "SELECT event_id, event_type, round(CASE WHEN k > 128 THEN CASE WHEN d = 0 THEN 0 ELSE (value - m) / d END END, 6) AS z FROM (SELECT event_id, event_type, value, avg(value) OVER f AS m, stddev_pop(value) OVER f AS d, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS k FROM events WINDOW f AS (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN 127 PRECEDING AND CURRENT ROW))")
 def zscore_outliers(spark, sf_dir):
     return t.sliding_zscore(_events(spark, sf_dir), "value", ["event_id"], ["event_type"]).select("event_id", "event_type", F.round("z", 6).alias("z"))
 
@@ -48,7 +48,7 @@ def iterations_across_runs(spark, sf_dir):
     return t.across_runs(_runs(spark, sf_dir), "it", "ms").select("it", F.round("mean", 6).alias("mean"), F.round("dev", 6).alias("dev"))
 
 
-@query("A20 A21", f"SELECT run, it // 4 AS chunk, max(ms) AS max, round(sum(ms), 6) AS sum FROM {RUNS} GROUP BY 1, 2")
+@query("A20", f"SELECT run, it // 4 AS chunk, max(ms) AS max, round(sum(ms), 6) AS sum FROM {RUNS} GROUP BY 1, 2")
 def chunk_stats(spark, sf_dir):
     return t.chunk_stats(_runs(spark, sf_dir), "ms", "it", 4, ["run"]).withColumn("sum", F.round("sum", 6))
 
@@ -69,7 +69,7 @@ def profile_rollup(spark, sf_dir):
     return t.rollup_share(e, "event_type", "bucket", "value").withColumns({"total": F.round("total", 4), "share": F.round("share", 8)})
 
 
-@query("A23 A30", "SELECT user_id % 8 AS rank, min(value) AS least, max(value) AS most, round(avg(value), 6) AS mean FROM events GROUP BY 1")
+@query("A23", "SELECT user_id % 8 AS rank, min(value) AS least, max(value) AS most, round(avg(value), 6) AS mean FROM events GROUP BY 1")
 def rank_min_max_avg(spark, sf_dir):
     return _events(spark, sf_dir).groupBy((F.col("user_id") % 8).alias("rank")).agg(F.min("value").alias("least"), F.max("value").alias("most"), F.round(F.avg("value"), 6).alias("mean"))
 
@@ -82,7 +82,7 @@ def iteration_times(spark, sf_dir):
     return _events(spark, sf_dir).select("event_id", (at - F.lag(at).over(Window.partitionBy("user_id").orderBy("event_id"))).alias("us"))
 
 
-@query("S25 S26 S27 K12", "SELECT event_id AS step, CASE WHEN event_id % 2 = 0 THEN 'trl' ELSE 'tel' END AS stream, round(value, 4) AS value, event_type AS key FROM events")
+@query("S25", "SELECT event_id AS step, CASE WHEN event_id % 2 = 0 THEN 'trl' ELSE 'tel' END AS stream, round(value, 4) AS value, event_type AS key FROM events")
 def log_lines_parsed(spark, sf_dir):
     e = _events(spark, sf_dir).withColumn("v", F.round("value", 4))
     stream = F.when(F.col("event_id") % 2 == 0, "trl").otherwise("tel")
@@ -92,7 +92,7 @@ def log_lines_parsed(spark, sf_dir):
     return lines.select(step.alias("step"), name.alias("stream"), value.alias("value"), key.alias("key"))
 
 
-@query("S30", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+@query("", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
 def json_props(spark, sf_dir):
     return _events(spark, sf_dir).select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
 

@@ -59,7 +59,7 @@ def gelu_backward(spark, sf_dir):
     return _long(_x(spark, sf_dir).withColumn("y", F.transform("x", layers.gelu_slope)), "y", "slope")
 
 
-@query("E16 E14 E18", _rows("list_transform(x, lambda v: v * (v + 1) / (1 + exp(-(v + 1))) + v)", "out"))
+@query("E16 E14", _rows("list_transform(x, lambda v: v * (v + 1) / (1 + exp(-(v + 1))) + v)", "out"))
 def swiglu_residual(spark, sf_dir):
     return _long(_x(spark, sf_dir).withColumn("y", F.transform("x", lambda v: layers.swiglu(v, v + 1) + v)), "y", "out")
 
@@ -68,7 +68,7 @@ _LL = f"(SELECT vec_id, label, CAST(i AS BIGINT) AS i, v FROM (SELECT vec_id, la
 _PL = f"(SELECT vec_id, label, i, e / sum(e) OVER (PARTITION BY vec_id) AS p FROM (SELECT *, exp(v - max(v) OVER (PARTITION BY vec_id)) AS e FROM {_LL}))"
 
 
-@query("W01 L07", f"SELECT vec_id, i AS c, round(p, 6) AS p FROM {_PL}")
+@query("W01", f"SELECT vec_id, i AS c, round(p, 6) AS p FROM {_PL}")
 def softmax_rows(spark, sf_dir):
     return _long(_x(spark, sf_dir).withColumn("y", layers.softmax(F.col("x"))), "y", "p")
 
@@ -103,16 +103,16 @@ def linear_forward(spark, sf_dir):
 
 
 _XL = f"(SELECT vec_id AS r, unnest(x) AS v, unnest(range(0, 64)) AS i FROM {X})"
-_DO = f"(SELECT vec_id AS r, unnest(x[1:8]) AS g, unnest(range(0, 8)) AS o FROM {X})"
+_DO = f"(SELECT vec_id AS r, unnest(x) AS g, unnest(range(0, 64)) AS o FROM {X})"
 
 
 def _xl(spark, sf_dir):
     x = _x(spark, sf_dir)
     long = x.select(F.col("vec_id").alias("r"), F.posexplode("x").alias("i", "v"))
-    return long, long.where("i < 8").select("r", F.col("i").alias("o"), F.col("v").alias("g"))
+    return long, long.select("r", F.col("i").alias("o"), F.col("v").alias("g"))
 
 
-@query("J07 A29 L03", f"SELECT d.o::BIGINT AS o, x.i::BIGINT AS i, round(sum(d.g * x.v), 5) AS dw FROM {_DO} d JOIN {_XL} x USING (r) GROUP BY 1, 2")
+@query("J07", f"SELECT d.o::BIGINT AS o, x.i::BIGINT AS i, round(sum(d.g * x.v), 5) AS dw FROM {_DO} d JOIN {_XL} x USING (r) GROUP BY 1, 2")
 def linear_backward_weight(spark, sf_dir):
     x, d = _xl(spark, sf_dir)
     w = x.sparkSession.createDataFrame([(0, 0, 0.0)], "o int, i int, w double")
@@ -122,7 +122,7 @@ def linear_backward_weight(spark, sf_dir):
 @query("J07 L03", f"SELECT r AS vec_id, CAST(i AS BIGINT) AS i, round(sum(g * CAST({_W} AS DOUBLE)), 6) AS dx FROM {_DO}, (SELECT unnest(range(0, 64)) AS i) GROUP BY 1, 2")
 def linear_backward_input(spark, sf_dir):
     x, d = _xl(spark, sf_dir)
-    ids = spark.range(512).select((F.col("id") % 8).cast("int").alias("o"), F.floor(F.col("id") / 8).cast("int").alias("i"))
+    ids = spark.range(4096).select((F.col("id") % 64).cast("int").alias("o"), F.floor(F.col("id") / 64).cast("int").alias("i"))
     w = ids.withColumn("w", ((F.col("o") * 7 + F.col("i") * 3) % 11 - 5) / 8.0)
     return layers.linear_backward(x, d, w)[0].select(F.col("r").alias("vec_id"), F.col("i").cast("long").alias("i"), F.round("dx", 6).alias("dx"))
 
@@ -130,7 +130,7 @@ def linear_backward_input(spark, sf_dir):
 _QKV = f"(SELECT vec_id // 8 AS b, h, vec_id % 8 AS t, x[h * 16 + 1:h * 16 + 4] AS q, x[h * 16 + 5:h * 16 + 8] AS k, x[h * 16 + 9:h * 16 + 12] AS v FROM {X}, (SELECT CAST(unnest([0, 1]) AS BIGINT) AS h))"
 
 
-@query("W03 E19", f"WITH q AS {_QKV}, s AS (SELECT a.b, a.h, a.t, c.t AS t2, list_dot_product(a.q, c.k) * 0.5::DOUBLE AS s, c.v FROM q a JOIN q c ON a.b = c.b AND a.h = c.h AND c.t <= a.t), p AS (SELECT *, exp(s - max(s) OVER w) / sum(exp(s)) OVER w * exp(max(s) OVER w) AS p FROM s WINDOW w AS (PARTITION BY b, h, t)) SELECT b, h, t, CAST(c AS BIGINT) AS c, round(sum(p * v), 6) AS out FROM (SELECT b, h, t, p, unnest(v) AS v, unnest(range(0, 4)) AS c FROM p) GROUP BY 1, 2, 3, 4")
+@query("W03", f"WITH q AS {_QKV}, s AS (SELECT a.b, a.h, a.t, c.t AS t2, list_dot_product(a.q, c.k) * 0.5::DOUBLE AS s, c.v FROM q a JOIN q c ON a.b = c.b AND a.h = c.h AND c.t <= a.t), p AS (SELECT *, exp(s - max(s) OVER w) / sum(exp(s)) OVER w * exp(max(s) OVER w) AS p FROM s WINDOW w AS (PARTITION BY b, h, t)) SELECT b, h, t, CAST(c AS BIGINT) AS c, round(sum(p * v), 6) AS out FROM (SELECT b, h, t, p, unnest(v) AS v, unnest(range(0, 4)) AS c FROM p) GROUP BY 1, 2, 3, 4")
 def causal_attention(spark, sf_dir):
     x = _x(spark, sf_dir).withColumn("h", F.explode(F.array(F.lit(0), F.lit(1))))
     part = lambda k: F.slice("x", F.col("h") * 16 + k, F.lit(4))
@@ -206,22 +206,15 @@ def lr_schedules(spark, sf_dir):
     return spark.range(1000).select(s.alias("step"), *[F.round(f(s, 0.001, 100, 1000, 0.1), 10).alias(k) for k, f in optim.SCHEDULES.items()])
 
 
-@query("O07 O08", "SELECT depth, 6 * n + 6 * depth * c * 1024 AS flops FROM (SELECT depth, c, 12 * depth * c * c + 50304 * c AS n FROM (VALUES (12::BIGINT, 768::BIGINT), (24, 1024), (36, 1280), (48, 1600)) t(depth, c))")
+@query("O08", "SELECT depth, 6 * n + 6 * depth * c * 1024 AS flops FROM (SELECT depth, c, 12 * depth * c * c + 50304 * c AS n FROM (VALUES (12::BIGINT, 768::BIGINT), (24, 1024), (36, 1280), (48, 1600)) t(depth, c))")
 def model_flops(spark, sf_dir):
     m = spark.createDataFrame([(12, 768), (24, 1024), (36, 1280), (48, 1600)], "depth long, c long")
     d, c = F.col("depth"), F.col("c")
     return m.select("depth", optim.flops_per_token(12 * d * c * c + 50304 * c, d, c, F.lit(1024)).cast("long").alias("flops"))
 
 
-@query("O06", f"SELECT i, round(sum(v) / 4, 6) AS g FROM {_L} WHERE vec_id < 400 GROUP BY i")
-def gradient_accumulation(spark, sf_dir):
-    micro = _logits(spark, sf_dir).where("vec_id < 400").groupBy(F.floor(F.col("vec_id") / 100).alias("micro"), "i").agg(F.sum("v").alias("g"))
-    return micro.groupBy("i").agg(F.round(F.sum("g") / 4, 6).alias("g"))
-
-
-# As above, but over all vectors: the mean over as many micro-steps as there are.
 @query("O06", f"SELECT i, round(sum(v) / count(DISTINCT vec_id // 100), 6) AS g FROM {_L} GROUP BY i")
-def gradient_accumulation_whole(spark, sf_dir):
+def gradient_accumulation(spark, sf_dir):
     micro = _logits(spark, sf_dir).groupBy(F.floor(F.col("vec_id") / 100).alias("micro"), "i").agg(F.sum("v").alias("g"))
     return micro.groupBy("i").agg(F.round(F.sum("g") / F.count(F.lit(1)), 6).alias("g"))
 

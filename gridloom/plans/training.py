@@ -29,7 +29,7 @@ def _tokens(spark, sf_dir, shard_size: int = 20_000):
 SHARD = f"SELECT p // 20000 AS shard, p % 20000 AS pos, tok FROM ({STREAM})"
 
 
-@query("P01 S19 U02", f"SELECT shard, count(*) AS n, CAST(sum(tok) AS BIGINT) AS sum FROM ({SHARD}) GROUP BY shard")
+@query("S19 U02", f"SELECT shard, count(*) AS n, CAST(sum(tok) AS BIGINT) AS sum FROM ({SHARD}) GROUP BY shard")
 def token_stream(spark, sf_dir):
     return _tokens(spark, sf_dir).groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.sum("tok").alias("sum"))
 
@@ -39,27 +39,13 @@ def shard_packing(spark, sf_dir):
     return tk.shards_of(_sizes(spark, sf_dir), "doc_id", "n", 20_000)
 
 
-@query("W07", f"SELECT shard, pos, tok, lead(tok) OVER (PARTITION BY shard ORDER BY pos) AS target FROM ({SHARD}) QUALIFY shard < 3")
-def token_lead_targets(spark, sf_dir):
-    return tk.next_token(_tokens(spark, sf_dir).where("shard < 3"))
-
-
-@query("P04 X03", f"WITH t AS (SELECT *, lead(tok) OVER (PARTITION BY shard ORDER BY pos) AS target, count(*) OVER (PARTITION BY shard) AS n FROM ({SHARD})) SELECT shard, (pos - 512) // 1024 AS step, ((pos - 512) % 1024) // 128 AS row, (pos - 512) % 128 AS t, tok AS input, target FROM t WHERE pos >= 512 AND (pos - 512) % 1024 < 512 AND pos // 1024 < (n - 1) // 1024 AND shard < 3")
-def batch_slices(spark, sf_dir):
-    t = _tokens(spark, sf_dir).where("shard < 3")
-    return tk.batches(t, t.groupBy("shard").agg(F.count(F.lit(1)).alias("n")), 4, 128, ranks=2, rank=1)
-
-
-# The two queries above and their SQL are held to the first three shards; these two do all of them.
-
-
 @query("W07", f"SELECT shard, pos, tok, lead(tok) OVER (PARTITION BY shard ORDER BY pos) AS target FROM ({SHARD})")
-def token_lead_targets_whole(spark, sf_dir):
+def token_lead_targets(spark, sf_dir):
     return tk.next_token(_tokens(spark, sf_dir))
 
 
 @query("P04 X03", f"WITH t AS (SELECT *, lead(tok) OVER (PARTITION BY shard ORDER BY pos) AS target, count(*) OVER (PARTITION BY shard) AS n FROM ({SHARD})) SELECT shard, (pos - 512) // 1024 AS step, ((pos - 512) % 1024) // 128 AS row, (pos - 512) % 128 AS t, tok AS input, target FROM t WHERE pos >= 512 AND (pos - 512) % 1024 < 512 AND pos // 1024 < (n - 1) // 1024")
-def batch_slices_whole(spark, sf_dir):
+def batch_slices(spark, sf_dir):
     t = _tokens(spark, sf_dir)
     return tk.batches(t, t.groupBy("shard").agg(F.count(F.lit(1)).alias("n")), 4, 128, ranks=2, rank=1)
 
@@ -90,7 +76,7 @@ def sections(spark, sf_dir):
     return s.select("doc_id", F.col("i").cast("long").alias("i"), F.length(F.replace(F.col("s"), F.lit("\n\n"), F.lit("\n"))).cast("long").alias("len"))
 
 
-@query("J04 L01 A13", "WITH w AS (SELECT conv_id, turn, unnest(string_split(text, ' ')) AS w, unnest(range(0, len(string_split(text, ' ')))) AS t FROM conversations) SELECT CAST(length(w) AS BIGINT) AS tok, count(*) AS n, round(sum(length(w) * 0.25::DOUBLE + t * 0.125::DOUBLE), 4) AS grad FROM w GROUP BY 1")
+@query("J04", "WITH w AS (SELECT conv_id, turn, unnest(string_split(text, ' ')) AS w, unnest(range(0, len(string_split(text, ' ')))) AS t FROM conversations) SELECT CAST(length(w) AS BIGINT) AS tok, count(*) AS n, round(sum(length(w) * 0.25::DOUBLE + t * 0.125::DOUBLE), 4) AS grad FROM w GROUP BY 1")
 def embedding_gradient(spark, sf_dir):
     w = table(spark, sf_dir, "conversations").select(F.posexplode(F.split("text", " ")).alias("t", "w")).select("t", F.length("w").cast("long").alias("tok"))
     wte = w.select("tok").distinct().withColumn("e", F.col("tok") * 0.25)
@@ -101,7 +87,7 @@ def embedding_gradient(spark, sf_dir):
 LOSS = "SELECT doc_id AS idx, CAST(quality AS BIGINT) AS label, CAST(c AS BIGINT) AS choice, ((doc_id * 13 + c * 29 + t * 5) % 37) / 8.0::DOUBLE AS loss, (doc_id + c + t) % 3 > 0 AS mask FROM labels, (SELECT unnest(range(0, 4)) AS c), (SELECT unnest(range(0, 6)) AS t)"
 
 
-@query("A17 P08 S14", f"WITH c AS (SELECT idx, label, choice, avg(loss) FILTER (mask) AS m, sum(loss) FILTER (mask) AS s FROM ({LOSS}) GROUP BY 1, 2, 3), r AS (SELECT idx, label, row_number() OVER (PARTITION BY idx ORDER BY m, choice) AS a, row_number() OVER (PARTITION BY idx ORDER BY s, choice) AS b, choice FROM c) SELECT idx, label, max(CASE WHEN a = 1 THEN choice END) AS pick_norm, max(CASE WHEN b = 1 THEN choice END) AS pick_sum FROM r GROUP BY 1, 2")
+@query("A17", f"WITH c AS (SELECT idx, label, choice, avg(loss) FILTER (mask) AS m, sum(loss) FILTER (mask) AS s FROM ({LOSS}) GROUP BY 1, 2, 3), r AS (SELECT idx, label, row_number() OVER (PARTITION BY idx ORDER BY m, choice) AS a, row_number() OVER (PARTITION BY idx ORDER BY s, choice) AS b, choice FROM c) SELECT idx, label, max(CASE WHEN a = 1 THEN choice END) AS pick_norm, max(CASE WHEN b = 1 THEN choice END) AS pick_sum FROM r GROUP BY 1, 2")
 def mc_eval_accuracy(spark, sf_dir):
     x = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("idx"), F.col("quality").cast("long").alias("label"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("choice"))
     x = x.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(5))))
@@ -115,17 +101,17 @@ def rendered_prompts(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", F.concat(F.lit("Question: "), "text", F.lit("\n\nAnswer:")).alias("prompt"))
 
 
-@query("P12", "SELECT conv_id, turn, regexp_replace(text, '[^ -~]', '', 'g') AS text FROM conversations")
+@query("", "SELECT conv_id, turn, regexp_replace(text, '[^ -~]', '', 'g') AS text FROM conversations")
 def printable_text(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.regexp_replace("text", "[^ -~]", "").alias("text"))
 
 
-@query("P03 P06")
+@query("P03")
 def shuffled_rows(spark, sf_dir):
     rows = _sizes(spark, sf_dir).withColumn("shard", F.col("doc_id") % 4)
     return tk.shuffled(rows, "doc_id", 1337)
 
 
-@query("P09", "SELECT doc_id, n, doc_id // 256 AS rank FROM (SELECT doc_id, CAST(len(string_split(text, ' ')) AS BIGINT) AS n FROM documents)")
+@query("", "SELECT doc_id, n, doc_id // 256 AS rank FROM (SELECT doc_id, CAST(len(string_split(text, ' ')) AS BIGINT) AS n FROM documents)")
 def work_split(spark, sf_dir):
     return _sizes(spark, sf_dir).withColumn("rank", F.floor(F.col("doc_id") / 256))

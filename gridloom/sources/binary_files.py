@@ -153,3 +153,48 @@ def read_checkpoint(spark: SparkSession, uri: str, chunk: int = 1 << 20) -> Data
 
     parts = spark.createDataFrame(ranges, "tensor string, lo long, n long, offset long").repartition(min(len(ranges), 4096))
     return parts.mapInArrow(load, "tensor string, idx long, val double")
+
+
+def put(uri: str, data: bytes) -> None:
+    """data as a file at uri; a file that isn't whole never has the name."""
+    import uuid
+
+    import pyarrow.fs as pafs
+
+    fs, path = pafs.FileSystem.from_uri(uri)
+    fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
+    part = f"{path}.{uuid.uuid4().hex}.part"
+    with fs.open_output_stream(part) as f:
+        f.write(data)
+    fs.move(part, path)
+
+
+def _decoded(spark: SparkSession, uri: str, schema: str, decode) -> DataFrame:
+    """Rows that decode makes of each file's bytes; a file is one task's."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_pydict(decode(data))
+
+    return spark.read.format("binaryFile").load(uri).select("content").mapInArrow(run, schema)
+
+
+def read_tokenizer(spark: SparkSession, uri: str) -> DataFrame:
+    """(id, piece, printable) of tokenizer tables."""
+
+    def rows(data: bytes) -> dict:
+        pieces, _ = decode_tokenizer(data)
+        return {"id": pa.array(range(len(pieces)), pa.int64()), "piece": pa.array(pieces, pa.binary()), "printable": pa.array([printable(p) for p in pieces])}
+
+    return _decoded(spark, uri, "id long, piece binary, printable boolean", rows)
+
+
+def read_examples(spark: SparkSession, uri: str) -> DataFrame:
+    """(i, label, context, endings) of evaluation files."""
+
+    def rows(data: bytes) -> dict:
+        e = decode_examples(data)
+        return {"i": pa.array(range(len(e)), pa.int64()), "label": pa.array([x.label for x in e], pa.int64()), "context": pa.array([x.context for x in e], pa.list_(pa.int64())), "endings": pa.array([x.endings for x in e], pa.list_(pa.list_(pa.int64())))}
+
+    return _decoded(spark, uri, "i long, label long, context array<long>, endings array<array<long>>", rows)

@@ -54,11 +54,11 @@ def test_whole_queries_leave_no_shard_or_vector_out(spark):
     run = lambda name: catalog.queries()[name](spark, sf)
     stream = run("token_stream").collect()
     assert len(stream) > 3
-    assert {r.shard: r["count"] for r in run("token_lead_targets_whole").groupBy("shard").count().collect()} == {r.shard: r.n for r in stream}
+    assert {r.shard: r["count"] for r in run("token_lead_targets").groupBy("shard").count().collect()} == {r.shard: r.n for r in stream}
     # a rank's half of each whole step of 2 ranks of 4 rows of 128 tokens
-    assert {r.shard: r["count"] for r in run("batch_slices_whole").groupBy("shard").count().collect()} == {r.shard: 512 * ((r.n - 1) // 1024) for r in stream if r.n > 1024}
+    assert {r.shard: r["count"] for r in run("batch_slices").groupBy("shard").count().collect()} == {r.shard: 512 * ((r.n - 1) // 1024) for r in stream if r.n > 1024}
     x = spark.read.parquet(f"{sf}/embeddings.parquet").toPandas().sort_values("vec_id")
     column = next(c for c in x.columns if hasattr(x[c].iloc[0], "__len__") and not isinstance(x[c].iloc[0], str))
     first = sum(float(v[0]) for v in x[column]) / x["vec_id"].floordiv(100).nunique()
-    got = {r.i: r.g for r in run("gradient_accumulation_whole").collect()}
+    got = {r.i: r.g for r in run("gradient_accumulation").collect()}
     assert len(x) > 400 and abs(got[0] - first) < 1e-5
