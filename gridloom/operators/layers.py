@@ -100,7 +100,7 @@ def linear(x: Column, w: Column, bias: Column | None = None) -> Column:
 
 def linear_backward(x: DataFrame, dout: DataFrame, w: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(dx, dw, db) of long tables x (r, i, v), dout (r, o, g), w (o, i, w)."""
-    dx = dout.join(F.broadcast(w), "o").groupBy("r", "i").agg(F.sum(F.col("g") * F.col("w")).alias("dx"))  # weights
+    dx = dout.join(w, "o").groupBy("r", "i").agg(F.sum(F.col("g") * F.col("w")).alias("dx"))
     dw = dout.join(x, "r").groupBy("o", "i").agg(F.sum(F.col("g") * F.col("v")).alias("dw"))
     return dx, dw, dout.groupBy("o").agg(F.sum("g").alias("db"))
 

@@ -43,7 +43,7 @@ def batches(tokens: DataFrame, sizes: DataFrame, b: int, t: int, ranks: int = 1,
     """(shard, step, row, t, input, target): B x T windows of a shard for one rank; what is left
     after the last whole step of all ranks is dropped. sizes: (shard, n) tokens."""
     step = b * t * ranks
-    d = tokens.join(F.broadcast(sizes), "shard")  # shards
+    d = tokens.join(sizes, "shard")
     at = F.col("pos") - rank * b * t
     with_target = next_token(d)
     at_ok = (at >= 0) & (at % step < b * t) & (F.floor(F.col("pos") / step) < F.floor((F.col("n") - 1) / step))

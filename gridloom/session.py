@@ -32,14 +32,28 @@ def shared_dir(spark: SparkSession) -> str:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = found.get() if found.isDefined() else None
     if not found:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that the driver and all executors of {master} share")
         spark.sparkContext.setCheckpointDir(LOCAL_SHARED)
         found = LOCAL_SHARED
     return found.rstrip("/")
 
 
+#: Folders that this process has made and will take away.
+_MADE: set[str] = set()
+
+
 def scratch(spark: SparkSession, what: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/gridloom/{what}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder, in one that goes when the application ends."""
+    root = f"{shared_dir(spark)}/gridloom/{spark.sparkContext.applicationId}"
+    if root not in _MADE:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        _MADE.add(root)
+    return f"{root}/{what}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:

@@ -6,7 +6,7 @@ makes a shard of each task's rows in the order they come, under names that carry
 
 from __future__ import annotations
 
-import os
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -92,7 +92,7 @@ def write(tokens: DataFrame, uri: str, width: int = 2) -> list[tuple[int, int]]:
         fs.create_dir(base, recursive=True)
         shard = key[0].as_py()
         tok = t.sort_by("pos")["tok"].to_numpy()
-        part = f"{base}/shard_{shard:06d}.{os.getpid()}.part"
+        part = f"{base}/shard_{shard:06d}.{uuid.uuid4().hex}.part"
         with fs.open_output_stream(part) as f:
             f.write(encode(tok, width))
         fs.move(part, f"{base}/shard_{shard:06d}.bin")
