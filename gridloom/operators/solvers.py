@@ -190,7 +190,16 @@ def gmres(a: DataFrame, b: DataFrame, restarts: int = 10, m: int = 30, tolerance
 SOLVERS: dict[str, Callable[..., Solved]] = {"cg": cg, "cr": cr, "minres": minres, "bicgstab": bicgstab, "gmres": gmres, "hpc_cg": hpc_cg}
 
 
-def flops(name: str, nnz: int, n: int, iterations: int) -> int:
-    """Model of floating-point operations: 2 nnz a product, 2 n a vector operation, n a scaling."""
-    products, vectors = {"cg": (1, 5), "cr": (1, 6), "minres": (1, 9), "bicgstab": (2, 10), "hpc_cg": (1, 5)}[name]
-    return iterations * (products * 2 * nnz + vectors * 2 * n)
+#: Operations of each solver before its loop and in one iteration: matrix products (two for each entry), and vector
+#: operations by the length of a vector: two for products, sums and scaled sums, one for elementwise and scalings.
+WORK = {"cg": ((0, 3), (1, 11)), "cr": ((1, 2), (1, 13)), "minres": ((0, 2), (1, 18)), "bicgstab": ((0, 2), (2, 24)), "hpc_cg": ((0, 0), (1, 10))}
+
+
+def flops(name: str, nnz, n, iterations: int, restart: int = 30):
+    """Model of floating-point operations; an iteration of gmres is a restart of `restart` steps, whose j-th orthogonalises
+    against j + 1 vectors. nnz and n are numbers or columns."""
+    if name == "gmres":
+        m = restart
+        return iterations * ((1 + m) * 2 * nnz + (6 + 3 * m + 2 * m * (m + 1) + (m - 1) + 2 * m) * n)
+    (p0, v0), (p, v) = WORK[name]
+    return p0 * 2 * nnz + v0 * n + iterations * (p * 2 * nnz + v * n)

@@ -183,7 +183,12 @@ def block_dependencies(spark, sf_dir):
     return halo.block_dependencies(generators.stencil(spark, N, N, N), 36)
 
 
-@query("A24 F07", f"SELECT CAST(10 * (2 * count(*) + 10 * {N**3}) AS BIGINT) AS cg, CAST(10 * (4 * count(*) + 20 * {N**3}) AS BIGINT) AS bicgstab, 4096.0::DOUBLE * 64 / 3 AS cholesky FROM ({S27})")
+_WORK = {"cg": f"3 * {N**3} + 10 * (2 * m + 11 * {N**3})", "cr": f"2 * m + 2 * {N**3} + 10 * (2 * m + 13 * {N**3})", "minres": f"2 * {N**3} + 10 * (2 * m + 18 * {N**3})", "bicgstab": f"2 * {N**3} + 10 * (4 * m + 24 * {N**3})", "gmres": f"10 * (2 * m + 6 * {N**3} + 5 * (2 * m + 3 * {N**3}) + 15 * 4 * {N**3} + 4 * {N**3} + 5 * 2 * {N**3})", "hpc_cg": f"10 * (2 * m + 10 * {N**3})"}
+
+
+@query("A24 F07 UX1", f"SELECT solver, CAST(flops AS DOUBLE) AS flops FROM (SELECT count(*) AS m FROM ({S27})), LATERAL (VALUES " + ", ".join(f"('{k}', ({v})::DOUBLE)" for k, v in _WORK.items()) + ", ('cholesky', 4096.0::DOUBLE * 64 / 3)) t(solver, flops)")
 def flop_models(spark, sf_dir):
-    nnz = F.count(F.lit(1))
-    return generators.stencil(spark, N, N, N).agg((10 * (2 * nnz + 10 * N**3)).alias("cg"), (10 * (4 * nnz + 20 * N**3)).alias("bicgstab"), F.lit(cholesky.flops(64)).alias("cholesky"))
+    m = generators.stencil(spark, N, N, N).agg(F.count(F.lit(1)).alias("m"))
+    models = [F.struct(F.lit(k).alias("solver"), solvers.flops(k, F.col("m"), N**3, 10, restart=5).cast("double").alias("flops")) for k in _WORK]
+    models.append(F.struct(F.lit("cholesky").alias("solver"), F.lit(float(cholesky.flops(64))).alias("flops")))
+    return m.select(F.explode(F.array(*models)).alias("x")).select("x.*")
