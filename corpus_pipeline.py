@@ -17,9 +17,11 @@ the shared folder and reads them again, so a lost executor costs a stage at most
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from gridloom.llm import decontaminate, ngram_jaccard, packing, quality_pu, secret_links
+from gridloom.llm.graph import light, sized
 from gridloom.session import stored, table
 
 
@@ -31,14 +33,27 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_pu.keep(docs, quality_pu.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def _rows(docs: DataFrame) -> DataFrame:
+    """docs with a key of each row. Rows read from files have their place in them, which stays the same
+    however the files are split; files' places overlap only where the 62-bit hashes of two paths lie closer
+    than a file has rows. Rows of anything else are numbered and written, so that the numbers stay."""
+    try:
+        places = docs.select("*", F.struct("_metadata.file_path", "_metadata.row_index").alias(ROW))
+    except AnalysisException:
+        return stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "keyed")
+    return places.withColumn(ROW, F.shiftright(F.xxhash64(f"{ROW}.file_path"), 2) + F.col(f"{ROW}.row_index"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    # rows are told apart by a key of their own, written so that it stays what it is
-    keyed = stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "keyed")
-    group = ngram_jaccard.link(keyed, key=ROW).select(ROW, "component_id")
-    order = keyed.select(ROW, F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", F.xxhash64("text").alias("text"), ROW).alias("order"))
-    first = group.join(order, ROW).groupBy("component_id").agg(F.min("order").alias("order")).select(F.col(f"order.{ROW}").alias(ROW))
-    others = group.select(ROW).join(first, ROW, "left_anti")
-    return keyed.join(others, ROW, "left_anti").drop(ROW)
+    keyed = _rows(docs)
+    group = stored(ngram_jaccard.link(keyed, key=ROW).select(ROW, "component_id"), "groups")
+    several = group.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("component_id")
+    members, count, _ = sized(group.join(several, "component_id"), "members")
+    order = F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", F.xxhash64("text").alias("text"), ROW)
+    ordered = stored(keyed.join(light(members, count), ROW).select("component_id", order.alias("order")), "order")
+    first = ordered.groupBy("component_id").agg(F.min("order").alias("first"))
+    others, count, _ = sized(ordered.join(first, "component_id").where(f"order.{ROW} <> first.{ROW}").select(F.col(f"order.{ROW}").alias(ROW)), "others")
+    return keyed.join(light(others, count), ROW, "left_anti").drop(ROW)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
