@@ -273,3 +273,31 @@ def test_near_copies_are_told_by_row(spark, docs):
     # copies without ids or under one id leave one
     got = left([a, a + " x", a, b, b + " x", c], [None, None, None, 5, 5, 5])
     assert len(got) == 3 and {k for k, _ in got} == {None, 5} and (5, c) in got
+
+
+def test_pipeline_of_odd_tables(spark, docs, tmp_path):
+    """Empty tables, null and repeated ids, null and empty texts, ties; and a whole run against its parts."""
+    from gridloom.llm import packing
+
+    good = " ".join(f"word{i} and then" for i in range(40)) + "."
+    some = [good, good, good + " more", None, "", "password=hunter2222 " + good[:300], good.upper()]
+    ids = [3, 3, None, None, 7, 8, 9]
+    bench = spark.createDataFrame([(1, "an item of the benchmark that is in no document at all")], "item_id long, text string")
+    labels = spark.createDataFrame([(3, 1, 0), (None, 1, None)], "doc_id long, quality int, toxic int")
+    for k, (d, b, y) in enumerate([(docs([]), bench, labels), (docs(some, ids), bench.limit(0), labels.limit(0)), (docs(some, ids), bench, labels)]):
+        sf = f"{tmp_path}/{k}"
+        for name, table_ in (("documents", d), ("benchmark", b), ("labels", y)):
+            table_.write.parquet(f"{sf}/{name}.parquet")
+        rows = corpus_pipeline.run(spark, sf).collect()
+        kept = d
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            kept = stage(spark, kept, sf)
+        kept = kept.collect()
+        if not k:
+            assert rows == [] and kept == []
+            continue
+        # one of the copies stays, and rows without words; the secret is out of its text
+        texts = sorted((r.text or "") for r in kept)
+        assert sum(t.startswith("word0") or t.startswith("WORD0") for t in texts) == 1 and not any("hunter" in t for t in texts)
+        own = packing.Ids(*map(__import__("public_tokenizers").path, ("byte_bpe_50k.tiktoken", "byte_bpe_50k.json")))
+        assert sorted(len(own.encode(t)) // 4 + 1 for t in texts) == sorted(r.doc_tokens for r in rows if r.start == 0)
