@@ -111,3 +111,30 @@ class MersenneTwister:
             j = self.u32() % (i + 1)
             p[i], p[j] = p[j], p[i]
         return p
+
+
+def byte_tokens(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, pos, tok): a text's bytes as ids below 256; 256 ends a text."""
+    hexed = F.hex(F.encode(F.col(text), "UTF-8"))
+    n = F.octet_length(text)
+    ids = F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: F.conv(F.substring(hexed, 2 * i + 1, F.lit(2)), 16, 10).cast("long"))).otherwise(F.array().cast("array<bigint>"))
+    return docs.where(F.col(text).isNotNull()).select(key, F.posexplode(F.concat(F.array(F.lit(256).cast("long")), ids)).alias("pos", "tok"))
+
+
+def word_tokens(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, pos, tok): words as their places in the ordered vocabulary of docs; its size ends a text."""
+    d = docs.where(F.col(text).isNotNull())
+    w = d.select(key, F.posexplode(F.split(text, " ")).alias("pos", "w")).where("w <> ''")
+    place = F.row_number().over(Window.orderBy(F.encode("w", "UTF-8"))) - 1  # a vocabulary
+    vocabulary = w.select("w").distinct().withColumn("tok", place.cast("long"))
+    size = vocabulary.agg(F.count(F.lit(1)).alias("tok"))
+    ends = d.select(key, F.lit(0).alias("pos")).crossJoin(F.broadcast(size))  # one row
+    return w.join(vocabulary, "w").select(key, (F.col("pos") + 1).alias("pos"), "tok").unionByName(ends)
+
+
+#: Tokenizers by the name that a model's descriptor gives: each puts the end of a text before every text.
+TOKENIZERS = {"bytes": byte_tokens, "words": word_tokens}
+
+
+def tokenised(docs: DataFrame, key: str, text: str, model: str) -> DataFrame:
+    return TOKENIZERS[model](docs, key, text)

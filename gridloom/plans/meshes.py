@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import generators, hexmesh
+from ..session import scratch
 from .catalog import query
 
 S = 5
@@ -64,3 +65,16 @@ def plane_symmetry(spark, sf_dir):
     m = e.select(F.col("k").alias("j"), F.col("j").alias("k"), F.col("v").alias("w"))
     d = F.abs(F.col("v") - F.col("w"))
     return e.join(m, ["j", "k"]).where("j < k").agg(F.round(F.max(d), 9).alias("max_diff"), F.round(F.sum(d), 9).alias("total_diff"))
+
+
+@query("K03", f"SELECT e, CAST(c AS BIGINT) AS c, n, e % 11 AS material, 1.125::DOUBLE * (n % {S + 1}) / {S} AS x, 1.125::DOUBLE * (n // {S + 1} % {S + 1}) / {S} AS y, 1.125::DOUBLE * (n // {(S + 1) ** 2}) / {S} AS z FROM (SELECT e, c, CAST(ix + CASE WHEN c % 4 IN (1, 2) THEN 1 ELSE 0 END + {S + 1} * (iy + CASE WHEN c % 4 >= 2 THEN 1 ELSE 0 END + {S + 1} * (iz + c // 4)) AS BIGINT) AS n FROM ({GRID}), (SELECT unnest(range(0, 8)) AS c))")
+def mesh_dump(spark, sf_dir):
+    """Connectivity, places and materials written as three tables, and the mesh made of them again."""
+    path = scratch(spark, "mesh")
+    corners = generators.hex_corners(spark, S)
+    corners.groupBy("e").agg(F.transform(F.sort_array(F.collect_list(F.struct("c", "n"))), lambda x: x["n"]).alias("nodes")).write.parquet(f"{path}/connectivity")  # eight each
+    generators.hex_nodes(spark, S).select("n", "x", "y", "z").write.parquet(f"{path}/places")
+    spark.range(S**3).select(F.col("id").alias("e"), (F.col("id") % 11).alias("material")).write.parquet(f"{path}/materials")
+    part = lambda name: spark.read.parquet(f"{path}/{name}")
+    c = part("connectivity").select("e", F.posexplode("nodes").alias("c", "n")).withColumn("c", F.col("c").cast("long"))
+    return c.join(part("places"), "n").join(part("materials"), "e").select("e", "c", "n", "material", "x", "y", "z")

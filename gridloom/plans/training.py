@@ -115,3 +115,21 @@ def shuffled_rows(spark, sf_dir):
 @query("", "SELECT doc_id, n, doc_id // 256 AS rank FROM (SELECT doc_id, CAST(len(string_split(text, ' ')) AS BIGINT) AS n FROM documents)")
 def work_split(spark, sf_dir):
     return _sizes(spark, sf_dir).withColumn("rank", F.floor(F.col("doc_id") / 256))
+
+
+TURNS = "SELECT conv_id * 100 + turn AS id, text FROM conversations"
+
+
+@query("P01 UX5", f"""WITH w AS (SELECT id, unnest(string_split(text, ' ')) AS w FROM ({TURNS})), v AS (SELECT w, row_number() OVER (ORDER BY encode(w)) - 1 AS tok FROM (SELECT DISTINCT w FROM w WHERE w <> '')), s AS (SELECT count(*) AS n FROM v)
+SELECT 'words' AS model, id, count(v.tok) + 1 AS n, CAST(coalesce(sum(v.tok), 0) + any_value(s.n) AS BIGINT) AS sum, CAST(any_value(s.n) AS BIGINT) AS first FROM w LEFT JOIN v USING (w), s GROUP BY id
+UNION ALL SELECT 'bytes', id, strlen(text) + 1, CAST(256 + list_sum(list_transform(range(0, strlen(text)), lambda i: ('0x' || substr(hex(encode(text)), 2 * i + 1, 2))::BIGINT)) AS BIGINT), 256 FROM ({TURNS}) WHERE text <> ''
+UNION ALL SELECT 'bytes', id, 1, 256, 256 FROM ({TURNS}) WHERE text = ''""")
+def tokenised_turns(spark, sf_dir):
+    """Each turn's tokens by two models' tokenizers, the end of a text before them."""
+    c = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), "text")
+    out = None
+    for model in ("words", "bytes"):
+        t = tk.tokenised(c, "id", "text", model)
+        t = t.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.sum("tok").alias("sum"), F.max(F.when(F.col("pos") == 0, F.col("tok"))).alias("first")).select(F.lit(model).alias("model"), "*")
+        out = t if out is None else out.unionByName(t)
+    return out
