@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import table
-from . import decontaminate, language_codes, line_rules, ngram_jaccard, packing, quality_pu, secret_links, sharding, toxicity, warc
+from . import byte_bpe, decontaminate, hard_negatives, language_codes, line_rules, ngram_jaccard, packing, quality_pu, secret_links, sharding, spelling, toxicity, warc
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,8 +54,20 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard.link(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group(table(spark, sf_dir, "documents"))
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.digests(table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), lambda i: i % 100 == 0, relabel=lambda i, x: F.when(i % 7 == 0, (x + 1) % 10).otherwise(x))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_decontaminate, op3_extendible_sharding, op4_line_frequency, op5_secret_links, op6_packing, op7_toxicity_grammar, op8_language_codes, op9_quality_pu, op10_ngram_jaccard)}
+    return {f.__name__: f for f in (op1_warc, op2_decontaminate, op3_extendible_sharding, op4_line_frequency, op5_secret_links, op6_packing, op7_toxicity_grammar, op8_language_codes, op9_quality_pu, op10_ngram_jaccard, op11_spelling_variants, op12_byte_bpe, op13_hard_negatives)}
 
 
 OP3_SQL = r"""
@@ -101,6 +114,16 @@ SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.component_id
 FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(b) AS component_id FROM r GROUP BY a) m ON m.a = d.doc_id
 """
 
+OP13_SQL = """
+WITH t AS (SELECT CAST(vec_id AS BIGINT) AS id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v, row_number() OVER () AS r
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.r AS a, a.id AS anchor_id, b.r AS b, b.id AS id, a.label = b.label AS same, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score FROM t a, t b WHERE a.id % 100 = 0 AND a.r <> b.r),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, id) <= 5)
+SELECT p.anchor_id, p.id AS positive_id, CAST(row_number() OVER (PARTITION BY p.a, p.b ORDER BY n.score DESC, n.id) AS INTEGER) AS rank, n.id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM p JOIN s n ON n.a = p.a AND NOT n.same AND 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score
+QUALIFY row_number() OVER (PARTITION BY p.a, p.b ORDER BY n.score DESC, n.id) <= 10
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_extendible_sharding": OP3_SQL, "op4_line_frequency": OP4_SQL.replace("\\\\", "\\"), "op10_ngram_jaccard": OP10_SQL}
+    return {"op3_extendible_sharding": OP3_SQL, "op4_line_frequency": OP4_SQL.replace("\\\\", "\\"), "op10_ngram_jaccard": OP10_SQL, "op13_hard_negatives": OP13_SQL}
