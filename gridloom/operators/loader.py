@@ -9,9 +9,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ordering import BLOCK, accumulated
 from .tokens import MersenneTwister
 
 
@@ -61,24 +62,16 @@ def evaluation_rows(examples: DataFrame, rows: int) -> DataFrame:
     """(idx, batch, row, t, mask): examples (idx, ctx tokens, endings: tokens of each of four) laid four rows an
     example, rows div 4 examples a batch; mask marks the places whose target is a token of the ending."""
     each = rows // 4
-    k = F.row_number().over(Window.orderBy("idx")) - 1  # examples number 65,535 at most
-    e = examples.withColumn("k", k).select("idx", "ctx", "k", F.posexplode("endings").alias("c", "n"))
+    e = accumulated(examples, ["idx"]).withColumnRenamed("_k", "k").select("idx", "ctx", "k", F.posexplode("endings").alias("c", "n"))
     e = e.withColumn("t", F.explode(F.sequence(F.lit(0).cast("long"), F.col("ctx") + F.col("n") - 1)))
     mask = (F.col("t") >= F.col("ctx") - 1) & (F.col("t") < F.col("ctx") - 1 + F.col("n"))
     return e.select("idx", F.floor(F.col("k") / each).alias("batch"), ((F.col("k") % each) * 4 + F.col("c")).cast("long").alias("row"), "t", mask.alias("mask"))
 
 
-def split(rows: DataFrame, key: str, parts: int, blocks: int = 256) -> DataFrame:
-    """rows with rank: in order of key, ceil(n / parts) a rank, the last ones cropped. Numbers are run in blocks of
-    keys, and block totals in turn."""
-    top, n = rows.agg(F.max(key), F.count(F.lit(1))).first()
-    width = max(1, -(-(int(top or 0) + 1) // blocks))
-    d = rows.withColumn("_b", F.floor(F.col(key) / width))
-    total = d.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
-    total = total.select("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
-    place = F.row_number().over(Window.partitionBy("_b").orderBy(key)) - 1 + F.col("_base")
-    out = d.join(F.broadcast(total), "_b")  # one row a block
-    return out.withColumn("rank", F.floor(place / max(1, -(-n // parts)))).drop("_b", "_base")
+def split(rows: DataFrame, key: str, parts: int, block: int = BLOCK) -> DataFrame:
+    """rows with rank: in order of key (null first), ceil(n / parts) a rank, the last ones cropped."""
+    out = accumulated(rows, [key], block=block)
+    return out.withColumn("rank", F.floor(F.col("_k") / F.ceil(F.col("_n") / parts))).drop("_k", "_n")
 
 
 def multiset_difference(first: DataFrame, second: DataFrame, value: str) -> DataFrame:

@@ -5,27 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-#: Rows of a series that one task runs over, about.
-BLOCK = 100_000
+from .ordering import BLOCK, accumulated
 
 
 def numbered(df: DataFrame, order: list[str], partition: list[str], block: int = BLOCK) -> DataFrame:
-    """df with _k, the row's number in its series from 0, and _n, the series' rows. Numbers are run in blocks of
-    the first order column (a number), and block totals in turn: no task gets a whole series."""
-    low, high, rows = df.agg(F.min(order[0]), F.max(order[0]), F.count(F.lit(1))).first()
-    width = max(1, ((high or 0) - (low or 0) + 1) / max(1, rows // block))
-    d = df.withColumn("_b", F.floor((F.col(order[0]) - (low or 0)) / width))
-    total = d.groupBy(*partition, "_b").agg(F.count(F.lit(1)).alias("_c"))
-    series = Window.partitionBy(*partition)
-    run = series.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    total = total.select(*[F.col(c).alias(f"_{c}") for c in partition], F.col("_b").alias("_b2"), F.coalesce(F.sum("_c").over(run), F.lit(0)).alias("_base"), F.sum("_c").over(series).alias("_n"))
-    same = F.col("_b") == F.col("_b2")
-    for c in partition:
-        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
-    k = F.row_number().over(Window.partitionBy(*partition, "_b").orderBy(*order)) - 1
-    out = d.withColumn("_r", k).join(total, same)
-    return out.withColumn("_k", (F.col("_r") + F.col("_base")).cast("long")).drop("_b", "_r", "_b2", "_base", *[f"_{c}" for c in partition])
+    """df with _k, the row's number in its series from 0, and _n, the series' rows; nulls come first."""
+    return accumulated(df, order, partition, block=block)
 
 
 def with_margins(df: DataFrame, partition: list[str], before: int, after: int, block: int = BLOCK) -> tuple[DataFrame, list[str]]:
@@ -49,13 +34,13 @@ def sliding_zscore(df: DataFrame, value: str, order: list[str], partition: list[
     return rows.withColumn("z", F.when(F.col("_k") >= window, z)).where("_own").drop("_k", "_n", "_p", "_own")
 
 
-def bias_corrected_ema(df: DataFrame, value: str, order: list[str], partition: list[str], keep: float = 0.95) -> DataFrame:
+def bias_corrected_ema(df: DataFrame, value: str, order: list[str], partition: list[str], keep: float = 0.95, block: int = BLOCK) -> DataFrame:
     """ema at the last step of each series: keep/(1-keep) smoothing with bias correction, the first
-    step left out. Closed form: weights fall by `keep` from the last step back."""
-    w = Window.partitionBy(*partition).orderBy(*order)
-    back = Window.partitionBy(*partition).orderBy(*[F.desc(c) for c in order])
-    d = df.withColumn("_k", F.row_number().over(w)).withColumn("_b", F.row_number().over(back) - 1).where("_k > 1")
-    s = d.groupBy(*partition).agg(F.sum((1 - keep) * F.pow(F.lit(keep), F.col("_b")) * F.col(value)).alias("_s"), F.count(F.lit(1)).alias("steps"))
+    step left out. Closed form: weights fall by `keep` from the last step back, so a series is one sum
+    over numbered rows, whichever task has them."""
+    d = numbered(df, order, partition, block).where("_k > 0")
+    weight = (1 - keep) * F.pow(F.lit(keep), F.col("_n") - 1 - F.col("_k"))
+    s = d.groupBy(*partition).agg(F.sum(weight * F.col(value)).alias("_s"), F.count(F.lit(1)).alias("steps"))
     return s.select(*partition, "steps", (F.col("_s") / (1 - F.pow(F.lit(keep), F.col("steps")))).alias("ema"))
 
 
@@ -75,6 +60,12 @@ def moving_average(df: DataFrame, value: str, order: list[str], partition: list[
     return rows.withColumn("avg", total / (2 * half + 1)).where("_own").drop("_k", "_n", "_p", "_own", "_first", "_last")
 
 
+def since_last(df: DataFrame, at: str, order: list[str], partition: list[str], block: int = BLOCK) -> DataFrame:
+    """since: what `at` has grown by since the row before; null for the first of a series."""
+    rows, by = with_margins(numbered(df, order, partition, block), partition, 1, 0, block)
+    return rows.withColumn("since", F.col(at) - F.lag(at).over(Window.partitionBy(*by).orderBy("_k"))).where("_own").drop("_k", "_n", "_p", "_own")
+
+
 def steady_state(df: DataFrame, by: list[str], it: str, ms: str) -> DataFrame:
     """First two iterations, then mean and sample deviation of those from 2 on (0 for a single one)."""
     late = F.when(F.col(it) >= 2, F.col(ms))

@@ -5,23 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import BLOCK, accumulated
 
-#: Rows that are run in one block, about.
-BLOCK = 100_000
 
-
-def stream(docs: DataFrame, key: str, size: str) -> DataFrame:
-    """docs with base: tokens of all documents before, in order of key. Document totals are run in
-    blocks of keys, whose number grows with the documents, and block totals in turn, so no task gets
-    all documents."""
-    top, rows = docs.agg(F.max(key), F.count(F.lit(1))).first()
-    width = max(1, -(-(int(top or 0) + 1) // max(256, rows // BLOCK)))
-    d = docs.withColumn("_b", F.floor(F.col(key) / width))
-    total = d.groupBy("_b").agg(F.sum(size).alias("_n"))
-    total = total.select("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
-    inside = Window.partitionBy("_b").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    out = d.withColumn("_in", F.coalesce(F.sum(size).over(inside), F.lit(0))).join(F.broadcast(total), "_b")  # one row for BLOCK documents
-    return out.withColumn("base", (F.col("_in") + F.col("_base")).cast("long")).drop("_b", "_in", "_base")
+def stream(docs: DataFrame, key: str, size: str, block: int = BLOCK) -> DataFrame:
+    """docs with base: tokens of all documents before, in order of key (null first; a null size is 0)."""
+    out = accumulated(docs, [key], sums={"base": F.col(size)}, block=block)
+    return out.withColumn("base", F.col("base").cast("long")).drop("_k", "_n")
 
 
 def shards_of(docs: DataFrame, key: str, size: str, shard_size: int) -> DataFrame:
@@ -125,8 +115,7 @@ def word_tokens(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, pos, tok): words as their places in the ordered vocabulary of docs; its size ends a text."""
     d = docs.where(F.col(text).isNotNull())
     w = d.select(key, F.posexplode(F.split(text, " ")).alias("pos", "w")).where("w <> ''")
-    place = F.row_number().over(Window.orderBy(F.encode("w", "UTF-8"))) - 1  # a vocabulary
-    vocabulary = w.select("w").distinct().withColumn("tok", place.cast("long"))
+    vocabulary = accumulated(w.select("w").distinct(), [F.encode("w", "UTF-8")]).select("w", F.col("_k").alias("tok"))
     size = vocabulary.agg(F.count(F.lit(1)).alias("tok"))
     ends = d.select(key, F.lit(0).alias("pos")).crossJoin(F.broadcast(size))  # one row
     return w.join(vocabulary, "w").select(key, (F.col("pos") + 1).alias("pos"), "tok").unionByName(ends)

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import BLOCK, accumulated
+
 
 def spmv(a: DataFrame, x: DataFrame, value: str, out: str = "y") -> DataFrame:
     """y_i = sum of v * x_j over row i. Rows without entries are absent."""
@@ -77,18 +79,11 @@ def mirrored(a: DataFrame, sign: int = 1) -> DataFrame:
     return a.unionByName(a.where("i <> j").select(F.col("j").alias("i"), F.col("i").alias("j"), (sign * F.col("v")).alias("v")))
 
 
-def row_pointers(a: DataFrame, rows: DataFrame, blocks: int = 64) -> DataFrame:
-    """(i, start, count) of a compressed-row layout, rows ascending. The running count is taken in
-    blocks of consecutive rows, and block totals are run in turn, so no task gets all rows."""
-    count = rows.select("i").join(a.groupBy("i").agg(F.count(F.lit(1)).alias("count")), "i", "left").select("i", F.coalesce("count", F.lit(0)).alias("count"))
-    top = count.agg(F.max("i")).first()[0]
-    width = max(1, -(-((top or 0) + 1) // blocks))
-    count = count.withColumn("block", F.floor(F.col("i") / width))
-    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    total = count.groupBy("block").agg(F.sum("count").alias("n")).select("block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("block").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    c = count.withColumn("start", F.coalesce(F.sum("count").over(inside), F.lit(0))).join(F.broadcast(total), "block")  # `blocks` rows
-    return c.select("i", (F.col("start") + F.col("base")).alias("start"), "count")
+def row_pointers(a: DataFrame, rows: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(i, start, count) of a compressed-row layout, rows ascending, a null row before all others."""
+    counted = a.groupBy(F.col("i").alias("_i")).agg(F.count(F.lit(1)).alias("count"))
+    count = rows.select("i").join(counted, F.col("i").eqNullSafe(F.col("_i")), "left").select("i", F.coalesce("count", F.lit(0)).alias("count"))
+    return accumulated(count, ["i"], sums={"start": F.col("count")}, block=block).select("i", "start", "count")
 
 
 def place_in_row(a: DataFrame) -> DataFrame:

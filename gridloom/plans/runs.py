@@ -32,10 +32,7 @@ RUNS = "(SELECT user_id AS run, CAST(row_number() OVER (PARTITION BY user_id ORD
 
 
 def _runs(spark, sf_dir):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("user_id").orderBy("event_id")
-    return _events(spark, sf_dir).select(F.col("user_id").alias("run"), (F.row_number().over(w) - 1).cast("long").alias("it"), F.col("value").alias("ms"))
+    return t.numbered(_events(spark, sf_dir), ["event_id"], ["user_id"]).select(F.col("user_id").alias("run"), F.col("_k").alias("it"), F.col("value").alias("ms"))
 
 
 @query("A18 O09", f"SELECT run, max(CASE WHEN it = 0 THEN ms END) AS iter0, max(CASE WHEN it = 1 THEN ms END) AS iter1, round(avg(CASE WHEN it >= 2 THEN ms END), 6) AS mean, round(CASE WHEN count(CASE WHEN it >= 2 THEN ms END) > 1 THEN stddev_samp(CASE WHEN it >= 2 THEN ms END) ELSE 0 END, 6) AS stddev FROM {RUNS} GROUP BY run")
@@ -76,10 +73,8 @@ def rank_min_max_avg(spark, sf_dir):
 
 @query("W12", "SELECT event_id, CAST(epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY event_id)) AS BIGINT) AS us FROM events")
 def iteration_times(spark, sf_dir):
-    from pyspark.sql import Window
-
     at = F.unix_micros(F.col("ts").cast("timestamp"))
-    return _events(spark, sf_dir).select("event_id", (at - F.lag(at).over(Window.partitionBy("user_id").orderBy("event_id"))).alias("us"))
+    return t.since_last(_events(spark, sf_dir).select("event_id", "user_id", at.alias("at")), "at", ["event_id"], ["user_id"]).select("event_id", F.col("since").alias("us"))
 
 
 @query("S25", "SELECT event_id AS step, CASE WHEN event_id % 2 = 0 THEN 'trl' ELSE 'tel' END AS stream, round(value, 4) AS value, event_type AS key FROM events")

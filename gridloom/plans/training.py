@@ -19,9 +19,8 @@ def _sizes(spark, sf_dir):
 
 
 def _tokens(spark, sf_dir, shard_size: int = 20_000):
-    d = table(spark, sf_dir, "documents")
-    base = tk.stream(_sizes(spark, sf_dir), "doc_id", "n").select("doc_id", "base")
-    t = d.select("doc_id", F.posexplode(F.split("text", " ")).alias("j", "w")).join(base, "doc_id")
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", F.size(F.split("text", " ")).cast("long").alias("n"))
+    t = tk.stream(d, "doc_id", "n").select("doc_id", "base", F.posexplode(F.split("text", " ")).alias("j", "w"))
     p = F.col("base") + F.col("j")
     return t.select(F.floor(p / shard_size).alias("shard"), (p % shard_size).alias("pos"), ((F.col("doc_id") * 31 + F.col("j") * 7 + F.length("w")) % 50257).alias("tok"))
 
