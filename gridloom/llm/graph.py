@@ -11,6 +11,14 @@ from ..session import stored
 SMALL = 500_000
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """name, or the first longer one that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def sized(df: DataFrame, what: str, *more) -> tuple[DataFrame, int, list]:
     """df as a stored table, its rows, and what the aggregates `more` give, told by the writing itself."""
     seen = Observation()

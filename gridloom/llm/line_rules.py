@@ -22,13 +22,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stored
+from .graph import unused
 
 SPACE = r"[\x20\x09-\x0D]+"
 _TRIM = " \t\n\x0b\f\r"
 #: Bits of a window's hash that are kept, at most; what its place needs is taken off them.
 HASH = 64
 #: Columns of `clean` while it runs.
-ROW, GONE = "line_rules_row", "line_rules_gone"
 
 
 def _words(text: Column) -> Column:
@@ -112,10 +112,11 @@ def apply(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str =
 
 def clean(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", line_limit: int = 10, least_share: float = 0.2, least_words: int = 50, most_repeated: float = 0.5) -> DataFrame:
     """The documents that `apply` keeps, all their columns, without the lines above the limit."""
-    keyed = stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "line-rules-rows")
-    b = stored(base(keyed, key, text, host, F.col(ROW)), "line-rules")
+    row, gone_ = unused(docs, "line_rules_row"), unused(docs, "line_rules_gone")
+    keyed = stored(docs.withColumn(row, F.monotonically_increasing_id()), "line-rules-rows")
+    b = stored(base(keyed, key, text, host, F.col(row)), "line-rules")
     lines = stored(_frequent(b, line_limit), "line-rules-frequent")
-    kept = _verdicts(b, lines, least_share, least_words, most_repeated).where("kept").select(F.col("row").alias(ROW))
-    gone = lines.groupBy("row").agg(F.collect_set("h").alias(GONE)).withColumnRenamed("row", ROW)
-    rest = F.filter(F.split(text, "\n"), lambda x: ~F.coalesce(F.array_contains(GONE, _line(x)["h"]), F.lit(False)))
-    return keyed.join(kept, ROW).join(gone, ROW, "left").withColumn(text, F.when(F.col(GONE).isNull(), F.col(text)).otherwise(F.array_join(rest, "\n"))).drop(ROW, GONE)
+    kept = _verdicts(b, lines, least_share, least_words, most_repeated).where("kept").select(F.col("row").alias(row))
+    gone = lines.groupBy("row").agg(F.collect_set("h").alias(gone_)).withColumnRenamed("row", row)
+    rest = F.filter(F.split(text, "\n"), lambda x: ~F.coalesce(F.array_contains(gone_, _line(x)["h"]), F.lit(False)))
+    return keyed.join(kept, row).join(gone, row, "left").withColumn(text, F.when(F.col(gone_).isNull(), F.col(text)).otherwise(F.array_join(rest, "\n"))).drop(row, gone_)

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .models import adam, held_out, logistic, sample, sigmoid
+from .models import adam, held_out, logistic, sample, sigmoid, weighed
 
 #: Positives that a model is fitted on, and unlabelled documents, about.
 SAMPLE = 8_000
@@ -96,7 +96,7 @@ class Model:
     prior: float
 
     def score(self, f: np.ndarray) -> np.ndarray:
-        return sigmoid(_wide((f - self.mean) / self.scale) @ self.weights)
+        return sigmoid(weighed(_wide((f - self.mean) / self.scale), self.weights))
 
 
 def _wide(z: np.ndarray) -> np.ndarray:

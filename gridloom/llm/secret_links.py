@@ -31,7 +31,12 @@ ASSIGN = re.compile(r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 IDENT = re.compile(r"\b(?i:user(?:name)?|login|client_?id|account(?:_?id)?|access_?key(?:_?id)?)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9_.@-]{3,})", re.ASCII)
-ENDPOINT = re.compile(r"\b(?:[a-z][a-z0-9+]{1,15}://[A-Za-z0-9_.@:/?&=%~+-]+|(?:[A-Za-z0-9-]+\.)+[a-z]{2,10}:[0-9]{2,5}|(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?::[0-9]{2,5})?)", re.ASCII)
+#: The parts of an endpoint, told in this order at one place: a URL; a host and port (a run of host characters
+#: that ends in a name and before a port); an IPv4 address with or without one.
+URL_OR_IP = re.compile(r"\b(?:([a-z][a-z0-9+]{1,15}://[A-Za-z0-9_.@:/?&=%~+-]+)|(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?::[0-9]{2,5})?)", re.ASCII)
+HOST_END = re.compile(r"(?<=[A-Za-z0-9-])(\.)[a-z]{2,10}:[0-9]{2,5}")
+HOST_START = re.compile(r"\b(?=[A-Za-z0-9-])", re.ASCII)
+_LABEL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-")
 BLOB = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{32,}={0,2}", re.ASCII)
 SCOPE = re.compile(r"\n[ \t]*\n")
 #: Roles that complement each other; the order of kinds with equal starts.
@@ -56,11 +61,43 @@ def base_spans(text: str) -> list[Span]:
     return sorted(out, key=lambda s: (s[0], ORDER[s[2]]))
 
 
+def endpoints(text: str) -> list[tuple[int, int]]:
+    """Leftmost, non-overlapping endpoints in one pass: hosts are found from their ports, and looked for
+    backwards only to where the last host ended."""
+    hosts = HOST_END.finditer(text) if ":" in text else iter(())
+    others = URL_OR_IP.finditer(text)
+    host, other, at, out = next(hosts, None), next(others, None), 0, []
+    low = None  # where the labels before host's last dot begin
+    while host or other:
+        start = None
+        if host:
+            if low is None:
+                dot = low = host.start(1)
+                while low > at and (text[low - 1] in _LABEL or text[low - 1] == "." and text[low] != "."):
+                    low -= 1
+            first = HOST_START.search(text, max(low, at), dot)
+            if first is None:
+                host, low = next(hosts, None), None
+                continue
+            start = first.start()
+        if other and (start is None or other.start() < start or other.start() == start and other[1]):
+            found, at = (other.start(), other.end()), other.end()
+        else:
+            found, at = (start, host.end()), host.end()
+        out.append(found)
+        if other and other.start() < at:
+            others = URL_OR_IP.finditer(text, at)
+            other = next(others, None)
+        while host and (host.start(1) <= at or host.end() <= at):
+            host, low = next(hosts, None), None
+    return out
+
+
 def _weak(text: str, base: list[Span]) -> list[Span]:
     out = []
     if ":" in text or "=" in text or "." in text:
         out += [(m.start(), m.end(), "ident") for m in IDENT.finditer(text)]
-        out += [(m.start(), m.end(), "endpoint") for m in ENDPOINT.finditer(text)]
+        out += [(s, e, "endpoint") for s, e in endpoints(text)]
     for m in BLOB.finditer(text):
         v = m[0]
         if any(c.isdigit() for c in v) and any(c.islower() for c in v) and any(c.isupper() for c in v):

@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from ..session import stored
 from . import textvec as tv
-from .models import SAMPLE, held_out, logistic, sample, sigmoid
+from .models import SAMPLE, held_out, logistic, sample, sigmoid, weighed
 
 LEXICON = 5_000
 #: Letters of a stem.
@@ -462,7 +462,7 @@ def _scored(g: Grammar | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             f = features(g, batch.column(2)) if g else np.zeros((batch.num_rows, FEATURES))
-            score = sigmoid(np.column_stack([f, np.ones(len(f))]) @ g.model) if g else np.zeros(len(f))
+            score = sigmoid(weighed(np.column_stack([f, np.ones(len(f))]), g.model)) if g else np.zeros(len(f))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score), pa.array((score >= 0.3).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     return run
