@@ -21,39 +21,39 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from gridloom.llm import decontaminate, ngram_jaccard, packing, quality_pu, secret_links
-from gridloom.llm.graph import light, sized
+from gridloom.llm.graph import light, sized, unused
 from gridloom.session import stored, table
 
 
-#: Column of row keys while near copies are looked for.
-ROW = "near_duplicates_row"
-
-
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_pu.keep(docs, quality_pu.fit(docs, table(spark, sf_dir, "labels")))
 
 
-def _rows(docs: DataFrame) -> DataFrame:
-    """docs with a key of each row. Rows read from files have their place in them, which stays the same
+def _rows(docs: DataFrame, row: str) -> DataFrame:
+    """docs with a key of each row in column row. Rows read from files have their place in them, which stays the same
     however the files are split; files' places overlap only where the 62-bit hashes of two paths lie closer
     than a file has rows. Rows of anything else are numbered and written, so that the numbers stay."""
     try:
-        places = docs.select("*", F.struct("_metadata.file_path", "_metadata.row_index").alias(ROW))
+        if unused(docs, "_metadata") != "_metadata":  # a column of the table's own
+            raise AnalysisException("no place in files")
+        places = docs.select("*", F.struct("_metadata.file_path", "_metadata.row_index").alias(row))
     except AnalysisException:
-        return stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "keyed")
-    return places.withColumn(ROW, F.shiftright(F.xxhash64(f"{ROW}.file_path"), 2) + F.col(f"{ROW}.row_index"))
+        return stored(docs.withColumn(row, F.monotonically_increasing_id()), "keyed")
+    return places.withColumn(row, F.shiftright(F.xxhash64(f"{row}.file_path"), 2) + F.col(f"{row}.row_index"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    keyed = _rows(docs)
-    group = stored(ngram_jaccard.link(keyed, key=ROW).select(ROW, "component_id"), "groups")
-    several = group.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("component_id")
-    members, count, _ = sized(group.join(several, "component_id"), "members")
-    order = F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", F.xxhash64("text").alias("text"), ROW)
-    ordered = stored(keyed.join(light(members, count), ROW).select("component_id", order.alias("order")), "order")
-    first = ordered.groupBy("component_id").agg(F.min("order").alias("first"))
-    others, count, _ = sized(ordered.join(first, "component_id").where(f"order.{ROW} <> first.{ROW}").select(F.col(f"order.{ROW}").alias(ROW)), "others")
-    return keyed.join(light(others, count), ROW, "left_anti").drop(ROW)
+    row = unused(docs, "near_duplicates_row")
+    keyed = _rows(docs, row)
+    own = keyed.select(F.col(row).alias("row"), "doc_id", "text")  # no other column's name can clash
+    group = stored(ngram_jaccard.link(own, key="row").select(F.col("row"), F.col("component_id").alias("group")), "groups")
+    several = group.groupBy("group").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("group")
+    members, count, _ = sized(group.join(several, "group"), "members")
+    order = F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", F.xxhash64("text").alias("text"), "row")
+    ordered = stored(own.join(light(members, count), "row").select("group", order.alias("order")), "order")
+    first = ordered.groupBy("group").agg(F.min("order").alias("first"))
+    others, count, _ = sized(ordered.join(first, "group").where("order.row <> first.row").select(F.col("order.row").alias(row)), "others")
+    return keyed.join(light(others, count), row, "left_anti").drop(row)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
