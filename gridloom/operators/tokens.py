@@ -25,6 +25,17 @@ def shards_of(docs: DataFrame, key: str, size: str, shard_size: int) -> DataFram
     return p.select(key, "shard", (lo - F.col("base")).alias("start"), (hi - lo).alias("length"))
 
 
+def shard_pieces(docs: DataFrame, key: str, ids: str, shard_size: int) -> DataFrame:
+    """(shard, start, ids): shards cut exactly at shard_size out of documents' arrays of ids, in order of key; start is
+    a piece's place in its shard. Pieces stay arrays: no token is a row of its own."""
+    d = stream(docs.select(key, ids, F.size(ids).alias("n")).where("n > 0"), key, "n")
+    shard = F.explode(F.sequence(F.floor(F.col("base") / shard_size), F.floor((F.col("base") + F.col("n") - 1) / shard_size)))
+    p = d.withColumn("shard", shard)
+    low = F.greatest(F.col("base"), F.col("shard") * shard_size)
+    high = F.least(F.col("base") + F.col("n"), (F.col("shard") + 1) * shard_size)
+    return p.select("shard", (low - F.col("shard") * shard_size).alias("start"), F.slice(ids, (low - F.col("base") + 1).cast("int"), (high - low).cast("int")).alias("ids"))
+
+
 def next_token(tokens: DataFrame) -> DataFrame:
     return tokens.withColumn("target", F.lead("tok").over(Window.partitionBy("shard").orderBy("pos")))
 

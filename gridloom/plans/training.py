@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import bytepairs, loader
 from ..operators import tokens as tk
-from ..session import scratch, table
+from ..session import scratch, stored, table
 from ..sources import token_shards
 from .catalog import query
 
@@ -111,9 +112,10 @@ def shuffled_rows(spark, sf_dir):
     return tk.shuffled(rows, "doc_id", 1337)
 
 
-@query("", "SELECT doc_id, n, doc_id // 256 AS rank FROM (SELECT doc_id, CAST(len(string_split(text, ' ')) AS BIGINT) AS n FROM documents)")
+@query("P09", "SELECT doc_id, n, CAST(floor((row_number() OVER (ORDER BY doc_id) - 1) / ceil(count(*) OVER () / 16.0)) AS BIGINT) AS rank FROM (SELECT doc_id, CAST(len(string_split(text, ' ')) AS BIGINT) AS n FROM documents)")
 def work_split(spark, sf_dir):
-    return _sizes(spark, sf_dir).withColumn("rank", F.floor(F.col("doc_id") / 256))
+    """Documents in order to sixteen ranks, ceil(n / 16) each."""
+    return loader.split(_sizes(spark, sf_dir), "doc_id", 16)
 
 
 TURNS = "SELECT conv_id * 100 + turn AS id, text FROM conversations"
@@ -132,3 +134,29 @@ def tokenised_turns(spark, sf_dir):
         t = t.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.sum("tok").alias("sum"), F.max(F.when(F.col("pos") == 0, F.col("tok"))).alias("first")).select(F.lit(model).alias("model"), "*")
         out = t if out is None else out.unionByName(t)
     return out
+
+
+def _ranks() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+@query("P01 P13 P12")
+def tokenised_documents(spark, sf_dir):
+    """Each document's byte-pair ids with the end of a text before them: how many, their sum, and the bytes they stand for."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ids = stored(bytepairs.tokenised(d, "doc_id", "text", "gpt-2", _ranks()), "ids")
+    back = bytepairs.detokenised(ids, "doc_id", "ids", "gpt-2", _ranks())
+    n = ids.select("doc_id", F.size("ids").cast("long").alias("n"), F.aggregate("ids", F.lit(0).cast("long"), lambda s, x: s + x).alias("sum"))
+    return n.join(back.select("doc_id", F.octet_length("bytes").cast("long").alias("n_bytes"), F.crc32("bytes").alias("crc32")), "doc_id")
+
+
+@query("P01 K05 K07 S12")
+def tokenised_shards(spark, sf_dir):
+    """Byte-pair ids of all documents end to end, cut into shards of 100,000 tokens, written and read back."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ids = bytepairs.tokenised(d, "doc_id", "text", "gpt-2", _ranks())
+    path = scratch(spark, "shards")
+    token_shards.write_pieces(tk.shard_pieces(ids, "doc_id", "ids", 100_000), path, bytepairs.WIDTH["gpt-2"])
+    return token_shards.read(spark, path).groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.sum("tok").alias("sum"), F.sum(F.col("tok") * (F.col("pos") % 97)).alias("place"))

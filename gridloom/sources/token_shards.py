@@ -82,21 +82,36 @@ def read(spark: SparkSession, uri: str) -> DataFrame:
     return spark.read.format("token_shards").option("path", uri).load()
 
 
+def write_pieces(pieces: DataFrame, uri: str, width: int = 2) -> list[tuple[int, int]]:
+    """A shard file for each value of `shard` from pieces (shard, start, ids) that follow each other; returns (shard, tokens)."""
+
+    def one(key, t):
+        t = t.sort_by("start")
+        tok = t["ids"].combine_chunks().flatten().to_numpy()
+        return _file(uri, key[0].as_py(), tok, width)
+
+    # a shard has a fixed size, so a group is bounded
+    return [tuple(r) for r in pieces.select("shard", "start", "ids").groupBy("shard").applyInArrow(one, "shard long, n long").collect()]
+
+
+def _file(uri: str, shard: int, tok: np.ndarray, width: int) -> pa.Table:
+    """Writes one shard; a file that isn't whole never has its name."""
+    import pyarrow.fs as pafs
+
+    fs, base = pafs.FileSystem.from_uri(uri)
+    fs.create_dir(base, recursive=True)
+    part = f"{base}/shard_{shard:06d}.{uuid.uuid4().hex}.part"
+    with fs.open_output_stream(part) as f:
+        f.write(encode(tok, width))
+    fs.move(part, f"{base}/shard_{shard:06d}.bin")
+    return pa.table({"shard": pa.array([shard], pa.int64()), "n": pa.array([len(tok)], pa.int64())})
+
+
 def write(tokens: DataFrame, uri: str, width: int = 2) -> list[tuple[int, int]]:
     """A shard file for each value of `shard`, tokens by pos; returns (shard, tokens)."""
 
     def one(key, t):
-        import pyarrow.fs as pafs
-
-        fs, base = pafs.FileSystem.from_uri(uri)
-        fs.create_dir(base, recursive=True)
-        shard = key[0].as_py()
-        tok = t.sort_by("pos")["tok"].to_numpy()
-        part = f"{base}/shard_{shard:06d}.{uuid.uuid4().hex}.part"
-        with fs.open_output_stream(part) as f:
-            f.write(encode(tok, width))
-        fs.move(part, f"{base}/shard_{shard:06d}.bin")
-        return pa.table({"shard": pa.array([shard], pa.int64()), "n": pa.array([len(tok)], pa.int64())})
+        return _file(uri, key[0].as_py(), t.sort_by("pos")["tok"].to_numpy(), width)
 
     # a shard has a fixed size, so a group is bounded
     return [tuple(r) for r in tokens.select("shard", "pos", "tok").groupBy("shard").applyInArrow(one, "shard long, n long").collect()]
