@@ -42,15 +42,15 @@ def batches(tokens: DataFrame, steps: DataFrame, b: int, t: int, ranks: int) ->
 
 
 def permuted(spark: SparkSession, shards: int, samples: int, epochs: int, seed: int) -> DataFrame:
-    """(epoch, place, shard, at, sample): the shuffled order of shards in each epoch, and of samples within each shard
-    as it comes up, all drawn from one generator in that order."""
+    """(epoch, place, shard, at, sample): the order of shards, which each epoch shuffles again, and that of samples within
+    each shard as it comes up, all drawn from one generator in that order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for s, e in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                g, rows = MersenneTwister(s), []
+                g, rows, order = MersenneTwister(s), [], range(shards)
                 for epoch in range(e):
-                    order = g.permutation(shards)
+                    order = g.shuffled(order)
                     for place, shard in enumerate(order):
                         rows += [(epoch, place, shard, at, x) for at, x in enumerate(g.permutation(samples))]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["epoch", "place", "shard", "at", "sample"])

@@ -107,8 +107,11 @@ class MersenneTwister:
         return y ^ (y >> 18)
 
     def permutation(self, n: int) -> list[int]:
-        p = list(range(n))
-        for i in range(n - 1, 0, -1):
+        return self.shuffled(range(n))
+
+    def shuffled(self, p) -> list[int]:
+        p = list(p)
+        for i in range(len(p) - 1, 0, -1):
             j = self.u32() % (i + 1)
             p[i], p[j] = p[j], p[i]
         return p
