@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import layers, loader, optim, sampling, train
-from ..session import stored, table
+from ..operators.checkpoints import CheckpointSets
+from ..operators.checkpoints import train as train_in_sets
+from ..session import scratch, stored, table
 from .catalog import query
 from .tensors import _LL, X, _x
 
@@ -226,6 +228,29 @@ def optimizer_state(spark, sf_dir):
     return x.select("vec_id", "i", *[F.round(c, 7).alias(c) for c in ("p", "m", "v")])
 
 
+_K11_STEPS = 6
+
+
+@query("K11 K10", f"""WITH RECURSIVE s AS (SELECT vec_id, i, 0 AS step, v AS p, 0.0::DOUBLE AS m, 0.0::DOUBLE AS n FROM {_LL}
+  UNION ALL SELECT vec_id, i, step + 1, p - 0.01::DOUBLE * ((0.9::DOUBLE * m + 0.1::DOUBLE * p) / (1 - pow(0.9::DOUBLE, step + 1)) / (sqrt((0.999::DOUBLE * n + 0.001::DOUBLE * p * p) / (1 - pow(0.999::DOUBLE, step + 1))) + 1e-8::DOUBLE)), 0.9::DOUBLE * m + 0.1::DOUBLE * p, 0.999::DOUBLE * n + 0.001::DOUBLE * p * p FROM s WHERE step < {_K11_STEPS})
+SELECT vec_id, i, round(p, 6) AS p, '2:false,4:true,6:true' AS sets FROM s WHERE step = {_K11_STEPS}""")
+def resumed_training(spark, sf_dir):
+    """Six optimiser steps with a checkpoint set after every second one: the run dies while the set of step 4 has no marker
+    yet and a second run goes on from step 2. Two sets stay; `sets` tells which of those written are there."""
+    x = _x(spark, sf_dir).select("vec_id", F.posexplode("x").alias("i", "p")).select("vec_id", F.col("i").cast("long").alias("i"), "p", F.lit(0.0).alias("m"), F.lit(0.0).alias("v"))
+
+    def step(n, tables):
+        new = optim.adamw(F.col("p"), F.col("p"), F.col("m"), F.col("v"), n, 0.01)
+        return {"parameters": tables["parameters"].select("vec_id", "i", *[c.alias(k) for k, c in new.items()])}
+
+    sets = CheckpointSets(spark, scratch(spark, "sets"))
+    train_in_sets(sets, lambda: {"parameters": x}, step, _K11_STEPS, every=2, last=2, dies_at=4)
+    out = train_in_sets(sets, lambda: {"parameters": x}, step, _K11_STEPS, every=2, last=2)["parameters"]
+    there = sets.steps()
+    told = ",".join(f"{n}:{str(there.get(n, False)).lower()}" for n in (2, 4, 6))
+    return out.select("vec_id", "i", F.round("p", 6).alias("p"), F.lit(told).alias("sets"))
+
+
 @query("K11", "WITH f AS (SELECT DISTINCT event_id % 40 * 100 AS step, event_type AS kind FROM events WHERE NOT (event_id % 40 > 30 AND event_type = 'click')), s AS (SELECT step, count(*) AS files, bool_or(kind = 'click') AS done FROM f GROUP BY step), d AS (SELECT *, row_number() OVER (ORDER BY step DESC) AS r FROM s WHERE done) SELECT CAST(step AS BIGINT) AS step, s.done, coalesce(d.r = 1, false) AS resume, s.done AND (d.r <= 3 OR step % 1000 = 0) AS keep FROM s LEFT JOIN d USING (step)")
 def checkpoint_set(spark, sf_dir):
     """Checkpoints as files of steps: complete where the marker is there, the last complete one is resumed from, three and every thousandth stay."""
