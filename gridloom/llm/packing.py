@@ -1,13 +1,19 @@
 """Sum-of-squares online packing of documents into token sequences.
 
 A document is its token ids and id 0 at its end. Its full windows of `size` tokens are sequences of
-their own; the remainder is placed online: with N[h] the number of open windows filled to level h, it
-goes to the level (or to a new window) that makes the sum of N[h] squared smallest; a window that
-becomes full is closed and leaves the sum. Ties go to the fuller window.
+their own; the remainder is placed online. Fill levels are steps of GRAIN tokens; with N[h] the number
+of open windows of level h, the remainder goes to the level (or to a new window) that makes the sum of N[h]
+squared smallest. A window of the last level is full: it is closed and leaves the sum; what it has too much, less
+than GRAIN tokens, is cut off, and what it lacks is filled up with such cuttings of others. A remainder may also be
+cut where it fills a window and the rest is placed by itself: that costs CUT besides, so it is done only
+where windows of one level pile up that no whole remainder fits, and the open windows stay bounded by CUT
+times the levels. Ties go to the fuller window. (With a level for each token, as the method is mostly put, a split's
+thousands of remainders left hundreds of windows open at its end.)
 
-Each task packs its own split with a level array of its own. Beyond OPEN open windows, and at the
-end of a split, the pieces of the open windows are laid end to end and cut at multiples of `size`; the
-last stretch is cut into sequences whose lengths are powers of two, which need no padding.
+Each task packs its own split with a level array of its own. At the end of a split the windows that are full
+but for less than GRAIN tokens are filled up; then the pieces of the open windows are laid end to end and cut at
+multiples of `size`, and the last stretch is cut into sequences whose lengths are powers of two, which need
+no padding.
 
 Ids come from a byte-level BPE vocabulary. Chunks between single spaces are tokenised once and kept
 (a space before a non-space always starts a new pre-token); a text with other runs of white space
@@ -37,8 +43,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SIZE = 1024
-#: Open windows of a task, at most.
-OPEN = 4096
+#: Tokens of a step of the level array.
+GRAIN = 32
+#: What a cut costs, in squared counts.
+CUT = 64
 #: Chunks whose ids a task keeps (some 200 bytes each).
 KEPT = 400_000
 COLUMNS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -94,77 +102,129 @@ class Ids:
 class Packer:
     """Pieces are [doc_id, start, ids as bytes, tokens of the document]."""
 
-    def __init__(self, size: int = SIZE, first: int = 0, most_open: int = OPEN):
-        self.size, self.next, self.most_open = size, first, most_open
-        self.levels = np.zeros(size + 1)
-        self.levels[size] = -0.5  # a full window leaves the sum: 2 * (N[h + a] - N[h]) + 2 is right for it too
-        self.at: list[list[list]] = [[] for _ in range(size)]
-        self.open = 0
+    def __init__(self, size: int = SIZE, first: int = 0, grain: int = GRAIN, cut: float = CUT):
+        self.size, self.next, self.grain, self.cut = size, first, min(grain, size), cut
+        self.full = size // self.grain - 1 if self.grain > 1 else size  # the level at which a window is full
+        self.levels = np.zeros(self.full)
+        self.fills = np.zeros(self.full, np.int64)  # of the window that is next at a level
+        self.at: list[list[list[list]]] = [[] for _ in range(self.full)]
+        self.lacking: list[list[list]] = []  # full windows that wait for cuttings
+        self.cuttings: list[list] = []
         self.rows: list[tuple] = []
+        #: Sequences of whole windows, of placement, and of the end.
+        self.closed = {"whole": 0, "placed": 0, "end": 0}
 
-    def close(self, pieces: list[list]) -> None:
+    def close(self, pieces: list[list], how: str) -> None:
         offset = 0
         for doc_id, start, ids, total in pieces:
             self.rows.append((doc_id, start, len(ids) // 4, zlib.crc32(ids), total, self.next, offset))
             offset += len(ids) // 4
         self.next += 1
+        self.closed[how] += 1
 
     def add(self, doc_id: int | None, ids: bytes) -> None:
         total, step = len(ids) // 4, 4 * self.size
         for lo in range(0, len(ids) - step + 1, step):
-            self.close([[doc_id, lo // 4, ids[lo : lo + step], total]])
+            self.close([[doc_id, lo // 4, ids[lo : lo + step], total]], "whole")
         a = total % self.size
         if a:
-            self.place([doc_id, total - a, ids[-4 * a :], total], a)
-
-    def place(self, piece: list, a: int) -> None:
-        size, n = self.size, self.levels
-        here = n[1 : size - a + 1]
-        cost = np.where(here > 0, n[a + 1 :] - here, np.inf)[::-1]
-        h = 0
-        if len(cost):
-            best = int(cost.argmin())
-            if 2 * cost[best] + 2 <= 2 * n[a] + 1:
-                h = size - a - best
-        window = self.at[h].pop() if h else []
-        if h:
-            n[h] -= 1
-            self.open -= 1
-        window.append(piece)
-        if h + a == size:
-            self.close(window)
-            return
-        n[h + a] += 1
-        self.at[h + a].append(window)
-        self.open += 1
-        if self.open > self.most_open:
-            self.settle(False)
-
-    def settle(self, last: bool) -> None:
-        """Closes the open windows by cutting; unless last, what is left over stays open."""
+            self.place([doc_id, total - a, ids[-4 * a :], total])
+
+    def best(self, a: int) -> tuple[int | None, float]:
+        """The level whose next window takes `a` tokens at the least sum of squares, or None for a new one; and by
+        how much the sum grows, a cut's cost included."""
+        n, g, size = self.levels, self.grain, self.size
+        new = min(a // g, self.full)
+        least, where = 2 * n[new] + 1 if new < self.full else 0.0, None
+        there = np.flatnonzero(n)[::-1]  # fuller windows first
+        if len(there):
+            after = self.fills[there] + a
+            to = np.minimum(after // g, self.full)
+            over = after - size
+            leaves = 1 - 2 * n[there]
+            cost = np.where(to == there, 0.0, np.where(to < self.full, leaves + 2 * n[np.minimum(to, self.full - 1)] + 1, leaves))
+            rest = np.clip(over, 0, size - 1) // g
+            cost = np.where(over >= g, leaves + self.cut + np.where(rest < self.full, 2 * n[np.minimum(rest, self.full - 1)] + 1, 0), cost)
+            i = int(cost.argmin())
+            if cost[i] <= least:
+                least, where = float(cost[i]), int(there[i])
+        return where, least
+
+    def place(self, piece: list) -> None:
+        while piece:
+            a = len(piece[2]) // 4
+            level, _ = self.best(a)
+            window, fill = [], 0
+            if level is not None:
+                window, fill = self.at[level].pop(), int(self.fills[level])
+                self.levels[level] -= 1
+                self.fills[level] = self.filled(self.at[level][-1]) if self.at[level] else 0
+            rest = None
+            if fill + a > self.size:
+                piece, rest = self.parted(piece, self.size - fill)
+            window.append(piece)
+            to = min((fill + len(piece[2]) // 4) // self.grain, self.full)
+            if to < self.full:
+                self.at[to].append(window)
+                self.levels[to] += 1
+                self.fills[to] = fill + a
+            else:
+                self.lacking.append(window)
+            if rest and len(rest[2]) < 4 * self.grain:
+                self.cuttings.append(rest)
+                rest = None
+            self.fill_up()
+            piece = rest
+
+    @staticmethod
+    def filled(window: list[list]) -> int:
+        return sum(len(p[2]) for p in window) // 4
+
+    @staticmethod
+    def parted(piece: list, n: int) -> tuple[list, list | None]:
+        """The first n tokens of a piece, and the rest."""
+        if n >= len(piece[2]) // 4:
+            return piece, None
+        return [piece[0], piece[1], piece[2][: 4 * n], piece[3]], [piece[0], piece[1] + n, piece[2][4 * n :], piece[3]]
+
+    def fill_up(self) -> None:
+        """Closes full windows, with cuttings for what they lack, as long as there are some."""
+        while self.lacking:
+            gap = self.size - self.filled(self.lacking[-1])
+            if gap and not self.cuttings:
+                return
+            if gap:
+                head, rest = self.parted(self.cuttings.pop(), gap)
+                self.lacking[-1].append(head)
+                if rest:
+                    self.cuttings.append(rest)
+            else:
+                self.close(self.lacking.pop(), "placed")
+
+    def settle(self) -> None:
+        """Closes everything: what full windows lack is cut from the emptiest others, then those are laid end to end."""
         pieces = [p for level in reversed(self.at) for w in level for p in w]
-        self.at = [[] for _ in range(self.size)]
-        self.levels[: self.size] = 0
-        self.open = 0
-        left = sum(len(p[2]) for p in pieces) // 4
+        self.at = [[] for _ in range(self.full)]
+        self.levels[:], self.fills[:] = 0, 0
+        while self.lacking and (self.cuttings or pieces):
+            if not self.cuttings:
+                self.cuttings.append(pieces.pop())
+            self.fill_up()
+        pieces += self.cuttings + [p for w in self.lacking for p in w]
+        self.lacking, self.cuttings = [], []
+        left = self.filled(pieces)
         pieces.reverse()  # taken from the end
         while left:
-            room = self.size if left >= self.size else 1 << (left.bit_length() - 1) if last else left
-            left -= room
-            window, fill = [], room
+            fill = self.size if left >= self.size else 1 << (left.bit_length() - 1)
+            left -= fill
+            window = []
             while fill:
-                p = pieces.pop()
-                k = min(fill, len(p[2]) // 4)
-                window.append([p[0], p[1], p[2][: 4 * k], p[3]])
-                if 4 * k < len(p[2]):
-                    pieces.append([p[0], p[1] + k, p[2][4 * k :], p[3]])
-                fill -= k
-            if room == self.size or last:
-                self.close(window)
-            else:
-                self.at[room].append(window)
-                self.levels[room] += 1
-                self.open += 1
+                head, rest = self.parted(pieces.pop(), fill)
+                window.append(head)
+                fill -= len(head[2]) // 4
+                if rest:
+                    pieces.append(rest)
+            self.close(window, "end")
 
     def taken(self) -> pa.RecordBatch:
         cols = list(zip(*self.rows)) if self.rows else [[]] * 7
@@ -180,7 +240,7 @@ def _pack(size: int, ranks_path: str, json_path: str):
                 text = text.as_py()
                 packer.add(doc_id, (ids.encode(text) if text else b"") + b"\0\0\0\0")
             yield packer.taken()
-        packer.settle(True)
+        packer.settle()
         yield packer.taken()
 
     return run

@@ -365,27 +365,54 @@ def test_packing_of_rows_without_ids_and_repeated(docs):
     assert [r.length for r in rows if r.doc_id == 4] == [1]
 
 
-def test_packing_chooses_the_least_sum_of_squares():
-    rng = random.Random(4)
-    p = packing.Packer(16)
-    for i in range(400):
-        a = rng.randrange(1, 16)
-        n = p.levels[:16].copy()
-        choice = {0: (n[a] + 1) ** 2 - n[a] ** 2}
-        for h in range(1, 17 - a):
-            if n[h]:
-                choice[h] = (n[h] - 1) ** 2 - n[h] ** 2 + ((n[h + a] + 1) ** 2 - n[h + a] ** 2 if h + a < 16 else 0)
-        p.place([i, 0, b"\0" * 4 * a, a], a)
-        after = p.levels[:16]
-        assert (after**2).sum() - (n**2).sum() == min(choice.values())
-
-
-def test_open_windows_are_bounded():
-    p = packing.Packer(16, most_open=10)
-    for i in range(100):
+def windows(p):
+    """Fills of a packer's open windows by level."""
+    return [[p.filled(w) for w in level] for level in p.at]
+
+
+@pytest.mark.parametrize(("grain", "cut"), [(1, 1e9), (1, 3), (4, 1e9), (4, 5)])
+def test_packing_chooses_the_least_sum_of_squares(grain, cut):
+    rng, size = random.Random(4), 32
+    p = packing.Packer(size, grain=grain, cut=cut)
+    level = lambda fill: min(fill // grain, p.full)
+    for i in range(600):
+        a = rng.randrange(1, size)
+        at = windows(p)
+        n = [len(x) for x in at]
+
+        def grown(*moves):
+            """By how much the sum of squares grows when windows leave and come to levels."""
+            after = list(n)
+            for lv, by in moves:
+                if lv < p.full:
+                    after[lv] += by
+            return sum(x * x for x in after) - sum(x * x for x in n)
+
+        choices = {None: grown((level(a), 1))}
+        for lv in range(p.full):
+            if n[lv]:
+                over = at[lv][-1] + a - size
+                choices[lv] = grown((lv, -1), (level(at[lv][-1] + a), 1)) if over < grain else grown((lv, -1)) + cut + (grown((level(over), 1)) if lv != level(over) else 2 * n[level(over)] + 1)
+        where, cost = p.best(a)
+        assert cost == min(choices.values()) == choices[where]
+        p.place([i, 0, b"\0" * 4 * a, a])
+        assert [len(x) for x in windows(p)] == p.levels.tolist() and all(level(f) == lv for lv, fills in enumerate(windows(p)) for f in fills)
+    assert p.closed["placed"] > 100
+
+
+def test_open_windows_are_bounded_and_most_sequences_are_placed():
+    p = packing.Packer(16, grain=2, cut=8)
+    for i in range(2000):
         p.add(i, b"\0" * 4 * 9)
-    p.settle(True)
-    assert p.open <= 10 and sum(r[2] for r in p.rows) == 900
+        assert p.levels.max() <= 9
+    p.settle()
+    assert sum(r[2] for r in p.rows) == 18_000
+    rng = random.Random(8)
+    p = packing.Packer()
+    for i in range(1200):
+        p.add(i, b"\0" * 4 * min(20_000, int(rng.lognormvariate(6.5, 1))))
+    p.settle()
+    assert p.closed["end"] < 0.1 * (p.closed["end"] + p.closed["placed"])
 
 
 def test_leaks_are_found_and_clean_documents_left(spark, docs):
