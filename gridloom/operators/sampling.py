@@ -96,6 +96,23 @@ def stochastic_bf16(values, random):
     return to_bf16(full.view("<f4"))
 
 
+def rounded_bf16(df: DataFrame, value: Column, random: Column, out: str) -> DataFrame:
+    """`stochastic_bf16` in columns: df with out, a number, taken as float32, at 8 of its 24 leading bits; up where the bits
+    that go exceed the low 16 of random. Exponents come from a logarithm and are set right by comparison; scaling by powers
+    of two is exact. Null, 0, NaN and infinities stay. Each step is a projection of its own, so that nothing is computed twice."""
+    two = lambda x: F.pow(F.lit(2.0), x)
+    d = df.withColumn("_v", value.cast("float").cast("double")).withColumn("_r", random.bitwiseAND(F.lit(0xFFFF)))
+    d = d.withColumn("_e", F.floor(F.log2(F.abs("_v"))).cast("double"))
+    size, e = F.abs("_v"), F.col("_e")
+    d = d.withColumn("_e", F.greatest(F.when(size >= two(e + 1), e + 1).when(size < two(e), e - 1).otherwise(e), F.lit(-126.0)))  # below, leading bits are 0
+    d = d.withColumn("_w", (size * two(23 - e)).try_cast("long"))
+    up = F.when(F.col("_w").bitwiseAND(F.lit(0xFFFF)) > F.col("_r"), 1).otherwise(0)
+    d = d.withColumn("_w", (F.shiftright("_w", 16) + up) * two(e - 7))
+    whole = F.when(F.col("_w") >= 2.0**128, F.lit(float("inf"))).otherwise(F.col("_w"))
+    stays = (F.col("_v") == 0) | F.isnan("_v") | (size == float("inf"))
+    return d.withColumn(out, F.when(stays, F.col("_v")).otherwise(F.signum("_v") * whole)).drop("_v", "_r", "_e", "_w")
+
+
 def normals(spark: SparkSession, seeds, n: int) -> DataFrame:
     """(seed, i, uniform, normal): n numbers of each seed's generator. Normal ones come by pairs of lanes eight apart
     in blocks of sixteen; the last sixteen are drawn again where n isn't a multiple."""

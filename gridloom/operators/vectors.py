@@ -6,9 +6,12 @@ several reductions share one aggregate.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import scratch
 from .ordering import BLOCK, accumulated
 
 
@@ -17,6 +20,14 @@ def spmv(a: DataFrame, x: DataFrame, value: str, out: str = "y") -> DataFrame:
     return a.join(x.select(F.col("i").alias("j"), F.col(value).alias("_x")), "j").groupBy("i").agg(F.sum(F.col("v") * F.col("_x")).alias(out))
 
 
+def laid_out(a: DataFrame, by: str = "j", buckets: int = 64) -> DataFrame:
+    """a as a stored table in buckets of a column: a join on that column reads it as it lies, so that products by the
+    same matrix shuffle the vector only."""
+    name = f"matrix_{uuid.uuid4().hex}"
+    a.repartition(buckets, by).write.bucketBy(buckets, by).sortBy(by).option("path", scratch(a.sparkSession, "matrix")).saveAsTable(name)
+    return a.sparkSession.table(name)
+
+
 def vmul(d: Column, x: Column) -> Column:
     return d * x
 

@@ -67,7 +67,7 @@ def plane_symmetry(spark, sf_dir):
     return e.join(m, ["j", "k"]).where("j < k").agg(F.round(F.max(d), 9).alias("max_diff"), F.round(F.sum(d), 9).alias("total_diff"))
 
 
-@query("K03", f"SELECT e, CAST(c AS BIGINT) AS c, n, e % 11 AS material, 1.125::DOUBLE * (n % {S + 1}) / {S} AS x, 1.125::DOUBLE * (n // {S + 1} % {S + 1}) / {S} AS y, 1.125::DOUBLE * (n // {(S + 1) ** 2}) / {S} AS z FROM (SELECT e, c, CAST(ix + CASE WHEN c % 4 IN (1, 2) THEN 1 ELSE 0 END + {S + 1} * (iy + CASE WHEN c % 4 >= 2 THEN 1 ELSE 0 END + {S + 1} * (iz + c // 4)) AS BIGINT) AS n FROM ({GRID}), (SELECT unnest(range(0, 8)) AS c))")
+@query("S07", f"SELECT e, CAST(c AS BIGINT) AS c, n, e % 11 AS material, 1.125::DOUBLE * (n % {S + 1}) / {S} AS x, 1.125::DOUBLE * (n // {S + 1} % {S + 1}) / {S} AS y, 1.125::DOUBLE * (n // {(S + 1) ** 2}) / {S} AS z FROM (SELECT e, c, CAST(ix + CASE WHEN c % 4 IN (1, 2) THEN 1 ELSE 0 END + {S + 1} * (iy + CASE WHEN c % 4 >= 2 THEN 1 ELSE 0 END + {S + 1} * (iz + c // 4)) AS BIGINT) AS n FROM ({GRID}), (SELECT unnest(range(0, 8)) AS c))")
 def mesh_dump(spark, sf_dir):
     """Connectivity, places and materials written as three tables, and the mesh made of them again."""
     path = scratch(spark, "mesh")

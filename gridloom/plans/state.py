@@ -25,7 +25,7 @@ def loader_epochs(spark, sf_dir):
     return loader.batches(tokens, cursor, B, T, RANKS).drop("step")
 
 
-@query("P06 ST4")
+@query("P06")
 def permuted_shards(spark, sf_dir):
     """Shuffled order of shards and of their samples by the generator that each epoch seeds."""
     return loader.permuted(spark, shards=6, samples=5, epochs=3, seed=42)

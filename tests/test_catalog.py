@@ -38,13 +38,14 @@ def test_same_as_sql(spark, duck, name):
 
 
 def test_every_query_names_its_inventory_lines():
+    """All but these, which no line of the inventory asks for: fields of a JSON column, and text without control characters."""
     catalog.queries()
-    assert all(q.ids for q in catalog.CATALOG.values())
+    assert {k for k, q in catalog.CATALOG.items() if not q.ids} == {"json_props", "printable_text"}
 
 
 def test_queries_name_no_lines_that_are_not_built():
     catalog.queries()
-    unbuilt = set("L04 J08 L15 P05 ST4 S23 S28 S11 S15 S16 S17 K02 K03 K04 K11 K15 O10 P13".split())
+    unbuilt = set("K03 K04 J10 R01".split())
     assert not {k: unbuilt & set(q.ids.split()) for k, q in catalog.CATALOG.items() if unbuilt & set(q.ids.split())}
 
 
