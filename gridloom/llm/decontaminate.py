@@ -202,7 +202,7 @@ def blocks(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> Iterato
         items = Items([r[0] for r in rows], [r[1] for r in rows])
         if not items.ids:
             continue
-        counts = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(_count(items), "gram long, df long").groupBy("gram").agg(F.sum("df").alias("df")).toPandas()
+        counts = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(tv.tidy(_count(items)), "gram long, df long").groupBy("gram").agg(F.sum("df").alias("df")).toPandas()
         df = np.zeros(len(items.distinct), np.int64)
         df[counts["gram"].to_numpy(np.int64)] = counts["df"].to_numpy(np.int64)
         yield items.seeded(df)
@@ -230,7 +230,7 @@ def find(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
     d = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     out = docs.sparkSession.createDataFrame([], FOUND)
     for items in blocks(docs, benchmark, text):
-        out = out.unionByName(d.mapInArrow(_report(items, least), FOUND))
+        out = out.unionByName(d.mapInArrow(tv.tidy(_report(items, least)), FOUND))
     return out
 
 
@@ -251,5 +251,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFr
     """The rows of docs, with all their columns, that leak no item."""
     out = docs
     for items in blocks(docs, benchmark):
-        out = out.mapInArrow(_clean(items, least), docs.schema)
+        out = out.mapInArrow(tv.tidy(_clean(items, least)), docs.schema)
     return out

@@ -277,10 +277,10 @@ def _compared(pairs: DataFrame, count: int, nodes: DataFrame, rows: DataFrame, s
     few = light(pairs, count)
     one, two = side.toDF("a", "ka", "na", "ca").join(few, "a"), side.toDF("b", "kb", "nb", "cb").join(few, "b")
     maps = one.join(two, ["a", "b"]).select("a", "b", "na", "nb", "ca", "cb", "ka", "kb")
-    pairs, count, _ = sized(maps.mapInArrow(_possible(slack), "a long, b long, ka long, kb long"), "possible")
+    pairs, count, _ = sized(maps.mapInArrow(tv.tidy(_possible(slack)), "a long, b long, ka long, kb long"), "possible")
     both = F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("ka").alias("key")), F.struct(F.col("b").alias("node"), F.col("kb").alias("key"))))
     wanted = light(pairs.select(both.alias("x")).select("x.key", "x.node").distinct(), 2 * count)
-    texts = rows.join(wanted, "key").select("node", "text").mapInArrow(_texts, "node long, text string")
+    texts = rows.join(wanted, "key").select("node", "text").mapInArrow(tv.tidy(_texts), "node long, text string")
     texts = stored(texts.dropDuplicates(["node"]), "texts")
     pairs = pairs.select("a", "b")
     degree, hubs, _ = sized(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / STAR).cast("int").alias("parts")), "degrees")
@@ -289,7 +289,7 @@ def _compared(pairs: DataFrame, count: int, nodes: DataFrame, rows: DataFrame, s
     starts = degree.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     starts = texts.withColumnRenamed("node", "a").join(light(starts, count), "a").select("a", "part", F.lit(None).cast("long").alias("b"), "text")
     laid = members.unionByName(starts).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
-    found = laid.mapInArrow(_compare, COMPARED)
+    found = laid.mapInArrow(tv.tidy(_compare), COMPARED)
     return sized(found.withColumn("linked", F.expr("100 * inter >= 80 * (na + nb - inter)")), "compared")[:2]
 
 
@@ -385,7 +385,7 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     spark = docs.sparkSession
     plain = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     rows = plain.select(F.coalesce("id", F.xxhash64("text")).alias("key"), "text")
-    profile = stored(plain.mapInArrow(_profile, "kind int, id long, n long, node long, cells binary"), "profile")
+    profile = stored(plain.mapInArrow(tv.tidy(_profile), "kind int, id long, n long, node long, cells binary"), "profile")
     sets = profile.where("kind = 0 and n > 0")
     # the key of one row that has the set; rows without a doc_id are found by their text
     nodes = sets.groupBy("node").agg(F.min("id").alias("key"), F.max("n").alias("n"), F.max("cells").alias("cells"))
@@ -399,7 +399,7 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     hot = top["node"].to_numpy(np.int64).view(U)
     order = np.argsort(hot)
     weight = np.clip(np.log2(np.maximum(top["df"].to_numpy(np.float64), 2)) * 2, 1, 63).astype(np.uint8)[order]
-    signed = rows.select("text").mapInArrow(_signatures(hot[order], weight), "sig long, node long")
+    signed = rows.select("text").mapInArrow(tv.tidy(_signatures(hot[order], weight)), "sig long, node long")
     run = Window.partitionBy("sig")
     runs = signed.withColumn("x", F.min("node").over(run)).withColumn("y", F.max("node").over(run)).where("x <> y")
     comp, count = _settle(stored(runs.drop("x", "y").distinct(), "runs"), nodes, rows)

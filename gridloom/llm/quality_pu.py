@@ -148,7 +148,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     # at most about `most` ids, and of the rows that have them as many: one id can be that of many rows
     p = sample(d.join(F.broadcast(sample(trusted, most)), "doc_id"), most).select("text", F.lit(True).alias("trusted"))
     u = sample(d, most).select("text", F.lit(False).alias("trusted"))
-    got = p.unionByName(u).mapInArrow(_stats, "f array<double>, trusted boolean").toPandas()
+    got = p.unionByName(u).mapInArrow(tv.tidy(_stats), "f array<double>, trusted boolean").toPandas()
     mine = got["trusted"].to_numpy(bool)
     if mine.sum() < 2 or (~mine).sum() < 2:
         return None
@@ -169,7 +169,7 @@ def _scored(model: Model | None):
 def score(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted; a row for each row."""
     d = docs.select(F.col(key).cast("long").alias("doc_id"), held_out(key).alias("held_out"), F.col(text).cast("string").alias("text"))
-    return d.mapInArrow(_scored(model), "doc_id long, held_out boolean, score double, predicted int")
+    return d.mapInArrow(tv.tidy(_scored(model)), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def _kept(model: Model | None, least: float):
@@ -185,4 +185,4 @@ def _kept(model: Model | None, least: float):
 
 def keep(docs: DataFrame, model: Model | None, least: float = 0.7) -> DataFrame:
     """The rows of docs, with all their columns, whose text scores at least `least`."""
-    return docs.mapInArrow(_kept(model, least), docs.schema)
+    return docs.mapInArrow(tv.tidy(_kept(model, least)), docs.schema)
