@@ -8,10 +8,12 @@ on the panel, and NumPy works inside a tile. Tiles above the diagonal are left o
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stored
+from .ordering import accumulated
 
 TILE = "bi long, bj long, data array<double>"
 
@@ -64,6 +66,38 @@ def factor(tiles: DataFrame, nt: int, ts: int) -> DataFrame:
     return done
 
 
+def panels(rows: DataFrame, key: str, x: str, ts: int, size: int = 256) -> DataFrame:
+    """(bi, k, data): rows of arrays cut into blocks k of `size` rows, in order of key, and ts columns each, row by row. The last
+    columns are filled with zeros; null arrays are left out."""
+    r = accumulated(rows.where(F.col(x).isNotNull()).select(F.col(key).alias("key"), F.col(x).alias("x")), ["key"])
+    block = r.groupBy(F.floor(F.col("_k") / size).alias("k")).agg(F.sort_array(F.collect_list(F.struct("_k", "x"))).alias("r"))  # size rows
+    wide = F.ceil(F.aggregate("r", F.lit(0), lambda n, v: F.greatest(n, F.size(v["x"]))) / ts)
+    block = block.select("k", "r", F.explode(F.sequence(F.lit(0).cast("long"), wide - 1)).alias("bi"))
+    cut = lambda v: F.transform(F.sequence(F.lit(1), F.lit(ts)), lambda c: F.coalesce(F.get(v["x"], (F.col("bi") * ts + c - 1).cast("int")), F.lit(0.0)))
+    return block.select("bi", "k", F.flatten(F.transform("r", cut)).alias("data"))
+
+
+def gram(a: DataFrame, ts: int, turned: bool = False) -> DataFrame:
+    """Tiles on and below the diagonal of the sum over k of A_k' A_k, of panels (bi, k, data): pairs of tiles that
+    share k are joined; a task sums what it has of each tile first. turned: tiles are stored the other way round, so the
+    sum is of A_k A_k'."""
+
+    def products(batches):
+        own: dict[tuple[int, int], np.ndarray] = {}
+        for p in batches:
+            for bi, bj, x, y in zip(p["bi"], p["bj"], p["adata"], p["bdata"]):
+                x, y = (_square(v, ts).T if turned else np.asarray(v, np.float64).reshape(-1, ts) for v in (x, y))
+                own[bi, bj] = own.get((bi, bj), 0.0) + x.T @ y
+        if own:
+            yield pd.DataFrame({"bi": [i for i, _ in own], "bj": [j for _, j in own], "data": [v.ravel() for v in own.values()]})
+
+    b = a.select(F.col("bi").alias("bj"), "k", F.col("data").alias("bdata"))
+    pairs = a.select("bi", "k", F.col("data").alias("adata")).join(b, "k").where("bi >= bj")
+    parts = pairs.select("bi", "bj", "adata", "bdata").mapInPandas(products, TILE)
+    each = parts.select("bi", "bj", F.posexplode("data").alias("p", "v")).groupBy("bi", "bj", "p").agg(F.sum("v").alias("v"))
+    return each.groupBy("bi", "bj").agg(F.transform(F.sort_array(F.collect_list(F.struct("p", "v"))), lambda x: x["v"]).alias("data"))  # a tile
+
+
 def flops(n: int) -> float:
     return n**3 / 3
 

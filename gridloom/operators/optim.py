@@ -132,6 +132,21 @@ def reduce_blocks(gradients: DataFrame, size: int) -> DataFrame:
     return gradients.groupBy(F.floor(F.col("i") / size).alias("block")).agg(F.avg("g").alias("mean"), F.countDistinct("rank").alias("ranks"))
 
 
+def shard_size(n: int, ranks: int, stage: int = 1) -> int:
+    """Values of a tensor of n that each rank updates: all of them at stage 0 or where the ranks don't divide n. Later stages than
+    the first, which share gradients and weights out, are refused."""
+    if stage not in (0, 1):
+        raise ValueError(f"optimiser state alone is shared out, not what stage {stage} does")
+    return n if stage == 0 or n % ranks else n // ranks
+
+
+def reduce_scatter(gradients: DataFrame, size: int) -> DataFrame:
+    """(shard, first, i, g) of (rank, i, g): the mean over ranks of each value's sum, at the rank that updates it."""
+    own = gradients.groupBy("rank", "i").agg(F.sum("g").alias("g")).groupBy("i").agg(F.avg("g").alias("g"))
+    shard = F.floor(F.col("i") / size)
+    return own.select(shard.alias("shard"), (shard * size).alias("first"), "i", "g")
+
+
 def lower_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     """diff: the largest difference of two matrices (i, j, v) on and below the diagonal."""
     return a.where("j <= i").join(b.withColumnRenamed("v", "w"), ["i", "j"]).agg(F.max(F.abs(F.col("v") - F.col("w"))).alias("diff"))

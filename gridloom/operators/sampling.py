@@ -72,6 +72,36 @@ def _times(x: Column, k: int) -> Column:
     return (x * low + F.shiftleft((x * high).bitwiseAND(F.lit(0xFFFF)), 16)).bitwiseAND(F.lit(_LOW))
 
 
+#: Factor of the generator's output, as XorShift has it (a fixed value).
+STAR = 0x2545F4914F6CDD1D
+
+
+def next_state(s: Column) -> Column:
+    """The state after s of the generator of XorShift, as a signed long of the same bits."""
+    s = s.bitwiseXOR(F.shiftrightunsigned(s, 12))
+    s = s.bitwiseXOR(F.shiftleft(s, 25))
+    return s.bitwiseXOR(F.shiftrightunsigned(s, 27))
+
+
+def bits_of(s: Column) -> Column:
+    """The 32 bits that a state gives: the high half of s * STAR modulo 2^64, by halves that overflow nothing."""
+    high, low = F.shiftrightunsigned(s, 32), s.bitwiseAND(F.lit(_LOW))
+    least = STAR & _LOW
+    carried = F.shiftright(F.shiftright(low, 16) * least + F.shiftright(low.bitwiseAND(F.lit(0xFFFF)) * least, 16), 16)
+    return (carried + _times(high, least) + _times(low, STAR >> 32)).bitwiseAND(F.lit(_LOW))
+
+
+def drawn(seed: Column, n: int) -> Column:
+    """The first n draws of each row's own seed, as an array of (u32, f32); of 0 and of null, those of state 0 and null."""
+    start = F.struct(seed.cast("long").alias("s"), F.array().cast("array<bigint>").alias("bits"))
+
+    def step(a: Column, _: Column) -> Column:
+        return F.struct(next_state(a["s"]).alias("s"), F.concat(a["bits"], F.array(bits_of(next_state(a["s"])))).alias("bits"))
+
+    bits = F.aggregate(F.sequence(F.lit(1), F.lit(n)), start, step, lambda a: a["bits"])
+    return F.transform(bits, lambda b: F.struct(b.alias("u32"), (F.shiftright(b, 8) / 16777216.0).alias("f32")))
+
+
 def noise(position: Column, seed: Column) -> Column:
     """32 random bits of a position and a seed, the same wherever they are asked for."""
     a, b, c, d, e = NOISE

@@ -147,3 +147,12 @@ def report_lines(figures: DataFrame, title: str) -> DataFrame:
     top = figures.sparkSession.createDataFrame([(-1, 0, f"{title}:")], "i long, k int, text string")
     every = top.unionByName(heads).unionByName(leaves)
     return every.select((F.row_number().over(Window.orderBy("i", "k")) - 1).cast("long").alias("line"), "text")
+
+
+def figures_of_merit(runs: DataFrame) -> DataFrame:
+    """runs (seconds, cycles, side, ranks) with what a finished run reports: grind, microseconds for an element and a cycle of one
+    rank's cube, overall, the same for all ranks' elements, and fom, thousands of elements a second. Null where a divisor is 0."""
+    cycle = F.try_divide(F.col("seconds") * 1e6, F.col("cycles"))
+    own = F.col("side").cast("double") ** 3
+    overall = F.try_divide(cycle, own * F.col("ranks"))
+    return runs.withColumns({"grind": F.try_divide(cycle, own), "overall": overall, "fom": F.try_divide(F.lit(1000.0), overall)})

@@ -81,6 +81,13 @@ def diagonal(a: DataFrame, rows: DataFrame) -> DataFrame:
     return rows.select("i").join(d, "i", "left").select("i", F.coalesce("d", F.lit(0.0)).alias("d"))
 
 
+def zero_diagonals(a: DataFrame, rows: DataFrame) -> DataFrame:
+    """One row: rows, nnz (entries there are, zeros too), zeros (rows whose diagonal is absent or 0) and nnz_per_row."""
+    n = a.agg(F.count(F.lit(1)).alias("nnz"))
+    d = diagonal(a, rows).agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("d") == 0).alias("zeros"))
+    return d.crossJoin(F.broadcast(n)).select("rows", "nnz", "zeros", F.try_divide("nnz", "rows").alias("nnz_per_row"))  # one row each
+
+
 def shift_diagonal(a: DataFrame, sigma: float) -> DataFrame:
     return a.withColumn("v", F.when(F.col("i") == F.col("j"), F.col("v") - sigma).otherwise(F.col("v")))
 

@@ -18,7 +18,7 @@ class Query:
 
 CATALOG: dict[str, Query] = {}
 #: Modules that register queries when imported.
-MODULES = ("linear", "runs", "tensors", "training", "meshes", "hydro", "hydrostep", "readers", "state", "streams", "files", "elements")
+MODULES = ("linear", "runs", "tensors", "training", "meshes", "hydro", "hydrostep", "readers", "state", "streams", "files", "elements", "figures")
 
 
 def query(ids: str, sql: str | None = None):

@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..operators import telemetry
+from ..operators.ordering import accumulated
 from ..sources import binary_files, text_files
 from ..session import scratch, stored, table
 from .catalog import query
@@ -142,18 +143,21 @@ def appended_log(spark, sf_dir):
     return text_files.last_of(rows, ["step", "name"], "line").select("step", stream.cast("long").alias("stream"), "value")
 
 
-WORDS = "SELECT DISTINCT substr(unnest(string_split(text, ' ')), 1, 12) AS w FROM conversations"
+#: Words as pieces of 63 characters at most, which 255 bytes hold.
+PIECE = "(?s).{1,63}"
+PIECES = f"SELECT conv_id, turn, unnest(regexp_extract_all(w, '{PIECE}')) AS w FROM (SELECT conv_id, turn, unnest(string_split(text, ' ')) AS w FROM conversations) WHERE w <> ''"
 
 
-@query("S22 K16 P12", f"WITH v AS (SELECT w, row_number() OVER (ORDER BY encode(w)) - 1 AS id FROM ({WORDS}) WHERE w <> ''), t AS (SELECT conv_id, turn, substr(unnest(string_split(text, ' ')), 1, 12) AS w FROM conversations) SELECT conv_id, turn, count(*) AS n, CAST(sum(id) AS BIGINT) AS ids, CAST(sum(CASE WHEN strlen(w) > 1 OR regexp_matches(w, '^[ -~]$') THEN strlen(w) ELSE 0 END) AS BIGINT) AS shown FROM t JOIN v USING (w) GROUP BY 1, 2")
+@query("S22 K16 P12", f"WITH t AS ({PIECES}), v AS (SELECT w, row_number() OVER (ORDER BY encode(w)) - 1 AS id FROM (SELECT DISTINCT w FROM t)) SELECT conv_id, turn, count(*) AS n, CAST(sum(id) AS BIGINT) AS ids, CAST(sum(CASE WHEN strlen(w) > 1 OR regexp_matches(w, '^[ -~]$') THEN strlen(w) ELSE 0 END) AS BIGINT) AS shown FROM t JOIN v USING (w) GROUP BY 1, 2")
 def tokenizer_table(spark, sf_dir):
-    """A vocabulary written as a tokenizer table and read as rows; texts as its ids, and back to pieces by a join."""
-    words = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(F.split("text", " ")).alias("w")).select("conv_id", "turn", F.substring("w", 1, 12).alias("w")).where("w <> ''")
-    path = f"{scratch(spark, 'vocabulary')}/tokenizer.bin"
-    pieces = sorted(r.w.encode() for r in words.select("w").distinct().collect())  # a vocabulary, of 65,535 pieces at most
-    binary_files.put(path, binary_files.encode_tokenizer(pieces, len(pieces)))
+    """A vocabulary of whole words written as tokenizer tables and read as rows; texts as its ids, and back to pieces by a join."""
+    words = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(F.split("text", " ")).alias("w"))
+    words = words.select("conv_id", "turn", F.explode(F.regexp_extract_all("w", F.lit(PIECE), F.lit(0))).alias("w")).where("w <> ''")
+    piece = F.encode("w", "UTF-8")
+    path = scratch(spark, "vocabulary")
+    binary_files.write_tokenizer(accumulated(words.select(piece.alias("piece")).distinct(), ["piece"]), path)
     vocabulary = binary_files.read_tokenizer(spark, path)
-    ids = words.join(vocabulary, F.encode("w", "UTF-8") == F.col("piece")).select("conv_id", "turn", "id")
+    ids = words.join(vocabulary, piece == F.col("piece")).select("conv_id", "turn", "id")
     back = ids.join(vocabulary, "id")
     shown = F.when(F.col("printable"), F.octet_length("piece")).otherwise(0)
     return back.groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("ids"), F.sum(shown).cast("long").alias("shown"))
@@ -161,14 +165,15 @@ def tokenizer_table(spark, sf_dir):
 
 @query("S14 K06 A17", "SELECT doc_id AS idx, CAST(quality AS BIGINT) AS label, CAST(3 + doc_id % 5 AS BIGINT) AS ctx, CAST(c AS BIGINT) AS choice, CAST(1 + (doc_id + c) % 4 AS BIGINT) AS n, CAST((1 + (doc_id + c) % 4) * (doc_id % 1000 + c) AS BIGINT) AS sum FROM labels, (SELECT unnest(range(0, 4)) AS c)")
 def evaluation_file(spark, sf_dir):
-    """Examples written as one evaluation file and read as a row for each ending."""
-    rows = table(spark, sf_dir, "labels").orderBy("doc_id").select("doc_id", "quality").collect()  # the format holds 65,535 examples and refuses more
-    some = [binary_files.Example(int(r.quality or 0), [7] * (3 + r.doc_id % 5), [[r.doc_id % 1000 + c] * (1 + (r.doc_id + c) % 4) for c in range(4)]) for r in rows]
-    path = f"{scratch(spark, 'evaluation')}/eval.bin"
-    binary_files.put(path, binary_files.encode_examples(some))
+    """Examples written as evaluation files by the executors and read as a row for each ending."""
+    d = F.col("doc_id")
+    ending = lambda c: F.array_repeat(d % 1000 + c, (1 + (d + c) % 4).cast("int"))
+    rows = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("long").alias("label"), F.array_repeat(F.lit(7).cast("long"), (3 + d % 5).cast("int")).alias("context"), F.array(*map(ending, range(4))).alias("endings"))
+    rows = stored(accumulated(rows, ["doc_id"]), "examples")
+    path = scratch(spark, "evaluation")
+    binary_files.write_examples(rows, path)
     e = binary_files.read_examples(spark, path)
-    ids = spark.createDataFrame([(i, r.doc_id) for i, r in enumerate(rows)], "i long, idx long")
-    flat = e.join(F.broadcast(ids), "i").select("idx", "label", F.size("context").cast("long").alias("ctx"), F.posexplode("endings").alias("choice", "ending"))  # 65,535 rows at most
+    flat = e.join(rows.select(F.col("_k").alias("i"), F.col("doc_id").alias("idx")), "i").select("idx", "label", F.size("context").cast("long").alias("ctx"), F.posexplode("endings").alias("choice", "ending"))
     return flat.select("idx", "label", "ctx", F.col("choice").cast("long").alias("choice"), F.size("ending").cast("long").alias("n"), F.aggregate("ending", F.lit(0).cast("long"), lambda s, x: s + x).alias("sum"))
 
 

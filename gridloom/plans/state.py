@@ -202,12 +202,13 @@ def skipped_updates(spark, sf_dir):
     return z.where("z is not null").select("event_id", optim.skip(F.round("z", 6), 3.0).alias("skipped"))
 
 
-@query("O06 A15", f"WITH m AS (SELECT vec_id, vec_id // 50 AS step, vec_id // 10 % 5 AS micro, i, v FROM {_LL}) SELECT step, i, round(sum(v) / (10 * 5), 6) AS g, round(max(l), 6) AS loss FROM m JOIN (SELECT vec_id // 50 AS step, sum(x[1]) / (10 * 5) AS l FROM {X} GROUP BY 1) USING (step) GROUP BY 1, 2")
+@query("O06 A15", f"WITH m AS (SELECT vec_id, vec_id // 50 AS step, vec_id // 10 % 5 AS micro, i, v FROM {_LL}) SELECT step, i, round(sum(v) / (10 * 5), 6) AS g, round(max(l), 6) AS loss FROM m JOIN (SELECT vec_id // 50 AS step, sum(list_sum(list_transform(x, lambda v: v * v))) / 2 / (10 * 5) AS l FROM {X} GROUP BY 1) USING (step) GROUP BY 1, 2")
 def micro_steps(spark, sf_dir):
-    """Gradients of five micro-batches of ten rows a step, scaled as they are made and zeroed at each step's first; the mean loss."""
+    """Gradients of five micro-batches of ten rows a step, scaled as they are made and zeroed at each step's first; the mean loss, of which a
+    vector is the gradient: half of its square."""
     x = _x(spark, sf_dir).select(F.floor(F.col("vec_id") / 50).alias("step"), (F.floor(F.col("vec_id") / 10) % 5).alias("micro"), "x")
     g = optim.accumulated(x.select("step", "micro", F.posexplode("x").alias("i", "g")), rows=10, micro_steps=5)
-    loss = x.groupBy("step").agg((F.sum(F.col("x")[0]) / 50).alias("loss"))
+    loss = x.groupBy("step").agg((F.sum(F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v)) / 2 / 50).alias("loss"))
     return g.join(loss, "step").select("step", F.col("i").cast("long").alias("i"), F.round("g", 6).alias("g"), F.round("loss", 6).alias("loss"))
 
 

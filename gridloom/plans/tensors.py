@@ -127,15 +127,16 @@ def linear_backward_input(spark, sf_dir):
     return layers.linear_backward(x, d, w)[0].select(F.col("r").alias("vec_id"), F.col("i").cast("long").alias("i"), F.round("dx", 6).alias("dx"))
 
 
-_QKV = f"(SELECT vec_id // 8 AS b, h, vec_id % 8 AS t, x[h * 16 + 1:h * 16 + 4] AS q, x[h * 16 + 5:h * 16 + 8] AS k, x[h * 16 + 9:h * 16 + 12] AS v FROM {X}, (SELECT CAST(unnest([0, 1]) AS BIGINT) AS h))"
+_QKV = f"(SELECT vec_id // 8 AS b, h, vec_id % 8 AS t, x[h * 16 + 1:h * 16 + 16] AS q, x[(h + 1) % 4 * 16 + 1:(h + 1) % 4 * 16 + 16] AS k, x[(h + 2) % 4 * 16 + 1:(h + 2) % 4 * 16 + 16] AS v FROM {X}, (SELECT CAST(unnest(range(0, 4)) AS BIGINT) AS h))"
 
 
-@query("W03", f"WITH q AS {_QKV}, s AS (SELECT a.b, a.h, a.t, c.t AS t2, list_dot_product(a.q, c.k) * 0.5::DOUBLE AS s, c.v FROM q a JOIN q c ON a.b = c.b AND a.h = c.h AND c.t <= a.t), p AS (SELECT *, exp(s - max(s) OVER w) / sum(exp(s)) OVER w * exp(max(s) OVER w) AS p FROM s WINDOW w AS (PARTITION BY b, h, t)) SELECT b, h, t, CAST(c AS BIGINT) AS c, round(sum(p * v), 6) AS out FROM (SELECT b, h, t, p, unnest(v) AS v, unnest(range(0, 4)) AS c FROM p) GROUP BY 1, 2, 3, 4")
+@query("W03", f"WITH q AS {_QKV}, s AS (SELECT a.b, a.h, a.t, c.t AS t2, list_dot_product(a.q, c.k) * 0.25::DOUBLE AS s, c.v FROM q a JOIN q c ON a.b = c.b AND a.h = c.h AND c.t <= a.t), p AS (SELECT *, exp(s - max(s) OVER w) / sum(exp(s)) OVER w * exp(max(s) OVER w) AS p FROM s WINDOW w AS (PARTITION BY b, h, t)) SELECT b, h, t, CAST(c AS BIGINT) AS c, round(sum(p * v), 6) AS out FROM (SELECT b, h, t, p, unnest(v) AS v, unnest(range(0, 16)) AS c FROM p) GROUP BY 1, 2, 3, 4")
 def causal_attention(spark, sf_dir):
-    x = _x(spark, sf_dir).withColumn("h", F.explode(F.array(F.lit(0), F.lit(1))))
-    part = lambda k: F.slice("x", F.col("h") * 16 + k, F.lit(4))
-    qkv = x.select(F.floor(F.col("vec_id") / 8).alias("b"), F.col("h").cast("long").alias("h"), (F.col("vec_id") % 8).alias("t"), part(1).alias("q"), part(5).alias("k"), part(9).alias("v"))
-    return layers.causal_attention(qkv, 0.5).select("b", "h", "t", F.col("c").cast("long").alias("c"), F.round("out", 6).alias("out"))
+    """Four heads over all 64 values of a vector: a head's queries, the next one's as keys, those after it as values."""
+    x = _x(spark, sf_dir).withColumn("h", F.explode(F.array(*map(F.lit, range(4)))))
+    part = lambda k: F.slice("x", (F.col("h") + k) % 4 * 16 + 1, F.lit(16))
+    qkv = x.select(F.floor(F.col("vec_id") / 8).alias("b"), F.col("h").cast("long").alias("h"), (F.col("vec_id") % 8).alias("t"), part(0).alias("q"), part(1).alias("k"), part(2).alias("v"))
+    return layers.causal_attention(qkv, 0.25).select("b", "h", "t", F.col("c").cast("long").alias("c"), F.round("out", 6).alias("out"))
 
 
 @query("L14", _rows("list_transform(range(1, 65), lambda i: x[i] * cos(vec_id / pow(10000.0::DOUBLE, ((i - 1) - (i - 1) % 2) / 64.0::DOUBLE)) + CASE WHEN i % 2 = 1 THEN -x[i + 1] ELSE x[i - 1] END * sin(vec_id / pow(10000.0::DOUBLE, ((i - 1) - (i - 1) % 2) / 64.0::DOUBLE)))", "out"))
@@ -219,6 +220,9 @@ def gradient_accumulation(spark, sf_dir):
     return micro.groupBy("i").agg(F.round(F.sum("g") / F.count(F.lit(1)), 6).alias("g"))
 
 
-@query("X05", f"SELECT i // 16 AS shard, count(*) AS n FROM {_L} GROUP BY 1")
+@query("X05", f"SELECT i // 16 AS shard, i // 16 * 16 AS first, count(*) AS n, round(sum(g * (i + 1)), 5) AS g FROM (SELECT i, sum(v) / count(DISTINCT vec_id % 4) AS g FROM {_L} GROUP BY i) GROUP BY 1, 2")
 def optimizer_shards(spark, sf_dir):
-    return _logits(spark, sf_dir).groupBy(F.floor(F.col("i") / 16).alias("shard")).agg(F.count(F.lit(1)).alias("n"))
+    """Gradients of four ranks, each value's mean at the rank that updates its shard."""
+    g = _logits(spark, sf_dir).select((F.col("vec_id") % 4).alias("rank"), "i", F.col("v").alias("g"))
+    s = optim.reduce_scatter(g, optim.shard_size(64, 4))
+    return s.groupBy("shard", "first").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("g") * (F.col("i") + 1)), 5).alias("g"))

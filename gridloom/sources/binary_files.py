@@ -6,12 +6,14 @@ what follows. Magic numbers, versions and the tensors' order are fixed values of
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 HEAD = 1024
 EVAL, TOKENIZER, MODEL = 20240522, 20240328, 20240326
@@ -169,23 +171,59 @@ def put(uri: str, data: bytes) -> None:
     fs.move(part, path)
 
 
+def _first() -> Column:
+    """The number of a file's first row, as files of `write_numbered` have it in their names; 0 for other names."""
+    return F.coalesce(F.regexp_extract("path", r"/rows-(\d{20})\.bin$", 1).try_cast("long"), F.lit(0)).alias("first")
+
+
 def _decoded(spark: SparkSession, uri: str, schema: str, decode) -> DataFrame:
-    """Rows that decode makes of each file's bytes; a file is one task's."""
+    """Rows that decode makes of each file's bytes, whose numbers go on from the file's first one; a file is one task's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for data in batch.column(0).to_pylist():
-                yield pa.RecordBatch.from_pydict(decode(data))
+            for first, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                yield pa.RecordBatch.from_pydict(decode(data, first))
+
+    return spark.read.format("binaryFile").load(uri).select(_first(), "content").mapInArrow(run, schema)
+
+
+def write_numbered(rows: DataFrame, uri: str, per: int, encode: Callable[[pa.Table], bytes]) -> None:
+    """Rows numbered by _k as files of `per` rows below uri, each written by a task of its own. A file's name tells its
+    first number, so that a task that runs again writes the same one. No rows make one file of none."""
+
+    def run(part: pa.Table) -> pa.Table:
+        part = part.sort_by("_k")
+        first = part["_k"][0].as_py()
+        put(f"{uri}/rows-{first:020d}.bin", encode(part))
+        return pa.table({"first": pa.array([first], pa.int64())})
+
+    d = rows.withColumn("_f", F.floor(F.col("_k") / per))
+    if not d.groupBy("_f").applyInArrow(run, "first long").agg(F.count(F.lit(1)).alias("n")).head().n:
+        put(f"{uri}/rows-{0:020d}.bin", encode(to_arrow_schema(d.schema).empty_table()))
+
+
+def write_examples(examples: DataFrame, uri: str, per: int = 4096) -> None:
+    """(_k, label, context, endings) as evaluation files of `per` examples; the format holds 65,535 in a file. A null label is 0,
+    null contexts and endings are empty; an example beyond what the format holds is refused."""
+
+    def encode(part: pa.Table) -> bytes:
+        columns = (part[c].to_pylist() for c in ("label", "context", "endings"))
+        return encode_examples([Example(label or 0, context or [], [e or [] for e in endings or []]) for label, context, endings in zip(*columns)])
+
+    write_numbered(examples, uri, min(per, 65535), encode)
+
 
-    return spark.read.format("binaryFile").load(uri).select("content").mapInArrow(run, schema)
+def write_tokenizer(pieces: DataFrame, uri: str, per: int = 32768) -> None:
+    """(_k, piece) as tokenizer tables of `per` pieces; the end of a text has the number after each table's last."""
+    write_numbered(pieces, uri, per, lambda part: encode_tokenizer(part["piece"].to_pylist(), part.num_rows))
 
 
 def read_tokenizer(spark: SparkSession, uri: str) -> DataFrame:
     """(id, piece, printable) of tokenizer tables."""
 
-    def rows(data: bytes) -> dict:
+    def rows(data: bytes, first: int) -> dict:
         pieces, _ = decode_tokenizer(data)
-        return {"id": pa.array(range(len(pieces)), pa.int64()), "piece": pa.array(pieces, pa.binary()), "printable": pa.array([printable(p) for p in pieces])}
+        return {"id": pa.array(range(first, first + len(pieces)), pa.int64()), "piece": pa.array(pieces, pa.binary()), "printable": pa.array([printable(p) for p in pieces])}
 
     return _decoded(spark, uri, "id long, piece binary, printable boolean", rows)
 
@@ -193,8 +231,8 @@ def read_tokenizer(spark: SparkSession, uri: str) -> DataFrame:
 def read_examples(spark: SparkSession, uri: str) -> DataFrame:
     """(i, label, context, endings) of evaluation files."""
 
-    def rows(data: bytes) -> dict:
+    def rows(data: bytes, first: int) -> dict:
         e = decode_examples(data)
-        return {"i": pa.array(range(len(e)), pa.int64()), "label": pa.array([x.label for x in e], pa.int64()), "context": pa.array([x.context for x in e], pa.list_(pa.int64())), "endings": pa.array([x.endings for x in e], pa.list_(pa.list_(pa.int64())))}
+        return {"i": pa.array(range(first, first + len(e)), pa.int64()), "label": pa.array([x.label for x in e], pa.int64()), "context": pa.array([x.context for x in e], pa.list_(pa.int64())), "endings": pa.array([x.endings for x in e], pa.list_(pa.list_(pa.int64())))}
 
     return _decoded(spark, uri, "i long, label long, context array<long>, endings array<array<long>>", rows)

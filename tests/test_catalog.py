@@ -45,7 +45,7 @@ def test_every_query_names_its_inventory_lines():
 
 def test_queries_name_no_lines_that_are_not_built():
     catalog.queries()
-    unbuilt = set("K03 K04 J10 R01".split())
+    unbuilt = {"K03"}
     assert not {k: unbuilt & set(q.ids.split()) for k, q in catalog.CATALOG.items() if unbuilt & set(q.ids.split())}
 
 
