@@ -47,6 +47,8 @@ def accumulated(df: DataFrame, order: Sequence[str | Column], partition: Sequenc
         total.select(*[F.col(c).alias(f"_s{i}") for i, c in enumerate(partition)], F.col("_b").alias("_b2"), base("_c").alias("_base"), F.sum("_c").over(series).alias("_n"), *[base(f"_t{i}").alias(f"_u{i}") for i in range(len(sums))]),
         "block_totals",
     )
+    # a task for each block, whatever the plan would put together by compressed sizes
+    d = d.repartition(1 + (total.agg(F.max("_b2")).first()[0] or 0), "_b")
     inside = Window.partitionBy(*partition, "_b").orderBy(*by)
     earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
     out = d.withColumns({"_r": F.row_number().over(inside) - 1, **{f"_v{i}": F.coalesce(F.sum(v).over(earlier), F.lit(0)) for i, v in enumerate(sums.values())}})

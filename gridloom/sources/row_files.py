@@ -13,13 +13,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.ordering import accumulated
 from ..operators.vectors import contiguous_owner
 from ..session import stored
 
+#: Lines of a file, about: what one task sorts.
+LINES = 200_000
+
 
 @dataclass(frozen=True)
 class RowFile:
@@ -32,7 +35,10 @@ class RowFile:
 def read(spark: SparkSession, path: str, parts: int = 1) -> RowFile:
     place = F.struct("_metadata.file_path", "_metadata.file_block_start")
     text = spark.read.text(path).select("value", place.alias("p"), F.monotonically_increasing_id().alias("at")).where(F.trim("value") != "")
-    lines = accumulated(text, [F.col("p.file_path"), F.col("p.file_block_start"), F.col("at")]).select(F.col("_k").alias("line"), F.split(F.trim("value"), r"\s+").alias("w"))
+    # splits have numbers, so that no line carries a path
+    splits = stored(text.select("p").distinct().select("p", F.row_number().over(Window.orderBy("p")).alias("split")), "splits")
+    text = text.join(F.broadcast(splits), "p").select("value", "split", "at")
+    lines = accumulated(text, ["split", "at"]).select(F.col("_k").alias("line"), F.split(F.trim("value"), r"\s+").alias("w"))
     lines = stored(lines, "row_file")
     head = lines.where("line = 0").first()
     if head is None or len(head.w) != 2:
@@ -43,7 +49,8 @@ def read(spark: SparkSession, path: str, parts: int = 1) -> RowFile:
     counts = body.where("section = 0").select("i", word(0).try_cast("long").alias("count"))
     owner = contiguous_owner(F.col("i"), n, parts)
     blocks = stored(counts.groupBy(owner.alias("block")).agg(F.min("i").alias("first"), F.count(F.lit(1)).alias("rows"), F.sum("count").alias("entries")), "blocks")
-    rows = body.where("section = 1").join(counts, "i")
+    tasks = 1 + n // LINES
+    rows = body.where("section = 1").repartition(tasks, "i").join(counts.repartition(tasks, "i"), "i")
     kept = F.count_if((word(0).try_cast("long") == F.col("count")) & (F.size("w") == 1 + 2 * F.col("count")))
     whole = body.agg(F.count(F.lit(1)), F.count_if((F.col("section") == 2) & (F.size("w") == 3))).first()
     right, total = rows.agg(kept, F.sum("count")).first()
@@ -55,8 +62,9 @@ def read(spark: SparkSession, path: str, parts: int = 1) -> RowFile:
     return RowFile(n, matrix, sides, blocks)
 
 
-def write(matrix: DataFrame, sides: DataFrame, path: str, files: int = 8) -> None:
-    """matrix (i, j, v) and sides (i, x, b, exact) of every row from 0; a row's entries by column."""
+def write(matrix: DataFrame, sides: DataFrame, path: str, files: int | None = None) -> None:
+    """matrix (i, j, v) and sides (i, x, b, exact) of every row from 0; a row's entries by column. Without a number
+    of files there is one for each LINES lines, so that a task's share doesn't grow with the matrix."""
     rows = matrix.groupBy("i").agg(F.array_sort(F.collect_list(F.struct("j", "v"))).alias("e"))  # a row of a sparse matrix
     d = sides.join(rows, "i", "left").withColumn("count", F.coalesce(F.size("e"), F.lit(0)))
     n, entries = d.agg(F.count(F.lit(1)), F.coalesce(F.sum("count"), F.lit(0))).first()
@@ -65,4 +73,4 @@ def write(matrix: DataFrame, sides: DataFrame, path: str, files: int = 8) -> Non
     line = lambda section, value: d.select(F.lit(section).alias("section"), "i", F.col(value).cast("string").alias("value"))
     head = matrix.sparkSession.createDataFrame([(0, 0, f"{n} {entries}")], "section int, i long, value string")
     every = head.unionByName(line(1, "count")).unionByName(line(2, "row")).unionByName(line(3, "side"))
-    every.repartitionByRange(files, "section", "i").sortWithinPartitions("section", "i").select("value").write.text(path)
+    every.repartitionByRange(files or -(-(3 * n + 1) // LINES), "section", "i").sortWithinPartitions("section", "i").select("value").write.text(path)

@@ -51,6 +51,17 @@ def test_row_files_give_the_matrix_back(spark, tmp_path, parts):
     assert sum(b.entries for b in f.blocks.collect()) == len(rows)
 
 
+def test_row_files_grow_in_number_not_in_size(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(row_files, "LINES", 100)
+    rows = [(i, i * 7 % 300, float(i)) for i in range(300)]
+    s = spark.range(300).select(F.col("id").alias("i"), F.lit(0.0).alias("x"), F.lit(1.0).alias("b"), F.lit(1.0).alias("exact"))
+    row_files.write(spark.createDataFrame(rows, "i long, j long, v double"), s, f"{tmp_path}/f")
+    lines = [len(f.read_text().splitlines()) for f in sorted((tmp_path / "f").glob("part-*"))]
+    assert len(lines) == 10 and sum(lines) == 901 and max(lines) < 250
+    f = row_files.read(spark, f"{tmp_path}/f", 3)
+    assert sorted((r.i, r.j, r.v) for r in f.matrix.collect()) == rows
+
+
 @pytest.mark.parametrize("text", ["", "2 1\n1\n0\n1 5.0 0\n0\n0 1 1\n", "2 2\n1\n0\n1 5.0 0\n0\n0 1 1\n0 0 1\n", "2 1\n1\n0\n1 5.0\n0\n0 1 1\n0 0 1\n", "1 1\n1\n2 5.0 0 1.0 1\n0 1 1\n"])
 def test_row_files_that_do_not_add_up_are_refused(spark, tmp_path, text):
     (tmp_path / "f.txt").write_text(text)
