@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stored
 from .ordering import BLOCK, accumulated
 
 
@@ -27,8 +28,9 @@ def shards_of(docs: DataFrame, key: str, size: str, shard_size: int) -> DataFram
 
 def shard_pieces(docs: DataFrame, key: str, ids: str, shard_size: int) -> DataFrame:
     """(shard, start, ids): shards cut exactly at shard_size out of documents' arrays of ids, in order of key; start is
-    a piece's place in its shard. Pieces stay arrays: no token is a row of its own."""
-    d = stream(docs.select(key, ids, F.size(ids).alias("n")).where("n > 0"), key, "n")
+    a piece's place in its shard. Pieces stay arrays: no token is a row of its own. The arrays are written first, since
+    numbering reads them more than once."""
+    d = stream(stored(docs.select(key, ids, F.size(ids).alias("n")).where("n > 0"), "ids"), key, "n")
     shard = F.explode(F.sequence(F.floor(F.col("base") / shard_size), F.floor((F.col("base") + F.col("n") - 1) / shard_size)))
     p = d.withColumn("shard", shard)
     low = F.greatest(F.col("base"), F.col("shard") * shard_size)

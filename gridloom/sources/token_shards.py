@@ -1,6 +1,6 @@
 """Token shards as a Python data source: a 256-int32 header, then tokens of 2 or 4 bytes.
 
-Each shard is one input partition; a header of another magic, version or size is refused. The writer
+An input partition is shards of about READ bytes, in order; a header of another magic, version or size is refused. The writer
 makes a shard of each task's rows in the order they come, under names that carry the task's number.
 """
 
@@ -17,6 +17,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 HEADER = 256
 #: (magic, version) by token width in bytes: fixed values of the format.
 KINDS = {2: (20240520, 1), 4: (20240801, 7)}
+#: Bytes of shards that one task reads, about.
+READ = 16 << 20
 SCHEMA = "shard int, pos bigint, tok bigint"
 
 
@@ -36,33 +38,41 @@ def decode(data: bytes, name: str = "shard") -> np.ndarray:
     return np.frombuffer(data[4 * HEADER :], f"<u{width}")
 
 
-class _Shard(InputPartition):
-    def __init__(self, number: int, path: str):
-        self.number, self.path = number, path
+class _Shards(InputPartition):
+    def __init__(self, first: int, paths: list[str]):
+        self.first, self.paths = first, paths
 
 
 class _Reader(DataSourceReader):
     def __init__(self, path: str):
         self.path = path
 
-    def partitions(self) -> list[_Shard]:
+    def partitions(self) -> list[_Shards]:
         import pyarrow.fs as pafs
 
         fs, base = pafs.FileSystem.from_uri(self.path)
-        names = sorted(f.path for f in fs.get_file_info(pafs.FileSelector(base)) if f.path.endswith(".bin"))
-        if not names:
+        files = sorted((f.path, f.size) for f in fs.get_file_info(pafs.FileSelector(base)) if f.path.endswith(".bin"))
+        if not files:
             raise ValueError(f"no shards in {self.path}")
-        return [_Shard(i, p) for i, p in enumerate(names)]
-
-    def read(self, partition: _Shard) -> Iterator[pa.RecordBatch]:
+        out, room = [], 0
+        for i, (path, size) in enumerate(files):
+            if size > room:
+                out.append(_Shards(i, []))
+                room = READ
+            out[-1].paths.append(path)
+            room -= size
+        return out
+
+    def read(self, partition: _Shards) -> Iterator[pa.RecordBatch]:
         import pyarrow.fs as pafs
 
         fs, _ = pafs.FileSystem.from_uri(self.path)
-        with fs.open_input_stream(partition.path) as f:
-            tokens = decode(f.read(), partition.path)
-        for lo in range(0, len(tokens), 1 << 16):
-            t = tokens[lo : lo + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(t), partition.number, np.int32)), pa.array(np.arange(lo, lo + len(t))), pa.array(t.astype(np.int64))], names=["shard", "pos", "tok"])
+        for number, path in enumerate(partition.paths, partition.first):
+            with fs.open_input_stream(path) as f:
+                tokens = decode(f.read(), path)
+            for lo in range(0, len(tokens), 1 << 16):
+                t = tokens[lo : lo + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(t), number, np.int32)), pa.array(np.arange(lo, lo + len(t))), pa.array(t.astype(np.int64))], names=["shard", "pos", "tok"])
 
 
 class TokenShards(DataSource):
