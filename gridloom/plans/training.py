@@ -26,6 +26,12 @@ def _tokens(spark, sf_dir, shard_size: int = 20_000):
     return t.select(F.floor(p / shard_size).alias("shard"), (p % shard_size).alias("pos"), ((F.col("doc_id") * 31 + F.col("j") * 7 + F.length("w")) % 50257).alias("tok"))
 
 
+def _pieces(spark, sf_dir, shard_size: int = 20_000):
+    """The same tokens as pieces of shards."""
+    ids = F.transform(F.split("text", " "), lambda w, j: ((F.col("doc_id") * 31 + j * 7 + F.length(w)) % 50257).cast("int"))
+    return tk.shard_pieces(table(spark, sf_dir, "documents").select("doc_id", ids.alias("ids")), "doc_id", "ids", shard_size)
+
+
 SHARD = f"SELECT p // 20000 AS shard, p % 20000 AS pos, tok FROM ({STREAM})"
 
 
@@ -64,7 +70,7 @@ def token_range_check(spark, sf_dir):
 @query("S12 S13 K05 A27", f"SELECT CAST(shard AS INTEGER) AS shard, count(*) AS n, CAST(sum(tok) AS BIGINT) AS sum, CAST(sum(tok * (pos % 97)) AS BIGINT) AS place FROM ({SHARD}) GROUP BY shard")
 def token_shard_roundtrip(spark, sf_dir):
     path = scratch(spark, "shards")
-    token_shards.write(_tokens(spark, sf_dir), path)
+    token_shards.write_pieces(_pieces(spark, sf_dir), path)
     back = token_shards.read(spark, path)
     return back.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.sum("tok").alias("sum"), F.sum(F.col("tok") * (F.col("pos") % 97)).alias("place"))
 
