@@ -3,12 +3,14 @@
 import base64
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from gridloom.operators import bytepairs as bp
 from gridloom.operators import tokens as tk
-from gridloom.plans import catalog
+from gridloom.plans import catalog, training
 from gridloom.sources import token_shards
 
 P = pytest.importorskip("public_tokenizers")
@@ -96,3 +98,45 @@ def test_whole_tables_equal_the_library(spark):
     flat = [x for k, _ in docs for x in want[k]]
     shards = {r.shard: (r.n, r.sum) for r in catalog.queries()["tokenised_shards"](spark, sf).select("shard", "n", F.col("sum")).collect()}
     assert shards == {i: (len(flat[lo : lo + 100_000]), sum(flat[lo : lo + 100_000])) for i, lo in enumerate(range(0, len(flat), 100_000))}
+
+
+def test_chunks_give_the_ids_of_whole_texts():
+    rng = random.Random(3)
+    for model in ("gpt-2", "llama-3"):
+        t = bp.tokenizer(model, PATH)
+        for _ in range(400):
+            text = "".join(rng.choice([" ", " ", "a", "the", "\n", "\t", "12", "7", "'s", "é", "!", "\x1c", " ", "　"]) for _ in range(rng.randrange(25)))
+            assert np.frombuffer(t.packed(text), "<i4").tolist() == t.encode(text), repr(text)
+    assert len(bp.tokenizer("gpt-2", PATH).chunks) > 0
+
+
+def test_workers_take_few_rows_at_once_and_refuse_unknown_ids(spark, monkeypatch):
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000))], names=["i"])
+    assert [b.num_rows for b in bp._slices([batch])] == [256, 256, 256, 232]
+    for wrong in ([1, 60_000], [-1]):
+        with pytest.raises(Exception, match="id|ndex"):
+            bp.detokenised(spark.createDataFrame([(1, wrong)], "k long, ids array<int>"), "k", "ids", "gpt-2", PATH).collect()
+
+
+def test_ids_are_made_once_and_shards_are_read_together(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    def once(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([[x] * 3 for x in b.column(0).to_pylist()], pa.list_(pa.int32()))], names=["k", "ids"])
+
+    ids = spark.range(40).mapInArrow(once, "k long, ids array<int>")
+    uri = f"file://{tmp_path}/shards"
+    token_shards.write_pieces(tk.shard_pieces(ids, "k", "ids", 4), uri)
+    assert made.value == 40
+    back = token_shards.read(spark, uri)
+    assert back.rdd.getNumPartitions() == 1 and [r.tok for r in back.orderBy("shard", "pos").collect()] == [k for k in range(40) for _ in range(3)]
+
+
+def test_pieces_hold_the_tokens_of_rows(spark):
+    sf = "/root/testdata/sf0.001"
+    p = training._pieces(spark, sf, 700).select("shard", "start", F.posexplode("ids").alias("i", "tok"))
+    got = p.select("shard", (F.col("start") + F.col("i")).alias("pos"), F.col("tok").cast("long").alias("tok"))
+    want = training._tokens(spark, sf, 700).select("shard", "pos", "tok")
+    assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0 < want.count()
