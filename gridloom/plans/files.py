@@ -23,7 +23,7 @@ def _numbered(spark, sf_dir):
 
 
 def _flat(rows, column: str):
-    return rows.select("k", F.posexplode(column).alias("i", "val")).select((F.col("k") * 64 + F.col("i")).alias("idx"), F.col("val").cast("double").alias("val"))
+    return rows.select((F.col("k") * 64).alias("idx"), F.col(column).cast("array<double>").alias("val"))
 
 
 def _told(df, name: str = "section"):
@@ -64,7 +64,8 @@ def layernorm_fixture(spark, sf_dir):
 def _union(parts):
     out = None
     for name, df in parts.items():
-        df = df.select(F.lit(name).alias("section"), F.col("idx").cast("long").alias("idx"), F.col("val").cast("double").alias("val"))
+        val = F.col("val") if dict(df.dtypes)["val"].startswith("array") else F.array(F.col("val").cast("double"))
+        df = df.select(F.lit(name).alias("section"), F.col("idx").cast("long").alias("idx"), val.cast("array<double>").alias("val"))
         out = df if out is None else out.unionByName(df)
     return out
 
@@ -101,12 +102,14 @@ def debug_state(spark, sf_dir):
 
 def _as_tensors(r, context: int, prefix: str = ""):
     """All values of r, end to end, as the tensors of a model with that context."""
-    sizes, at, case = binary_files.tensor_sizes(context, PADDED, LAYERS, C), 0, None
+    sizes, at, shares = binary_files.tensor_sizes(context, PADDED, LAYERS, C), 0, []
+    end = F.col("idx") + F.size("val")
     for k, n in sizes.items():
-        inside = (F.col("idx") >= at) & (F.col("idx") < at + n)
-        case = F.when(inside, F.struct(F.lit(prefix + k).alias("section"), (F.col("idx") - at).alias("idx"))) if case is None else case.when(inside, F.struct(F.lit(prefix + k).alias("section"), (F.col("idx") - at).alias("idx")))
+        low, high = F.greatest("idx", F.lit(at)), F.least(end, F.lit(at + n))
+        share = F.struct(F.lit(prefix + k).alias("section"), (low - at).cast("long").alias("idx"), F.slice("val", (low - F.col("idx") + 1).cast("int"), (high - low).cast("int")).alias("val"))
+        shares.append(F.when(low < high, share))  # a run may reach over several tensors
         at += n
-    return _flat(r, "x").select(case.alias("at"), "val").where("at is not null").select("at.section", "at.idx", "val")
+    return _flat(r, "x").select(F.explode(F.array(*shares)).alias("s")).where("s is not null").select("s.section", "s.idx", "s.val")
 
 
 def _exported_sql() -> str:

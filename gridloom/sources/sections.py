@@ -108,14 +108,17 @@ def read(spark: SparkSession, uri: str, layout: Layout, only: Sequence[str] | No
                 for name, kind, lo, n, offset in zip(*(c.to_pylist() for c in batch.columns)):
                     f.seek(offset)
                     v = decoded(f.read(BYTES[kind] * n), kind)
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * n), pa.array(np.arange(lo, lo + n)), pa.array(v.astype(np.float64))], names=["section", "idx", "val"])
+                    yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(name), n), pa.array(np.arange(lo, lo + n)), pa.array(v.astype(np.float64))], names=["section", "idx", "val"])
 
     rows = spark.createDataFrame(ranges, "section string, kind string, lo long, n long, offset long")
     return rows.repartition(max(1, min(len(ranges), 4096))).mapInArrow(load, "section string, idx long, val double")
 
 
 def write(values: DataFrame, uri: str, layout: Layout, stretch: int = STRETCH) -> None:
-    """(section, idx, val) rows as one file; a value that is missing, null, twice or out of place is an error."""
+    """(section, idx, val) rows as one file; a value that is missing, null, twice or out of place is an error. With arrays
+    as val, a row is a run of values from idx on: no value is a row of its own."""
+    if not dict(values.dtypes)["val"].startswith("array"):
+        values = values.withColumn("val", F.array("val"))
     import pyarrow.fs as pafs
 
     spark = values.sparkSession
@@ -129,18 +132,26 @@ def write(values: DataFrame, uri: str, layout: Layout, stretch: int = STRETCH) -
         if name not in order:
             raise ValueError(f"no section {name}")
         t = t.sort_by("idx")
-        idx, lo = t["idx"].to_numpy(), k * stretch
-        if t["val"].null_count or lo < 0 or not np.array_equal(idx, np.arange(lo, min(lo + stretch, sizes[name]))):
+        lo, runs = k * stretch, t["val"].combine_chunks()
+        ends = t["idx"].to_numpy() + runs.value_lengths().to_numpy()
+        val = runs.flatten()
+        whole = len(ends) and not runs.null_count and not val.null_count and np.array_equal(t["idx"].to_numpy(), [lo, *ends[:-1]])
+        if not whole or lo < 0 or ends[-1] != min(lo + stretch, sizes[name]):
             raise ValueError(f"section {name}: values {lo} to {min(lo + stretch, sizes[name])} aren't all there once")
         out, folder = pafs.FileSystem.from_uri(parts)
         out.create_dir(folder, recursive=True)
         held = f"{folder}/{uuid.uuid4().hex}.tmp"
         with out.open_output_stream(held) as f:
-            f.write(encoded(t["val"].to_numpy(), kinds[name]))
+            f.write(encoded(val.to_numpy(), kinds[name]))
         out.move(held, f"{folder}/{order[name]:06d}_{k:012d}")
         return pa.table({"section": pa.array([name]), "k": pa.array([k], pa.int64())})
 
-    got = values.select("section", F.floor(F.col("idx") / stretch).alias("k"), "idx", "val").groupBy("section", "k").applyInArrow(one, "section string, k long").count()
+    n = F.size("val")
+    first_k, last_k = F.floor(F.col("idx") / stretch), F.floor((F.col("idx") + F.greatest(n, F.lit(1)) - 1) / stretch)
+    inside = values.select("section", "idx", "val", F.explode(F.sequence(first_k, F.greatest(first_k, last_k))).alias("k"))
+    low, high = F.greatest("idx", F.col("k") * stretch), F.least(F.col("idx") + n, (F.col("k") + 1) * stretch)
+    cut = F.when((low == F.col("idx")) & (high - low == n), F.col("val")).otherwise(F.slice("val", (low - F.col("idx") + 1).cast("int"), (high - low).cast("int")))
+    got = inside.select("section", "k", low.alias("idx"), cut.alias("val")).groupBy("section", "k").applyInArrow(one, "section string, k long").count()
     want = sum(-(-s.values // stretch) for s in layout.sections)
     if got != want:
         raise ValueError(f"{got} stretches of {want} are there")

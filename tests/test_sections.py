@@ -88,3 +88,14 @@ def test_export_equals_numpy(spark, tmp_path, version, tile):
     (tmp_path / "bad.bin").write_bytes(path.read_bytes() + b"\0")
     with pytest.raises(ValueError):
         sections.export(spark, f"file://{tmp_path}/bad.bin")
+
+
+def test_runs_of_values_are_cut_at_stretches(spark, tmp_path, fixture):
+    layout, values = fixture
+    runs = [(k, int(lo), [float(x) for x in v[lo : lo + 3]]) for k, v in values.items() for lo in range(0, len(v), 3)]
+    df = spark.createDataFrame(runs, "section string, idx long, val array<double>")
+    sections.write(df, f"file://{tmp_path}/runs.bin", layout, 4)
+    sections.write(rows_of(spark, layout, values), f"file://{tmp_path}/rows.bin", layout, 4)
+    assert (tmp_path / "runs.bin").read_bytes() == (tmp_path / "rows.bin").read_bytes()
+    with pytest.raises(Exception, match="aren't all there"):
+        sections.write(df.where("not (section = 'b' and idx = 3)"), f"file://{tmp_path}/gap.bin", layout, 4)
