@@ -160,3 +160,18 @@ def test_series_run_in_blocks(spark):
             assert (z is None) == (i < 64) and (z is None or abs(z - (v[i] - last.mean()) / last.std()) < 1e-9)
             assert abs(avg - np.mean([v[min(max(j, 0), len(v) - 1)] for j in range(i - 3, i + 4)])) < 1e-9
     assert telemetry.sliding_zscore(d.limit(0), "v", ["k"], ["s"]).count() == 0
+
+
+def test_training_rows_are_dealt_evenly(spark, monkeypatch):
+    from gridloom.operators import train
+
+    seen, write = {}, train.stored
+
+    def kept(df, what):
+        seen.setdefault(what, df.rdd.getNumPartitions())
+        return write(df, what)
+
+    monkeypatch.setattr(train, "stored", kept)
+    monkeypatch.setattr(train, "ROWS", 10)
+    rows = spark.createDataFrame([([i % 32 for i in range(9)],)] * 40, "tok array<long>").coalesce(1)
+    assert train.losses(rows, train.TINY, steps=1).count() == 1 and seen["training-rows"] == 5
