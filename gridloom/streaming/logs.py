@@ -5,13 +5,15 @@ its number: of the lines of one (stream, step), that of the largest number count
 map from steps to lines for each stretch of STEPS steps of a stream, so no key gathers a whole stream.
 
 The average of a series keeps (steps, value) and is given, corrected for its start, with every row; the first row of a
-series is left out of it, as in the batch form. Micro-batches of a series come in order, rows of one in any.
+series is left out of it, as in the batch form. Micro-batches of a series come in order, rows of one in any. Series are
+dealt to BUCKETS keys by hash, each with one state of all its series, read and written once a micro-batch.
 
 Null streams, steps and series are keys of their own. State lies in RocksDB, which transformWithState asks for.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -22,6 +24,8 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Steps whose lines one key holds.
 STEPS = 1000
+#: Keys that series of averages are dealt to.
+BUCKETS = 1024
 
 
 def with_store(spark: SparkSession) -> None:
@@ -65,19 +69,23 @@ class _Averages(StatefulProcessor):
         self.keep = keep
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.held = handle.getValueState("held", "seen long, total double")
+        self.held = handle.getValueState("held", "states binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        seen, total = self.held.get() if self.held.exists() else (-1, 0.0)
+        held = {s: (seen, total) for s, seen, total in json.loads(self.held.get()[0])} if self.held.exists() else {}
         every = pd.concat(list(rows)).sort_values("at", kind="stable")
-        ema = []
-        for v in every["value"].tolist():
+        names = [s if isinstance(s, str) else None for s in every["series"].tolist()]  # a null series is one of its own
+        steps, ema = [], []
+        for s, v in zip(names, every["value"].tolist()):
+            seen, total = held.get(s, (-1, 0.0))
             seen += 1
             if seen:
                 total = self.keep * total + (1 - self.keep) * v
+            held[s] = (seen, total)
+            steps.append(seen)
             ema.append(total / (1 - self.keep**seen) if seen else None)
-        self.held.update((seen, total))
-        yield pd.DataFrame({"series": key[0], "at": every["at"].to_numpy(), "steps": range(seen - len(every) + 1, seen + 1), "ema": pd.Series(ema, dtype="float64")})
+        self.held.update((json.dumps([(s, *x) for s, x in held.items()]).encode(),))
+        yield pd.DataFrame({"series": pd.Series(names, dtype="object"), "at": every["at"].to_numpy(), "steps": steps, "ema": pd.Series(ema, dtype="float64")})
 
     def close(self) -> None:
         pass
@@ -87,5 +95,6 @@ def averages(rows: DataFrame, series: str, order: str, value: str, keep: float =
     """(series, order, steps, ema): the corrected average after each row, over `steps` values; null for the first."""
     kinds = dict(rows.dtypes)
     d = rows.select(F.col(series).cast("string").alias("series"), F.col(order).cast("long").alias("at"), F.col(value).cast("double").alias("value"))
-    out = d.groupBy("series").transformWithStateInPandas(_Averages(keep), "series string, at long, steps long, ema double", "Append", "None")
+    d = d.withColumn("bucket", F.pmod(F.xxhash64("series"), F.lit(BUCKETS)))
+    out = d.groupBy("bucket").transformWithStateInPandas(_Averages(keep), "series string, at long, steps long, ema double", "Append", "None")
     return out.select(F.col("series").cast(kinds[series]).alias(series), F.col("at").alias(order), "steps", F.when(F.col("steps") > 0, F.col("ema")).alias("ema"))

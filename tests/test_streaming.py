@@ -70,3 +70,12 @@ def test_averages_equal_the_batch_form(spark, tmp_path):
         last = max((x for x in got if x.s == r.s), key=lambda x: x.k)
         assert last.steps == r.steps and abs(last.ema - r.ema) < 1e-9
     assert [x.ema for x in got if x.s == 7] == [None]
+
+
+def test_series_share_the_states_of_few_keys(spark, tmp_path, monkeypatch):
+    logs.with_store(spark)
+    monkeypatch.setattr(logs, "BUCKETS", 2)
+    rows = [(s, k, float(s + k)) for k in range(4) for s in range(30)]
+    arriving = stream_of(spark, tmp_path, "s long, k long, v double", [rows[:60], rows[60:]])
+    got = streams._broken_run(logs.averages(arriving, "s", "k", "v"), "append")
+    assert sorted((r.s, r.k, r.steps) for r in got.collect()) == sorted((s, k, k) for s, k, _ in rows)
