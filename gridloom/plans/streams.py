@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import tokens as tk
-from ..session import scratch, table
+from ..session import scratch, stored, table
 from ..sources import token_shards
 from ..streaming import logs, token_loader
 from .catalog import query
-from .training import SHARD, _tokens
+from .training import SHARD, _pieces
 
 
 def _until(q, batches: int | None) -> None:
@@ -44,7 +44,7 @@ def _in_parts(spark: SparkSession, df: DataFrame, part, parts: int) -> DataFrame
     """df as a stream of files, one part of its rows a micro-batch, in the order of `part`."""
     path = scratch(spark, "arriving")
     for i in range(parts):
-        df.where(part == i).coalesce(1).write.mode("append").parquet(path)
+        df.where(part == i).repartition(1).write.mode("append").parquet(path)
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
@@ -53,11 +53,14 @@ r AS (SELECT b.base + t.pos // 1024 AS step, whole, t.pos % 1024 // 512 AS rank,
 SELECT CAST(step + e * whole AS BIGINT) AS step, CAST(e AS BIGINT) AS epoch, CAST(rank AS INTEGER) AS rank, CAST(row AS INTEGER) AS row, CAST(sum AS BIGINT) AS sum, CAST(place AS BIGINT) AS place FROM r, (SELECT unnest(range(0, 2)) AS e)""")
 def resumed_batches(spark, sf_dir):
     """Two epochs of the documents' token shards in order, by a loader that is stopped after a trigger and started again."""
-    t = _tokens(spark, sf_dir)
-    enough = tk.enough(t.groupBy("shard").agg(F.count(F.lit(1)).alias("n")), 4, 128, 2).where("enough").select("shard")
+    p = stored(_pieces(spark, sf_dir), "pieces")
+    sizes = p.groupBy("shard").agg(F.sum(F.size("ids")).alias("n"))
+    enough = tk.enough(sizes, 4, 128, 2).where("enough").select("shard")
     path = scratch(spark, "shards")
-    token_shards.write(t.join(enough, "shard"), path)
-    got = _broken_run(token_loader.stream(spark, path, 4, 128, ranks=2, steps=2000, shuffle=False, epochs=2), "append")
+    token_shards.write_pieces(p.join(enough, "shard"), path)
+    whole = sizes.agg(F.sum(F.floor((F.col("n") - 1) / 1024))).first()[0] or 0
+    steps = min(100_000, max(2000, 2 * whole // 32))  # so the triggers stay few
+    got = _broken_run(token_loader.stream(spark, path, 4, 128, ranks=2, steps=steps, shuffle=False, epochs=2), "append")
     total = lambda f: F.aggregate(F.transform("inputs", f), F.lit(0).cast("long"), lambda s, x: s + x)
     return got.select("step", "epoch", "rank", "row", total(lambda x, i: x.cast("long")).alias("sum"), total(lambda x, i: x.cast("long") * i).alias("place"))
 

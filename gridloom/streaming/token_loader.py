@@ -15,6 +15,7 @@ of them, which goes into a checkpoint, and a stream may begin from one.
 
 from __future__ import annotations
 
+import itertools
 import json
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -28,8 +29,8 @@ from ..sources.token_shards import HEADER, KINDS
 
 SCHEMA = "step long, epoch long, rank int, shard int, sample long, row int, inputs array<int>, targets array<int>"
 STATE = "rank int, ranks int, shuffle boolean, step long, epoch long, place long, sample long, shards array<long>, samples array<long>, words array<long>, word int"
-#: Samples that one task reads.
-READS = 64
+#: Samples that one task reads, samples of a batch of rows at most, and tokens of one, about.
+READS, TOGETHER, TOKENS = 1024, 64, 1 << 20
 
 
 class Generator:
@@ -183,14 +184,19 @@ class _Reader(DataSourceStreamReader):
 
         fs, _ = pafs.FileSystem.from_uri(self.uri)
         b, t = self.b, self.t
-        for step, epoch, shard, sample, path, width, offset in partition.items:
-            with fs.open_input_file(path) as f:
-                f.seek(offset)
-                tok = np.frombuffer(f.read(width * (b * t + 1)), f"<u{width}").astype(np.int32)
-            same = lambda v, kind: pa.array(np.full(b, v), kind)
-            at = pa.array(np.arange(b + 1) * t, pa.int32())
+        each = max(1, min(TOGETHER, TOKENS // (b * t)))
+        for lo in range(0, len(partition.items), each):
+            part, tokens = partition.items[lo : lo + each], []
+            for path, same in itertools.groupby(part, lambda x: x[4]):
+                with fs.open_input_file(path) as f:
+                    for *_, width, offset in same:
+                        f.seek(offset)
+                        tokens.append(np.frombuffer(f.read(width * (b * t + 1)), f"<u{width}").astype(np.int32))
+            n = len(part)
+            of = lambda i, kind: pa.array(np.repeat([x[i] for x in part], b), kind)
+            at = pa.array(np.arange(n * b + 1) * t, pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [same(step, pa.int64()), same(epoch, pa.int64()), same(partition.rank, pa.int32()), same(shard, pa.int32()), same(sample, pa.int64()), pa.array(np.arange(b), pa.int32()), pa.ListArray.from_arrays(at, pa.array(tok[:-1])), pa.ListArray.from_arrays(at, pa.array(tok[1:]))],
+                [of(0, pa.int64()), of(1, pa.int64()), pa.array(np.full(n * b, partition.rank), pa.int32()), of(2, pa.int32()), of(3, pa.int64()), pa.array(np.tile(np.arange(b), n), pa.int32()), pa.ListArray.from_arrays(at, pa.array(np.concatenate([x[:-1] for x in tokens]))), pa.ListArray.from_arrays(at, pa.array(np.concatenate([x[1:] for x in tokens])))],
                 names=[c.split()[0] for c in SCHEMA.split(", ")],
             )
 

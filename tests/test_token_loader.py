@@ -99,3 +99,14 @@ def test_short_shards_and_other_states_are_refused(shards, tmp_path):
     (tmp_path / "s.bin").write_bytes(token_shards.encode(np.arange(9))[:-1])
     with pytest.raises(ValueError):
         tl._shards(f"file://{tmp_path}", 4)
+
+
+def test_samples_are_read_together(tmp_path):
+    for i in range(2):
+        (tmp_path / f"s{i}.bin").write_bytes(token_shards.encode(np.arange(33) + 100 * i))
+    r = tl._Reader({"path": f"file://{tmp_path}", "b": 2, "t": 4, "shuffle": "false"})
+    (part,) = r.partitions({"step": 0}, {"step": 8})
+    (batch,) = r.read(part)
+    assert batch.num_rows == 16 and batch.column("step").to_pylist() == [s for s in range(8) for _ in range(2)]
+    assert [x for y in batch.column("inputs").to_pylist() for x in y] == [*range(32), *range(100, 132)]
+    assert [x for y in batch.column("targets").to_pylist() for x in y] == [*range(1, 33), *range(101, 133)]
