@@ -359,6 +359,41 @@ def test_ids_are_those_of_the_other_library():
             assert np.frombuffer(own.encode(text), "<u4").tolist() == e.ids, text[:80]
 
 
+def test_chunks_of_many_texts_are_encoded_in_one_call():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    own = packing.Ids(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json"))
+    rng = random.Random(12)
+    odd = [*ODD, None, "", "a", "\na", "a\n", "a\nb", "a\n\nb", "a \nb", "a\n b", "it's 'tis", "a\xa0b c", "a\x1cb\x1c\x1cc", "a <|endoftext|> b", "a\tb\n'll d", *(lone for s in " \t\x85\u3000" for lone in (s, f"a{s}", f"{s}a", f"a{s}{s}b"))]
+    texts = odd + ["".join(rng.choice("ab  \n\n.'s1é文\t\x1c\xa0") for _ in range(rng.randrange(40))) for _ in range(3000)]
+    want = [t.encode(x or "", add_special_tokens=False).ids for x in texts]
+    column = pa.array(["before", *texts, "after"], pa.string())[1:-1]
+    assert [np.frombuffer(x, "<u4").tolist() for x in own.many(column)] == want
+    assert [np.frombuffer(own.encode(x or ""), "<u4").tolist() for x in texts] == want
+    assert own.many(pa.array([], pa.string())) == [] and own.many(pa.array([None, ""], pa.string())) == [b"", b""]
+
+    class Counted:
+        calls = 0
+
+        def encode_ordinary(self, text, encode=own.bpe.encode_ordinary):
+            Counted.calls += 1
+            return encode(text)
+
+    plain = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(200)) + ".\nNext" for _ in range(300)]
+    want, own.bpe = own.many(pa.array(plain)), Counted()
+    assert own.many(pa.array(plain)) == want and Counted.calls == 1  # a call for each chunk before
+
+
+def test_groups_of_rows_cover_a_batch(monkeypatch):
+    monkeypatch.setattr(packing, "GROUP", 10)
+    for texts in ([], ["abc"], ["abc", None, "", "x" * 25, "ab", "cdefghijkl", None]):
+        got = list(packing._groups(pa.array(texts, pa.string())))
+        assert [i for lo, hi in got for i in range(lo, hi)] == list(range(len(texts)))
+    assert len(got) > 2
+
+
 def test_packing_of_rows_without_ids_and_repeated(docs):
     rows = packing.pack(docs(["a b c", "a b c", None], [None, None, 4])).collect()
     assert sum(r.length for r in rows if r.doc_id is None) == 8 and all(r.doc_tokens == 4 for r in rows if r.doc_id is None)
