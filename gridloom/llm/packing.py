@@ -267,20 +267,13 @@ class Packer:
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=[f.split()[0] for f in COLUMNS.split(", ")])
 
 
-def _groups(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    """Runs of rows with about GROUP bytes of text."""
-    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy())
-    cuts = [0, *(np.flatnonzero(np.diff(ends // GROUP)) + 1).tolist(), len(texts)]
-    return zip(cuts, cuts[1:])
-
-
 def _pack(size: int, ranks_path: str, json_path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, packer = _ids(ranks_path, json_path), Packer(size, TaskContext.get().partitionId() << 32)
         for batch in batches:
             doc_ids, texts = batch.columns
-            for lo, hi in _groups(texts):
-                for doc_id, own in zip(doc_ids[lo:hi].to_pylist(), ids.many(texts[lo:hi])):
+            for c in tv.chunks(texts, GROUP):
+                for doc_id, own in zip(doc_ids.slice(c.lo, c.n).to_pylist(), ids.many(texts.slice(c.lo, c.n))):
                     packer.add(doc_id, own + b"\0\0\0\0")
                 yield packer.taken()
         packer.settle()

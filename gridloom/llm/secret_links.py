@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import textvec as tv
+
 ASSIGN = re.compile(r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
@@ -180,22 +182,23 @@ def _redact(reach: int, mark: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index("text")
-            out = []
-            for x in batch.column(at):
-                text = x.as_py()
-                if text:
-                    parts, last = [], 0
-                    for s, e, _ in spans(text, reach)[1]:
-                        if e > last:
-                            parts += [text[last : max(s, last)], mark if s >= last else ""]
-                            last = e
-                    text = "".join(parts) + text[last:] if parts else text
-                out.append(text)
-            yield batch.set_column(at, "text", pa.array(out, pa.string()))
+            for c in tv.chunks(batch.column(at)):
+                some, out = batch.slice(c.lo, c.n), []
+                for x in some.column(at):
+                    text = x.as_py()
+                    if text:
+                        parts, last = [], 0
+                        for s, e, _ in spans(text, reach)[1]:
+                            if e > last:
+                                parts += [text[last : max(s, last)], mark if s >= last else ""]
+                                last = e
+                        text = "".join(parts) + text[last:] if parts else text
+                    out.append(text)
+                yield some.set_column(at, "text", pa.array(out, pa.string()))
 
     return run
 
 
 def redact(docs: DataFrame, reach: int = REACH, mark: str = "[SECRET]") -> DataFrame:
     """docs with every reported span of text replaced by mark. All other columns stay."""
-    return docs.mapInArrow(_redact(reach, mark), docs.schema)
+    return docs.mapInArrow(tv.tidy(_redact(reach, mark)), docs.schema)

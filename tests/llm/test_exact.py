@@ -386,12 +386,15 @@ def test_chunks_of_many_texts_are_encoded_in_one_call():
     assert own.many(pa.array(plain)) == want and Counted.calls == 1  # a call for each chunk before
 
 
-def test_groups_of_rows_cover_a_batch(monkeypatch):
-    monkeypatch.setattr(packing, "GROUP", 10)
-    for texts in ([], ["abc"], ["abc", None, "", "x" * 25, "ab", "cdefghijkl", None]):
-        got = list(packing._groups(pa.array(texts, pa.string())))
-        assert [i for lo, hi in got for i in range(lo, hi)] == list(range(len(texts)))
-    assert len(got) > 2
+def test_redacted_rows_go_back_in_pieces():
+    """About 1 MB of text each: whole batches, with all their new texts, stood in a worker's memory before."""
+    texts = ["password=hunter2222 " + "x y " * 2500, None, ""] * 400
+    batch = pa.record_batch({"doc_id": pa.array(range(len(texts))), "text": pa.array(texts), "n": pa.array([None] * len(texts), pa.int64())})
+    got = list(secret_links._redact(secret_links.REACH, "[SECRET]")(iter([batch.slice(1), batch.slice(0, 0)])))
+    assert max(b.column(1).nbytes for b in got) < 3 << 20 and len(got) > 3
+    rows = pa.Table.from_batches(got, batch.schema)
+    assert rows["doc_id"].to_pylist() == list(range(1, len(texts)))
+    assert rows["text"].to_pylist() == [x and "[SECRET] " + x.split(" ", 1)[1] for x in texts[1:]]
 
 
 def test_packing_of_rows_without_ids_and_repeated(docs):
