@@ -97,8 +97,11 @@ def mirrored(a: DataFrame, sign: int = 1) -> DataFrame:
     return a.unionByName(a.where("i <> j").select(F.col("j").alias("i"), F.col("i").alias("j"), (sign * F.col("v")).alias("v")))
 
 
-def row_pointers(a: DataFrame, rows: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(i, start, count) of a compressed-row layout, rows ascending, a null row before all others."""
+def row_pointers(a: DataFrame, rows: DataFrame, block: int = BLOCK, blocks: int | None = None) -> DataFrame:
+    """(i, start, count) of a compressed-row layout, rows ascending, a null row before all others. Rows are
+    counted up in blocks of `block`, or in as many as `blocks` says."""
+    if blocks:
+        block = max(1, -(-rows.count() // blocks))
     counted = a.groupBy(F.col("i").alias("_i")).agg(F.count(F.lit(1)).alias("count"))
     count = rows.select("i").join(counted, F.col("i").eqNullSafe(F.col("_i")), "left").select("i", F.coalesce("count", F.lit(0)).alias("count"))
     return accumulated(count, ["i"], sums={"start": F.col("count")}, block=block).select("i", "start", "count")
